@@ -38,9 +38,15 @@ def record_columns(docs: DataFrame) -> DataFrame:
 
 
 def _sample(rows: DataFrame, rate: Column, seed: int) -> DataFrame:
-    """Rows kept with the chance size * rate, the same in every rerun."""
+    """Rows kept with the chance size * rate, the same in every rerun, with the weight that makes up for chances over 1."""
     u = F.pmod(F.xxhash64("key", "id_key", F.lit(seed)), F.lit(2**40)) / float(2**40)
-    return rows.filter(u < F.col("size") * rate)
+    return rows.filter(u < F.col("size") * rate).withColumn("w", F.greatest(F.lit(1.0), F.col("size") * rate))
+
+
+def _cuts(sample: pd.DataFrame, step: float) -> pd.DataFrame:
+    """The rows of a sorted sample at which its summed weight passes a multiple of ``step``."""
+    upto = sample["w"].cumsum().to_numpy()
+    return sample[np.floor(upto / step) > np.floor((upto - sample["w"].to_numpy()) / step)]
 
 
 def _ranges(rows: DataFrame, bounds: np.ndarray) -> DataFrame:
@@ -78,9 +84,8 @@ def shard(docs: DataFrame, shards: int = 8, sample_per_range: int = 24, seed: in
     count = int(min(MOST_RANGES, max(shards * RANGES_PER_SHARD, n // 200_000, 1)))
     fair = max(1.0, total / count)
     step = sample_per_range
-    got = _sample(rows, F.lit(step / fair), seed).select("key", "id_key").toPandas() if n else pd.DataFrame({"key": [], "id_key": []}, dtype="int64")
-    keys = np.sort(got["key"].to_numpy())
-    cuts = np.unique(keys[step::step]) if len(keys) else keys
+    got = _sample(rows, F.lit(step / fair), seed).select("key", "id_key", "w").toPandas() if n else pd.DataFrame({"key": [], "id_key": [], "w": []}, dtype="int64")
+    cuts = np.unique(_cuts(got.sort_values(["key", "id_key"]), step)["key"].to_numpy())
     bounds = np.zeros(len(cuts), dtype=[("key", "i8"), ("id_key", "i8")])
     bounds["key"], bounds["id_key"] = cuts, np.iinfo("i8").min
     # Overfull ranges: cut anew from a sample of their own rows, and where one text is
@@ -93,16 +98,16 @@ def shard(docs: DataFrame, shards: int = 8, sample_per_range: int = 24, seed: in
             break
         lows = F.array(*[F.lit(int(x)) for x in over["rng"]]) if len(over) <= 1000 else F.array(*[F.lit(int(x)) for x in over.nlargest(1000, "s")["rng"]])
         part = _ranges(rows, bounds).filter(F.array_contains(lows, F.col("rng")))
-        fine = _sample(part, F.lit(4 * step / fair), seed + 1 + again).select("rng", "key", "id_key").toPandas().sort_values(["key", "id_key"])
+        fine = _sample(part, F.lit(4 * step / fair), seed + 1 + again).select("rng", "key", "id_key", "w").toPandas().sort_values(["key", "id_key"])
         new = []
         for rng, own in fine.groupby("rng"):
-            weights = own.groupby("key").size()
+            weights = own.groupby("key")["w"].sum()
             heavy = set(weights[weights * fair / (4 * step) > total / shards / 2].index)
             # a boundary before and after each text that fills a range by itself
             for key in weights[weights >= 2 * step].index:
                 new += [(key, np.iinfo("i8").min)] + ([(key + 1, np.iinfo("i8").min)] if key < np.iinfo("i8").max else [])
-            picked = own.iloc[2 * step :: 2 * step]
-            new += [(k, i if k in heavy else np.iinfo("i8").min) for k, i in picked[["key", "id_key"]].itertuples(index=False)]
+            picked = _cuts(own, 2 * step)[["key", "id_key"]]
+            new += [(k, i if k in heavy else np.iinfo("i8").min) for k, i in picked.itertuples(index=False)]
         bounds = np.unique(np.concatenate([bounds, np.array(new, dtype=bounds.dtype)])) if new else bounds
     placed = stage(_ranges(rows, bounds), "shard-ranges")
     sums = placed.groupBy("rng").agg(F.sum("size").alias("s"), F.count("*").alias("n")).toPandas().sort_values(["s", "rng"], ascending=[False, True])
