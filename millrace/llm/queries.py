@@ -7,8 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, warc
-from .common import table
+from . import langid, mixing, packing, quality, sharding, warc
+from .common import remainder, table
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    langs, model = langid.train(docs.filter(~F.coalesce(held_out, F.lit(False))))
+    return langid.predict(docs, langs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "langs")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +42,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", *quality.BASE, "base_failed", "rule", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_mixing, op4_warc, op9_sharding)}
+    return {f.__name__: f for f in (op1_langid, op2_packing, op3_mixing, op4_warc, op9_sharding, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
