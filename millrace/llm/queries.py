@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, packing, quality, sharding, warc
+from . import langid, minhash, mixing, packing, quality, scoring, sharding, warc
 from .common import remainder, table
 
 
@@ -36,6 +36,13 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 7) == 2, F.lit(False))
+    found = scoring.train_and_score(docs, docs.filter(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,7 +59,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_packing, op3_mixing, op4_warc, op8_minhash, op9_sharding, op10_quality)}
+    return {f.__name__: f for f in (op1_langid, op2_packing, op3_mixing, op4_warc, op5_scoring, op8_minhash, op9_sharding, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
