@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, packing, quality, scoring, sharding, warc
+from . import fingerprints, langid, minhash, mixing, oracles, packing, quality, scoring, sharding, warc
 from .common import remainder, table
 
 
@@ -43,6 +43,10 @@ def op5_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_report(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,8 +63,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_packing, op3_mixing, op4_warc, op5_scoring, op8_minhash, op9_sharding, op10_quality)}
+    return {f.__name__: f for f in (op1_langid, op2_packing, op3_mixing, op4_warc, op5_scoring, op6_fingerprints, op8_minhash, op9_sharding, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
