@@ -84,5 +84,54 @@ JOIN signed c ON c.doc_id = e.next_id AND c.kind = 0
 """
 
 
+_HOST = r"regexp_replace(regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)', 1), '\.+$', '')"
+
+
+def _digit(x: str, k: int) -> str:
+    return f"CAST('0x' || substr(md5({x}), {k}, 2) AS INTEGER)"
+
+
+_DAY = "CAST(DATE '2023-01-01' + CAST({} AS INTEGER) AS TIMESTAMP)".format
+
+OP7_URLFILTER = rf"""
+WITH captures AS (
+  SELECT page_id, url, {_DAY("(page_id * 37) % 730")} AS fetched_at, {_HOST} AS host FROM pages),
+hosts AS (SELECT DISTINCT host FROM captures WHERE host <> ''),
+log AS (
+  SELECT 'host' AS kind, host AS pattern, (ARRAY['spam', 'malware', 'adult'])[{_digit("host", 9)} % 3 + 1] AS category, unnest([
+    {{'day': {_DAY(_digit("host", 3))}, 'action': 'add'}},
+    {{'day': {_DAY(_digit("host", 3) + " + " + _digit("host", 5) + " + 1")}, 'action': CASE WHEN {_digit("host", 5)} < 128 THEN 'remove' ELSE 'add' END}},
+    {{'day': {_DAY(_digit("host", 3) + " + " + _digit("host", 5) + " + " + _digit("host", 7) + " + 2")}, 'action': CASE WHEN {_digit("host", 7)} < 64 THEN 'add' ELSE 'remove' END}}]) AS e
+  FROM hosts WHERE {_digit("host", 1)} < 128
+  UNION ALL
+  SELECT 'domain', pattern, 'season', unnest([
+    {{'day': {_DAY("length(pattern) * 10")}, 'action': 'add'}}, {{'day': {_DAY("length(pattern) * 10 + 60")}, 'action': 'remove'}}])
+  FROM (SELECT DISTINCT array_to_string(string_split(host, '.')[-2:], '.') AS pattern FROM hosts)
+  UNION ALL
+  SELECT 'prefix', pattern, 'section', {{'day': {_DAY(_digit("pattern", 3))}, 'action': 'add'}}
+  FROM (SELECT DISTINCT host || regexp_extract(url, '^[A-Za-z]+://[^/?#]*(/[^/?#]*/)', 1) AS pattern FROM captures
+        WHERE regexp_extract(url, '^[A-Za-z]+://[^/?#]*(/[^/?#]*/)', 1) <> '')
+  WHERE {_digit("pattern", 1)} < 32),
+states AS (SELECT kind, pattern, category, e.day AS day, bool_or(e.action = 'add') AS on_then FROM log GROUP BY ALL),
+turns AS (
+  SELECT * FROM (SELECT *, lag(on_then) OVER (PARTITION BY kind, pattern, category ORDER BY day) AS was FROM states)
+  WHERE coalesce(was, false) <> on_then),
+periods AS (
+  SELECT * FROM (SELECT *, lead(day) OVER (PARTITION BY kind, pattern, category ORDER BY day) AS until FROM turns) WHERE on_then),
+met AS (
+  SELECT c.page_id, p.kind, p.pattern, p.category
+  FROM captures c JOIN periods p ON p.day <= c.fetched_at AND (p.until IS NULL OR c.fetched_at < p.until) AND (
+    (p.kind = 'host' AND c.host = p.pattern)
+    OR (p.kind = 'domain' AND (c.host = p.pattern OR ends_with(c.host, '.' || p.pattern)))
+    OR (p.kind = 'prefix' AND starts_with(c.host || regexp_extract(c.url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1), p.pattern)))),
+best AS (
+  SELECT page_id, count(*) AS n_active, min({{'n': -length(pattern), 'kind': kind, 'pattern': pattern, 'category': category}}) AS b
+  FROM met GROUP BY page_id)
+SELECT c.page_id, c.url, c.fetched_at, c.host, best.page_id IS NOT NULL AS blocked, coalesce(n_active, 0) AS n_active,
+       b.kind || ':' || b.pattern AS entry, b.category AS category
+FROM captures c LEFT JOIN best ON c.page_id = best.page_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": _mixing(), "op6_fingerprints": OP6_FINGERPRINTS}
+    return {"op3_mixing": _mixing(), "op6_fingerprints": OP6_FINGERPRINTS, "op7_urlfilter": OP7_URLFILTER}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, minhash, mixing, oracles, packing, quality, scoring, sharding, warc
+from . import fingerprints, langid, minhash, mixing, oracles, packing, quality, scoring, sharding, urlfilter, warc
 from .common import remainder, table
 
 
@@ -47,6 +47,44 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(table(spark, sf_dir, "documents"))
 
 
+def list_changes(pages: DataFrame) -> DataFrame:
+    """A dated list for the pages' own hosts: what a curated blocklist would be, derived from digests of the names.
+
+    Half the hosts are listed from some day of 2023, half of those are removed later and some return;
+    registered domains are listed for one spell of a season, and a first path step of a host now and then.
+    """
+    host = urlfilter.url_host(F.col("url"))
+    hosts = pages.select(host.alias("host")).filter("host <> ''").distinct()
+    digit = lambda x, k: F.conv(F.substring(F.md5(x.cast("binary")), k, 2), 16, 10).cast("int")
+    day = lambda n: F.date_add(F.lit("2023-01-01").cast("date"), n).cast("timestamp_ntz")
+    x = F.col("host")
+    cat = F.element_at(F.array(*map(F.lit, ("spam", "malware", "adult"))), F.pmod(digit(x, 9), F.lit(3)) + 1)
+    event = lambda n, action: F.struct(day(n).alias("at"), (F.lit(action) if isinstance(action, str) else action).alias("action"))
+    log = F.array(
+        event(digit(x, 3), "add"),
+        event(digit(x, 3) + digit(x, 5) + 1, F.when(digit(x, 5) < 128, "remove").otherwise("add")),
+        event(digit(x, 3) + digit(x, 5) + digit(x, 7) + 2, F.when(digit(x, 7) < 64, "add").otherwise("remove")),
+    )
+    some = hosts.filter(digit(x, 1) < 128).select(F.lit("host").alias("kind"), x.alias("pattern"), cat.alias("category"), F.explode(log).alias("e"))
+    parent = F.substring_index("host", ".", -2)
+    domains = hosts.select(parent.alias("pattern")).distinct().select(
+        F.lit("domain").alias("kind"), "pattern", F.lit("season").alias("category"),
+        F.explode(F.array(event(F.length("pattern") * 10, "add"), event(F.length("pattern") * 10 + 60, "remove"))).alias("e"),
+    )
+    step = F.regexp_extract("url", "^[A-Za-z]+://[^/?#]*(/[^/?#]*/)", 1)
+    paths = pages.select(F.concat(host, step).alias("pattern"), step.alias("step")).filter("step <> '' and pattern is not null").select("pattern").distinct()
+    paths = paths.filter(digit(F.col("pattern"), 1) < 32).select(
+        F.lit("prefix").alias("kind"), "pattern", F.lit("section").alias("category"), F.explode(F.array(event(digit(F.col("pattern"), 3), "add"))).alias("e")
+    )
+    return some.union(domains).union(paths).select("kind", "pattern", "category", "e.at", "e.action")
+
+
+def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.date_add(F.lit("2023-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(730)).cast("int")).cast("timestamp_ntz")
+    return urlfilter.judge(pages.withColumn("fetched_at", fetched), list_changes(pages)).withColumn("host", urlfilter.url_host(F.col("url")))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -63,7 +101,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_packing, op3_mixing, op4_warc, op5_scoring, op6_fingerprints, op8_minhash, op9_sharding, op10_quality)}
+    return {f.__name__: f for f in (op1_langid, op2_packing, op3_mixing, op4_warc, op5_scoring, op6_fingerprints, op7_urlfilter, op8_minhash, op9_sharding, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
