@@ -1,21 +1,19 @@
-"""All registered queries of the library and the SQL that must give the same rows."""
+"""All registered queries of the library, and the SQL that must give the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from .plans import queries_model, queries_pipeline, queries_service
 
-def hash_dedup_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("hash", F.sha2("text", 256))
-    return docs.groupBy("hash").agg(F.min("doc_id").alias("doc_id")).drop("hash")
+_PARTS = (queries_pipeline, queries_model, queries_service)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"hash_dedup_drop": hash_dedup_drop}
+    return {name: q for part in _PARTS for name, (q, _) in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"hash_dedup_drop": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text"}
+    return {name: sql for part in _PARTS for name, (_, sql) in part.QUERIES.items() if sql}

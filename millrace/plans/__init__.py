@@ -1,0 +1 @@
+"""Whole plans: runners, dataset pipelines and the registered queries."""
