@@ -60,6 +60,11 @@ def drop_stage(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(ids: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """``ids``, a staged table of a number or two a row, marked for broadcast if its rows are within the bound."""
+    return F.broadcast(ids) if ids.count() <= rows else ids
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

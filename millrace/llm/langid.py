@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Trigrams are hashed into this many buckets, so a model's size does not depend on the corpus.
 BUCKETS = 1 << 16
@@ -167,21 +168,32 @@ def infer(texts: list[str], table: np.ndarray, penalty: float = 2.0) -> np.ndarr
     return out
 
 
-def predict(docs: DataFrame, langs: list[str], table: np.ndarray, penalty: float = 2.0) -> DataFrame:
-    """``doc_id, lang_pred, score, langs`` of every row of ``docs``: the largest language, its share, and all of the set with theirs.
+def annotate(docs: DataFrame, langs: list[str], table: np.ndarray, penalty: float = 2.0) -> DataFrame:
+    """``docs`` with ``lang_pred, score, langs``: the largest language, its share, and all of the set with theirs.
 
     Null text, or text without a letter, is ``und`` with score 0 and no languages; so is all text if
-    nothing was learned. Ties go to the language that sorts first. Empty tables give empty results.
+    nothing was learned. Ties go to the language that sorts first. Empty tables give empty results. Columns
+    of ``docs`` with the new names are replaced.
     """
     model = docs.sparkSession.sparkContext.broadcast(table)
+    docs = docs.drop("lang_pred", "score", "langs")
+    at = docs.columns.index("text")
+    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("langs", T.StringType())]
+    names = [*docs.columns, *(f.name for f in fields)]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            share = infer([x or "" for x in batch.column(1).to_pylist()], model.value, penalty)
+            share = infer([x or "" for x in batch.column(at).to_pylist()], model.value, penalty)
             top = share.argmax(1) if len(langs) else np.zeros(len(share), dtype=int)
             score = share.max(1) if len(langs) else np.zeros(len(share))
-            names = [langs[k] if s > 0 else "und" for k, s in zip(top, score, strict=True)]
+            best = [langs[k] if s > 0 else "und" for k, s in zip(top, score, strict=True)]
             sets = [" ".join(f"{langs[k]}:{row[k]:.3f}" for k in np.argsort(-row, kind="stable") if row[k] > 0) for row in share]
-            yield pa.record_batch([batch.column(0), pa.array(names, pa.string()), pa.array(np.minimum(score, 1.0), pa.float64()), pa.array(sets, pa.string())], ["doc_id", "lang_pred", "score", "langs"])
+            new = [pa.array(best, pa.string()), pa.array(np.minimum(score, 1.0), pa.float64()), pa.array(sets, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=names)
+
+    return docs.mapInArrow(find, T.StructType([*docs.schema.fields, *fields]))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(find, "doc_id long, lang_pred string, score double, langs string")
+
+def predict(docs: DataFrame, langs: list[str], table: np.ndarray, penalty: float = 2.0) -> DataFrame:
+    """``doc_id, lang_pred, score, langs`` of every row of ``docs``, as :func:`annotate` gives them."""
+    return annotate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), langs, table, penalty).drop("text")

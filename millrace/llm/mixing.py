@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, word_count
+from .common import small, stage, word_count
 
 #: Hexadecimal digits of the hash that each level of the search looks at: 3 levels of 4.
 LEVELS, DIGITS = 3, 4
@@ -135,12 +135,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int =
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each repeated as often as :func:`mix` says.
 
-    Joins on doc_id; rows that repeat a doc_id are kept once per copy each.
+    Rows are matched by doc_id; those that repeat one have the copies that it has.
     """
-    copies = mix(docs, **options).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    key = copies.withColumnRenamed("doc_id", "mix_key")
-    return (
-        docs.join(key, docs["doc_id"].eqNullSafe(key["mix_key"]))
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .select(*[docs[c] for c in docs.columns])
-    )
+    copies = stage(mix(docs, **options).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies")), "mix-copies")
+    key = small(copies.withColumnRenamed("doc_id", "mix_key").withColumnRenamed("copies", "mix_copies"))
+    rows = docs.join(key, docs["doc_id"].eqNullSafe(key["mix_key"]))
+    return rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*[docs[c] for c in docs.columns])

@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .words import raw_texts, windows, word_hashes
 
@@ -92,16 +93,24 @@ def text_counts(raw: bytes) -> tuple[int, ...]:
     )
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the counts ``COUNTS`` of every whole text; null text has none of anything."""
+def with_statistics(docs: DataFrame) -> DataFrame:
+    """``docs`` with the counts ``COUNTS`` of every whole text; null text has none of anything. Columns of those names are replaced."""
+    docs = docs.drop(*COUNTS)
+    at = docs.columns.index("text")
+    names = [*docs.columns, *COUNTS]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [text_counts(x) for x in raw_texts(batch.column(1))]
+            rows = [text_counts(x) for x in raw_texts(batch.column(at))]
             columns = zip(*rows, strict=True) if rows else [()] * len(COUNTS)
-            yield pa.record_batch([batch.column(0), *(pa.array(x, pa.int64()) for x in columns)], ["doc_id", *COUNTS])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in columns)], names=names)
+
+    return docs.mapInArrow(count, T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in COUNTS)]))
+
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(count, ", ".join(f"{c} long" for c in ("doc_id", *COUNTS)))
+def statistics(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and the counts of every text."""
+    return with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))).drop("text")
 
 
 def base_failed() -> Column:
@@ -210,14 +219,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = 40_00
     return rows.select(*[F.expr(x).alias(n) for n, x in FEATURES.items()], (F.col("quality") == 0).alias("bad")).toPandas()
 
 
-def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Every document's counts with ``base_failed``, ``rule`` (0: none) and ``kept``."""
-    return (
-        statistics(docs)
-        .withColumn("base_failed", base_failed())
-        .withColumn("rule", verdict(rules))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
-    )
+def with_verdict(counted: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Counted documents with ``base_failed``, ``rule`` (the first that covers them, 0: none) and ``kept``."""
+    rows = counted.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
 def quality(docs: DataFrame, labels: DataFrame, sample_rows: int = 40_000) -> DataFrame:
@@ -227,4 +232,4 @@ def quality(docs: DataFrame, labels: DataFrame, sample_rows: int = 40_000) -> Da
     Labels without a document, or null, teach nothing; of several labels of one document the
     lowest holds. Without labels there are no rules and the base rule alone decides.
     """
-    return judge(docs, learn(labelled_sample(docs, labels, sample_rows)))
+    return with_verdict(statistics(docs), learn(labelled_sample(docs, labels, sample_rows)))
