@@ -18,6 +18,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from .words import raw_texts
 WORDS, CLASSES = 447, 64
 OUTPUTS = 1 + WORDS + CLASSES
 #: Predecessors, vector length, noise tokens per batch, tokens per batch of training and of scoring.
-CONTEXT, WIDTH, NOISE, BATCH, SCORED = 6, 16, 48, 512, 1024
+CONTEXT, WIDTH, NOISE, BATCH, SCORED = 6, 16, 48, 512, 256
 #: Most words whose counts every executor holds; those of the others are joined.
 HEAD = 150_000
 #: Distinct words that a counting task holds before it hands them on.
@@ -182,7 +183,7 @@ class Trainer:
         m, g, n = self.m, self.grad, len(ids)
         g.flat[:] = 0
         vectors = m.context[before]
-        h = np.einsum("knw,kw->nw", vectors, m.place)
+        h = (vectors * m.place[:, None]).sum(axis=0)
         noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), OUTPUTS - 1)
         pos = np.einsum("nw,nw->n", h, m.target[ids]) + m.bias[ids] - self.log_kq[ids]
         neg = h @ m.target[noise].T + (m.bias[noise] - self.log_kq[noise])
@@ -194,24 +195,28 @@ class Trainer:
         np.add.at(g.target, noise, dn.T @ h)
         g.bias += np.bincount(ids, weights=dp, minlength=OUTPUTS).astype(np.float32)
         np.add.at(g.bias, noise, dn.sum(0))
-        for k in range(CONTEXT):
-            self._scatter(g.context, before[k], dh * m.place[k])
-        g.place += np.einsum("nw,knw->kw", dh, vectors)
+        self._scatter(g.context, before.ravel(), (dh[None] * m.place[:, None]).reshape(-1, WIDTH))
+        g.place += (vectors * dh).sum(axis=1)
         self.sq.flat += g.flat**2
         m.flat -= RATE * g.flat / np.sqrt(self.sq.flat)
 
 
-def _encode(texts: list[bytes], head: dict[bytes, int], outputs: np.ndarray) -> np.ndarray:
-    """Output of each token of the texts in a row, ends included."""
-    out = []
+def _look_up(texts: list[bytes], head: dict[bytes, int]) -> tuple[list[bytes], np.ndarray]:
+    """All words of the texts in a row, an empty one at each end, and their places in the head: -1 outside of it, -2 for an end."""
+    words: list[bytes] = []
     for raw in texts:
-        words = raw.lower().split()
-        at = np.array([head.get(w, -1) for w in words], dtype=np.int64)
-        ids = outputs[at] if len(outputs) else np.zeros(len(at), dtype=np.int32)
-        for k in np.nonzero(at < 0)[0]:
-            ids[k] = 1 + WORDS + _class(words[k])
-        out += [ids, np.zeros(1, dtype=np.int32)]
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.int32)
+        words += raw.lower().split()
+        words.append(b"")
+    at = np.fromiter(map(head.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+    return words, at
+
+
+def _outputs_of(words: list[bytes], at: np.ndarray, outputs: np.ndarray) -> np.ndarray:
+    """Output of each token; words outside the head go by their bytes."""
+    ids = np.append(outputs, [0, 0]).astype(np.int32)[at]  # -2 and -1 are the last two
+    outside = np.nonzero(at == -1)[0]
+    ids[outside] = [1 + WORDS + _class(words[k]) for k in outside]
+    return ids
 
 
 def _pieces(texts: list[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
@@ -239,7 +244,7 @@ def fit(train: DataFrame, lex: Lexicon, parts: int = 8, seed: int = 11) -> Model
     passes = min(8, max(1, LEAST_SEEN // max(1, lex.tokens)))
     first = F.pmod(F.xxhash64("text"), F.lit(parts)) == 0
     words = list(lex.head)[:WORDS]
-    small, outputs = sc.broadcast({w: k for k, w in enumerate(words)}), lex.outputs()[: len(words)]
+    small, outputs = sc.broadcast({w: k for k, w in enumerate(words)} | {b"": -2}), lex.outputs()[: len(words)]
     for k, rows in enumerate((train.filter(first), train.filter(~first | F.col("text").isNull()))):
         start = sc.broadcast(model.flat)
 
@@ -247,7 +252,7 @@ def fit(train: DataFrame, lex: Lexicon, parts: int = 8, seed: int = 11) -> Model
             trainer, seen = Trainer(Model(start.value.copy()), noise, seed + k), 0
             for batch in batches:
                 for texts in _pieces(raw_texts(batch.column(0))):
-                    ids = _encode(texts, small.value, outputs)
+                    ids = _outputs_of(*_look_up(texts, small.value), outputs)
                     before = contexts(ids)
                     for at in list(range(0, len(ids), BATCH)) * passes:
                         trainer.step(ids[at : at + BATCH], before[:, at : at + BATCH])
@@ -266,28 +271,30 @@ def log_probabilities(model: Model, ids: np.ndarray) -> np.ndarray:
     """Natural logarithm of the normalised probability of each token given its predecessors."""
     before, out = contexts(ids), np.empty(len(ids))
     tables = model.place[:, None, :] * model.context[None]
-    target = np.ascontiguousarray(model.target.T)
+    # the bias is one more dimension, so that a single product gives all energies of a batch
+    target = np.ascontiguousarray(np.vstack([model.target.T, model.bias]))
+    ones, longest, most = np.ones(OUTPUTS, dtype=np.float32), float(np.linalg.norm(model.target, axis=1).max()), float(np.abs(model.bias).max())
+    h = np.ones((SCORED, WIDTH + 1), dtype=np.float32)
     for at in range(0, len(ids), SCORED):
         own = ids[at : at + SCORED]
-        h = tables[0][before[0, at : at + SCORED]]
+        x = h[: len(own)]
+        v = x[:, :WIDTH]
+        v[:] = tables[0][before[0, at : at + SCORED]]
         for k in range(1, CONTEXT):
-            h = h + tables[k][before[k, at : at + SCORED]]
-        energy = h @ target
-        energy += model.bias
-        own_energy = energy[np.arange(len(own)), own]
-        high = float(energy.max())
-        if high > 60 or high < -60 or float(energy.min()) < high - 160:
+            v += tables[k][before[k, at : at + SCORED]]
+        energy = x @ target
+        if float(np.sqrt((v * v).sum(axis=1).max())) * longest + most > 80:  # exp would leave its range
             energy -= energy.max(axis=1, keepdims=True)
-            own_energy = energy[np.arange(len(own)), own]
+        own_energy = energy[np.arange(len(own)), own]
         np.exp(energy, out=energy)
-        out[at : at + SCORED] = own_energy - np.log(energy.sum(axis=1))
+        out[at : at + SCORED] = own_energy - np.log(energy @ ones)
     return out
 
 
 def score(docs: DataFrame, vocab: DataFrame, lex: Lexicon, model: Model) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``docs``."""
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((lex.head, lex.outputs(), lex.head_counts, model.flat, lex.class_totals))
+    shared = sc.broadcast((lex.head | {b"": -2}, lex.outputs(), lex.head_counts, model.flat, lex.class_totals))
     ends, base_norm = lex.ends, math.log10(lex.tokens + lex.words + 1)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,17 +307,11 @@ def score(docs: DataFrame, vocab: DataFrame, lex: Lexicon, model: Model) -> Data
             columns: list[list] = [[] for _ in range(7)]
             raws, done = raw_texts(batch.column(1)), 0
             for texts in _pieces(raws):
-                split = [t.lower().split() for t in texts]
-                at = np.array([k for words in split for k in [*[head.get(w, -1) for w in words], -2]], dtype=np.int64)
-                flat_words = [w for words in split for w in [*words, b""]]
-                ids = np.zeros(len(at), dtype=np.int32)
-                inside = at >= 0
-                if len(outputs):
-                    ids[inside] = outputs[at[inside]]
-                outside = np.nonzero(at == -1)[0]
-                ids[outside] = [1 + WORDS + _class(flat_words[k]) for k in outside]
-                lengths = np.array([len(words) + 1 for words in split])
-                starts = np.append(0, np.cumsum(lengths)[:-1])
+                words, at = _look_up(texts, head)
+                ids = _outputs_of(words, at, outputs)
+                inside, outside, stops = at >= 0, np.nonzero(at == -1)[0], np.nonzero(at == -2)[0] + 1
+                starts = np.append(0, stops[:-1])
+                lengths = stops - starts
                 own = log_counts[np.where(inside, at, -1)]
                 own[at == -2] = math.log10(ends + 1)
                 lp = log_probabilities(lm, ids) / math.log(10) - minus[ids] + np.where(in_class[ids], own, 0.0)
@@ -319,7 +320,7 @@ def score(docs: DataFrame, vocab: DataFrame, lex: Lexicon, model: Model) -> Data
                 for x, values in zip(columns, (batch.column(0).slice(done, len(texts)).to_pylist(), lengths, known, np.add.reduceat(own, starts), np.add.reduceat(lp, starts)), strict=False):
                     x.extend(values)
                 for own_tail in tails:
-                    tally = Counter(flat_words[k] for k in own_tail)
+                    tally = Counter([words[k] for k in own_tail])
                     columns[5].append(list(tally.keys()))
                     columns[6].append(list(tally.values()))
                 done += len(texts)
