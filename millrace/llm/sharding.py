@@ -32,7 +32,7 @@ def record_columns(docs: DataFrame) -> DataFrame:
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(raw), F.lit(0)).cast("long").alias("text_crc32"),
-        F.xxhash64("text").alias("key"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"),
         F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("long").alias("id_key"),
     )
 
