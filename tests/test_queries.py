@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__
 from millrace import catalog
 
-from oracle import spark_rows, sql_rows
+from .oracle import spark_rows, sql_rows
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
