@@ -23,9 +23,9 @@ def finish(df: DataFrame, size: str = "100MB") -> DataFrame:
     return df.transform(frame.hash_dedup_drop("binary", order="id")).transform(frame.repartition(size=size))
 
 
-def functions(sources: DataFrame, disassembler: Disassembler) -> DataFrame:
+def functions(sources: DataFrame, disassembler: Disassembler, compiler: str = "g++") -> DataFrame:
     """Compile, disassemble, deduplicate."""
-    return finish(disassemble(compile_cpp(sources), disassembler))
+    return finish(disassemble(compile_cpp(sources, compiler), disassembler))
 
 
 def samples(spark: SparkSession, path: str, disassembler: Disassembler) -> DataFrame:
