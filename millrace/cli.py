@@ -11,6 +11,7 @@ from .operators.split import parse_rename, parse_split, write_splits
 from .plans.runner import modify
 from .session import cluster, flush
 from .sources import parquet
+from .sources.local import shell
 
 
 def parser() -> argparse.ArgumentParser:
@@ -38,6 +39,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("splits", nargs="+", type=parse_split, metavar="name:percent")
     p.add_argument("--seed", type=int, default=42)
     p.add_argument("--key", default="id")
+    p = commands.add_parser("shell", help="look at a dataset")
+    p.add_argument("input")
+    p.add_argument("--eager", action="store_true", help="load all of it into pandas")
     commands.add_parser("hash", help="SHA-256 of a file").add_argument("path")
     commands.add_parser("timestamp", help="the time as a tag")
     return top
@@ -52,6 +56,9 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "timestamp":
         print(datetime.now().strftime("%Y%m%d-%H%M%S"))
         return 0
+    if args.command == "shell":
+        shell(cluster("local", 4), args.input, args.eager)
+        return 0
     spark = cluster(args.cluster, args.parallelism, master=args.master)
     try:
         if args.command == "split":

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import service
+from ..sources.shared import new_path
 from ..streaming import worker
 from . import fixtures as fx
 from .fixtures import table
@@ -95,8 +93,7 @@ def users_get_or_create(spark, sf):
 
 def stream_worker(spark, sf):
     """Queued events as files, answered by a stream until none is left."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='millrace-stream-')}"
-    folder = f"{root}/worker-{uuid.uuid4().hex}"
+    folder = new_path(spark, "worker")
     requests = fx.queue(spark, sf).select("id", "user_id", "input", "timestamp", "state")
     requests.write.mode("overwrite").parquet(f"{folder}/in")
     stream = worker.work(spark, f"{folder}/in", requests.schema.simpleString()[7:-1].replace(":", " "), f"{folder}/out", f"{folder}/checkpoint")

@@ -10,9 +10,9 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.errors import InvalidFileType
+from millrace.errors import InvalidFileType, PathDoesNotExist, PathExists
 from millrace.plans import pipelines
-from millrace.sources import archives, parquet, text
+from millrace.sources import archives, local, parquet, shared, text
 
 
 @pytest.fixture
@@ -160,3 +160,32 @@ def test_sqlite(spark, tmp_path):
         db.execute("CREATE TABLE user(id INT, username TEXT)")
         db.execute("INSERT INTO user VALUES (1, 'a')")
     assert text.sqlite_table(spark, str(tmp_path / "db"), "user", "id long, username string").first().username == "a"
+
+
+def test_cache(tmp_path, monkeypatch):
+    source = tmp_path / "x.bin"
+    source.write_bytes(b"one")
+    monkeypatch.delenv("MILLRACE_CACHE", raising=False)
+    assert local.cached(str(source)) == str(source)
+    copy = local.cached(str(source), str(tmp_path / "cache"))
+    assert copy != str(source) and open(copy, "rb").read() == b"one" and copy.endswith("-x.bin")
+    source.write_bytes(b"three")
+    assert local.cached(str(source), str(tmp_path / "cache")) == copy and open(copy, "rb").read() == b"three"
+    with pytest.raises(PathDoesNotExist):
+        local.cached(str(tmp_path / "no"))
+    with pytest.raises(PathExists):
+        local.require_no_path(str(source))
+
+
+def test_shared_folder(spark):
+    assert shared.new_path(spark, "a") != shared.new_path(spark, "a")
+    assert shared.shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def test_load(spark, tmp_path, monkeypatch):
+    parquet.write(spark.range(3), f"{tmp_path}/x")
+    assert local.load(spark, f"{tmp_path}/x").count() == len(local.load(spark, f"{tmp_path}/x", eager=True)) == 3
+    seen = {}
+    monkeypatch.setattr(local.code, "interact", lambda banner, local: seen.update(local))
+    local.shell(spark, f"{tmp_path}/x")
+    assert seen["dataset"].count() == 3
