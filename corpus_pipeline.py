@@ -3,22 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from millrace.llm import langid, minhash, mixing, packing, quality
 from millrace.llm.common import small, stage, table
 
-#: A document whose largest language has less than this share is in no language.
-LEAST_SHARE = 0.4
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents of a recognised language, as learned from all that carry a label.
 
-    Rejected are those without a letter and those in which no language reaches ``LEAST_SHARE``.
+    Rejected are those in which none is found; text in several languages is as good as any.
     """
     langs, model = langid.train(docs)
-    return langid.annotate(docs, langs, model).filter(F.col("score") >= LEAST_SHARE).select(*docs.columns)
+    return langid.annotate(docs, langs, model).filter("lang_pred <> 'und'").select(*docs.columns)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
