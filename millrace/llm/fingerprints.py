@@ -105,13 +105,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     place = lambda r, extra: F.struct(r.cast("int").alias("range"), F.lit(extra).alias("extra"))
     own, above = place(F.col("range"), 0), place((F.col("range") + 1) % n, 1)
     rows = rows.withColumn("to", F.explode(F.when(F.col("key") == F.get(bounds, F.col("range")), F.array(own, above)).otherwise(F.array(own))))
-    order = Window.partitionBy("to.range").orderBy(F.col("to.extra"), F.col("key").desc(), F.col("text"))
-    return (
-        rows.withColumn("next_text", F.lead("text").over(order))
-        .withColumn("next_sigs", F.lead("sigs").over(order))
-        .filter("to.extra = 0")
-        .select("doc_id", "text", F.char_length("text").alias("n_chars"), "sigs", "next_text", "next_sigs")
-    )
+    rows = rows.select("doc_id", "text", "sigs", "key", "to.range", "to.extra")
+    order = Window.partitionBy("range").orderBy("extra", F.col("key").desc(), "text")
+    found = rows.select("doc_id", "text", "sigs", "extra", F.lead("text").over(order).alias("next_text"), F.lead("sigs").over(order).alias("next_sigs"))
+    return found.filter("extra = 0").select("doc_id", "text", F.char_length("text").alias("n_chars"), "sigs", "next_text", "next_sigs")
 
 
 def edit_report(docs: DataFrame) -> DataFrame:
