@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm import langid, minhash, mixing, packing, quality
 from millrace.llm.common import small, stage, table
 
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents of a recognised language, as learned from all that carry a label.
 
