@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import stage
 from .words import raw_texts, windows, word_hashes
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -214,8 +215,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = 40_00
     """At most about ``sample_rows`` labelled documents' features and ``bad`` (quality 0), chosen by a hash of their id."""
     known = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     share = min(1.0, sample_rows / max(1, known.count()))
-    known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    rows = statistics(docs.join(known.select("doc_id"), "doc_id", "left_semi")).join(known, "doc_id")
+    known = stage(known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))), "quality-labels")
+    # the sample is bounded, so it goes to the documents and no text is shuffled
+    rows = statistics(docs.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(known), "doc_id")
     return rows.select(*[F.expr(x).alias(n) for n, x in FEATURES.items()], (F.col("quality") == 0).alias("bad")).toPandas()
 
 
