@@ -8,9 +8,12 @@ handful of numpy operations on it, however many bins are open.
 
 from __future__ import annotations
 
+import contextlib
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -18,55 +21,98 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose ids one Python worker remembers; the memory is emptied when full.
-REMEMBERED = 600_000
+#: Chunks whose ids one Python worker remembers, besides as many from before.
+REMEMBERED = 500_000
+#: Characters whose new chunks go to the tokenizer together.
+BLOCK = 2 << 20
 #: Documents that one packing task receives on average.
 GROUP_ROWS = 20_000
 
-_AFTER_WORD = re.compile(r"(?<=[a-z])([.,!?;:*#$%&|]+)")
-
-
-def _latin(text: str) -> bool:
-    try:
-        return text.isascii() or bool(text.encode("latin-1"))
-    except UnicodeEncodeError:
-        return False
-
-
-_encoders: dict[str, Encoder] = {}
-
+#: Texts of these characters alone, with neither apostrophe nor special token, have boundaries at all symbols.
+_PLAIN = re.compile(r"[\t\n\r\x20-\x26\x28-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+_SYMBOLS = re.compile(r"[!-/:-@\[-`{-~]+")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 class Encoder:
     """Ids of a text as little-endian bytes, one white-space chunk at a time.
 
     The tokenizer's own rules split at white space and never merge across it, so a
     text's ids are those of its chunks in turn; chunks repeat, and most are remembered.
-    Only space, tab and newline count here: other white space stays in the chunk for the tokenizer itself.
-    It lowers letters and parts punctuation from a word before it, so doing both first
-    changes nothing and makes chunks repeat more; texts that may hold a special token, or
-    letters beyond Latin-1, are left as they are.
+    It also lowers letters and parts words from runs of symbols, so doing the same first changes
+    nothing and makes chunks repeat more; texts that are not plain are left as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.seen = Tokenizer.from_file(path), {"": b""}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer, self.seen, self.old = Tokenizer.from_file(path), {}, {}
+        vocab = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.is_end[[k for token, k in vocab.items() if token.endswith("</w>")]] = True
 
     def __call__(self, text: str) -> bytes:
-        if "<|" not in text and _latin(text):
-            text = _AFTER_WORD.sub(r" \1", text.lower())
-        chunks, seen = text.replace("\n", " ").replace("\t", " ").split(" "), self.seen
-        try:
-            return b"".join([seen[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(seen) > REMEMBERED:
-            seen.clear()
-            seen[""] = b""
-        new = [c for c in dict.fromkeys(chunks) if c not in seen]
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            seen[c] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return b"".join([seen[c] for c in chunks])
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. What is new in all of them goes to the tokenizer at once."""
+        if len(self.seen) > REMEMBERED:
+            self.old, self.seen = self.seen, {}
+        out: list[list] = []
+        gaps: list[tuple[list, list[str], list[int]]] = []
+        new: set[str] = set()
+        get = self.seen.get
+        for text in texts:
+            if "<|" not in text and _PLAIN.fullmatch(text):
+                chunks = _SYMBOLS.sub(r" \g<0> ", text.lower()).split()
+            elif any(x in text for x in _SEPARATORS):  # Python splits there, the tokenizer takes them for symbols
+                chunks = text.replace("\n", " ").split(" ")
+            else:
+                chunks = text.split()
+            found = list(map(get, chunks))
+            if None in found:
+                at, k = [], -1
+                with contextlib.suppress(ValueError):
+                    while True:
+                        k = found.index(None, k + 1)
+                        at.append(k)
+                gaps.append((found, chunks, at))
+                new.update([chunks[k] for k in at])
+            out.append(found)
+        self._learn(new)
+        for found, chunks, at in gaps:
+            for k in at:
+                found[k] = self.seen[chunks[k]]
+        return [b"".join(x) for x in out]
+
+    def _learn(self, new: set[str]) -> None:
+        """Remember chunks, from before or from the tokenizer."""
+        known = new & self.old.keys()
+        self.seen.update({c: self.old[c] for c in known})
+        new = new - known
+        self._together([c for c in new if c.isalpha() and _PLAIN.fullmatch(c)])
+        left = [c for c in new if c not in self.seen]
+        for c, e in zip(left, self.tokenizer.encode_batch_fast(left, add_special_tokens=False), strict=True):
+            self.seen[c] = np.asarray(e.ids, dtype="<u4").tobytes()
+
+    def _together(self, words: list[str]) -> None:
+        """Remember words of Latin-1 letters, encoded as one text: each is one word to the tokenizer, and ends where an end-of-word id stands."""
+        if not words:
+            return
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.nonzero(self.is_end[ids])[0] + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return  # not as expected: the caller encodes them one by one
+        raw, at = ids.tobytes(), 0
+        for word, end in zip(words, (4 * ends).tolist(), strict=True):
+            self.seen[word] = raw[at:end]
+            at = end
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """The worker's encoder for a file: tasks that follow each other share what it remembers."""
+    return Encoder(path)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -86,18 +132,21 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capac
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _encoders:
-            _encoders[path] = Encoder(path)
-        encode = _encoders[path]
+        encode = encoder(path)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                raw = text.as_py()
-                ids = memoryview((encode(raw) if raw else b"") + end)
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for column, x in zip(out, (doc_id.as_py(), piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(x)
+            ids_of, texts, at = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()], 0
+            while at < len(texts):
+                some, size = at, 0
+                while at < len(texts) and size < BLOCK:
+                    size += len(texts[at])
+                    at += 1
+                for doc_id, raw in zip(ids_of[some:at], encode.many(texts[some:at]), strict=True):
+                    ids = memoryview(raw + end)
+                    for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[start : start + 4 * capacity]
+                        for column, x in zip(out, (doc_id, piece, start // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                            column.append(x)
             yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
