@@ -28,7 +28,7 @@ ANCHORS = tuple(
 #: Content words of a chain.
 CHAIN = 3
 #: Most splitters of the order of ids that the driver holds, and rows between two of them.
-MOST_SPLITTERS, ROWS_BETWEEN = 200_000, 2_000
+MOST_SPLITTERS, ROWS_BETWEEN = 200_000, 500
 _LEAST = -(2**63)
 
 
