@@ -5,7 +5,9 @@ each tree, documents are sorted by their signature, so that neighbours are those
 with the longest common prefix (Bawa, Condie and Ganesan, 2005). A document is
 compared with the neighbours before it, and regions of the order which still hold several
 components are then searched whole, to a depth that adapts to how many there are.
-Candidates are screened by their signatures and confirmed on the full sets.
+Candidates are screened by their signatures and confirmed on the full sets. What that leaves
+apart is then searched exactly: two sets of the similarity share a shingle among the first quarter of
+each, in any one order of all shingles (Chaudhuri, Ganti and Kaushik, 2006), here the rare ones first.
 
 The sort is a range partition by the whole signature and the document, so a group of copies of any
 size is spread over tasks; equal sets were merged before.
@@ -35,6 +37,10 @@ WINDOW = 12
 ROUNDS, STANDING = 4, 12
 #: Share of equal minima from which a pair is confirmed: three deviations below 0.75.
 SCREEN = 0.6
+#: Documents whose shingles tell which ones are frequent, and how many of them must hold such a one. This sets only the order.
+SAMPLE, FREQUENT = 20_000, 8
+#: Documents of one shingle that a task pairs with as many others.
+BLOCK = 1024
 
 
 def shingle_set(raw: bytes, n: int = 5) -> np.ndarray:
@@ -229,6 +235,89 @@ def confirm(pairs: DataFrame, texts: DataFrame, n: int, hundredths: int) -> Data
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "raw_a", "raw_b").mapInArrow(check, "a long, b long")
 
 
+def frequent_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, of the shingles frequent in a sample of fixed size, and their counts."""
+    share = SAMPLE / max(SAMPLE, docs.count())
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(raw, n) for raw in raw_texts(batch.column(0))]
+            yield pa.record_batch([pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())], ["token"])
+
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("order")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    counted = some.select(F.col("text").cast("binary")).mapInArrow(explode, "token long").groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT)
+    got = counted.toArrow()
+    token, count = got.column("token").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(token)
+    return token[order], count[order]
+
+
+def prefixes(docs: DataFrame, n: int, hundredths: int) -> DataFrame:
+    """``token, digest, size, pos``: of each set the shingles of which every set alike enough shares one, in the common order."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = frequent.value
+        for batch in batches:
+            tokens, sizes, lengths, digests = [], [], [], []
+            for raw in raw_texts(batch.column(0)):
+                s = shingle_set(raw, n)
+                if not len(s):
+                    continue
+                length = len(s) - (hundredths * len(s) + 99) // 100 + 1
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    order = np.argsort(np.where(known[at] == s, counts[at], 0), kind="stable")[:length]
+                else:
+                    order = np.arange(length)
+                tokens.append(s[order])
+                sizes.append(len(s))
+                lengths.append(length)
+                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+            for lo in range(0, len(tokens), 512):
+                k = np.array(lengths[lo : lo + 512])
+                owner = np.repeat(np.arange(len(k)), k)
+                yield pa.record_batch(
+                    [
+                        pa.array(np.concatenate(tokens[lo : lo + 512]).view(np.int64)),
+                        pa.array(digests[lo : lo + 512], pa.binary()).take(pa.array(owner)),
+                        pa.array(np.array(sizes[lo : lo + 512], dtype=np.int32)[owner]),
+                        pa.array((np.arange(len(owner)) - np.repeat(np.cumsum(k) - k, k)).astype(np.int32)),
+                    ],
+                    ["token", "digest", "size", "pos"],
+                )
+
+    return docs.select(F.col("text").cast("binary")).mapInArrow(cut, "token long, digest binary, size int, pos int")
+
+
+def left_apart(docs: DataFrame, reps: DataFrame, comp: DataFrame, n: int, hundredths: int) -> DataFrame:
+    """Every pair of different components that may reach the similarity, by shared prefixes: ``a, b``. Nothing is capped.
+
+    A shingle of many documents is dealt out in blocks, each with each other.
+    """
+    first = stage(prefixes(docs.filter("doc_id is not null"), n, hundredths).withColumn("owner", F.xxhash64("digest")).drop("digest"), "near-first")
+    # most shingles are of one set only; equal sets have one owner
+    shared = first.groupBy("token").agg(F.min("owner").alias("x"), F.max("owner").alias("y")).filter("x <> y").select("token")
+    named = reps.join(comp, "node", "left").select(F.xxhash64("digest").alias("owner"), "node", F.coalesce("component", "node").alias("comp"))
+    held = stage(first.join(stage(shared, "near-shared-tokens"), "token").distinct().join(named, "owner"), "near-held")
+    drop_stage(first)
+    mixed = held.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = (
+        held.join(mixed.select("token", blocks.alias("blocks")), "token")
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "comp", "size", "pos")
+    )
+    dealt = stage(dealt, "near-dealt")
+    side = lambda x: dealt.select("token", "lo", "hi", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "node", "comp", "size", "pos")])
+    pairs = side("a").join(side("b"), ["token", "lo", "hi"]).filter("node_a < node_b and comp_a <> comp_b and (lo = hi or block_a <> block_b)")
+    pairs = pairs.filter(f"{hundredths} * greatest(size_a, size_b) <= 100 * least(size_a, size_b)")
+    # of the first shingle that they share, no more can be shared than what follows it
+    pairs = pairs.filter(f"{100 + hundredths} * cast(least(size_a - pos_a, size_b - pos_b) as long) >= {hundredths} * cast(size_a + size_b as long)")
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, hundredths: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs`` (``doc_id, text``).
 
@@ -249,7 +338,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, hundredths: int = 75) -> DataFr
     )
     known = rows.join(shared, "digest", "left").withColumn("node", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     reps = stage(
-        known.filter("digest is not null and doc_id = node").select("node", F.col("n_shingles").alias("size"), "sig", F.coalesce("copies", F.lit(1)).alias("copies")).dropDuplicates(["node", "size", "sig"]), "near-reps"
+        known.filter("digest is not null and doc_id = node").select("node", F.col("n_shingles").alias("size"), "sig", "digest", F.coalesce("copies", F.lit(1)).alias("copies")).dropDuplicates(["node", "digest"]), "near-reps"
     )
     # Round 1: the most alike neighbour of each document in each tree.
     found = stage(neighbours(forest(reps), least).groupBy("a", "b").agg(F.min("tree").alias("tree"), F.max("alike").alias("alike")), "near-found")
@@ -283,6 +372,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, hundredths: int = 75) -> DataFr
         failed = _apart(more, comp, ends="comp")
         open_comps = stage(failed.select(F.explode(F.array("a", "b")).alias("comp")).distinct(), "near-open")
         tried = tried.union(more)
+    # What the signatures did not bring together: every pair of what are still different components.
+    more = stage(left_apart(docs, reps, comp, n, hundredths).join(tried, ["a", "b"], "left_anti"), "near-more")
+    own = stage(more.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-ids")
+    comp = merge(comp, stage(confirm(more, raw.join(small(own), "node", "left_semi"), n, hundredths), "near-links"))
     return (
         known.join(comp.withColumnRenamed("component", "component_id"), "node", "left")
         .select("doc_id", "n_shingles", F.coalesce("component_id", "node").alias("component_id"))

@@ -403,6 +403,31 @@ def test_near_duplicates_of_families(spark):
     assert len(wrong) <= 0.02 * len(rows)
 
 
+def _replaced(words, at, count, rng):
+    return words[:at] + [f"y{rng.randrange(10**9)}" for _ in range(count)] + words[at + count :]
+
+
+def _same_components(spark, rows, parts=7):
+    want, _ = brute_components(rows)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+    return want
+
+
+def test_near_duplicates_single_links_to_a_large_group(spark, monkeypatch):
+    """Documents whose only link leads to one of many variants, far more than stand for their group, none lost."""
+    import random
+
+    monkeypatch.setattr(minhash, "WINDOW", 1)
+    monkeypatch.setattr(minhash, "STANDING", 1)
+    rng = random.Random(21)
+    base = [f"b{k}" for k in range(200)]
+    variants = [_replaced(base, rng.randrange(4, 90), 5, rng) for _ in range(400)]
+    outside = [_replaced(v, rng.randrange(110, 170), 24, rng) for v in variants[:80]]
+    rows = [(k, " ".join(w)) for k, w in enumerate([base, *variants, *outside])]
+    assert set(_same_components(spark, rows).values()) == {0}
+
+
 def test_near_duplicates_empty(empty):
     assert minhash.near_duplicates(empty).count() == 0
 
