@@ -13,6 +13,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,16 +183,90 @@ def learn_merges(words: dict[str, int], ids: dict[str, int], size: int) -> list[
     return merges
 
 
+def _merge(parts: list[str], pair: tuple[str, str]) -> list[str]:
+    merged, at = [], 0
+    while at < len(parts):
+        if at + 1 < len(parts) and (parts[at], parts[at + 1]) == pair:
+            merged.append(parts[at] + parts[at + 1].removeprefix(PREFIX))
+            at += 2
+        else:
+            merged.append(parts[at])
+            at += 1
+    return merged
+
+
+def learn_merges_spread(words: DataFrame, ids: dict[str, int], size: int, kept: int = 16) -> list[tuple[str, str]]:
+    """The merges of :func:`learn_merges` over a table ``token, n`` of any size.
+
+    Pairs are counted on the executors, one job a merge, and only the pair to merge reaches the driver.
+    The split words are kept anew after every ``kept`` merges.
+    """
+    letters = words.select("token", F.posexplode(F.split("token", "")).alias("at", "c")).filter("c <> ''")
+    piece = F.when(F.col("at") == 0, F.col("c")).otherwise(F.concat(F.lit(PREFIX), "c"))
+    first = letters.groupBy(piece.alias("piece")).agg(F.min(F.struct("token", "at")).alias("x")).orderBy("x").collect()
+    for c in sorted({r["piece"].removeprefix(PREFIX) for r in first}):
+        ids.setdefault(c, len(ids))
+    for r in first:
+        ids.setdefault(r["piece"], len(ids))
+
+    def spelled(late: list[tuple[str, str]]):
+        def spell(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+            for batch in batches:
+                rows = batch.column(0).to_pylist()
+                for pair in late:
+                    rows = [_merge(parts, pair) if pair[0] in parts else parts for parts in rows]
+                yield pa.record_batch([pa.array(rows, pa.list_(pa.string())), batch.column(1)], ["parts", "n"])
+
+        return spell
+
+    def counted(known: dict[str, int]):
+        def count(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+            pairs: Counter = Counter()
+            for batch in batches:
+                for parts, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    for x, y in zip(parts, parts[1:], strict=False):
+                        pairs[known[x], known[y]] += n
+            yield pa.record_batch([pa.array([k[0] for k in pairs], pa.int32()), pa.array([k[1] for k in pairs], pa.int32()), pa.array(list(pairs.values()), pa.int64())], ["x", "y", "n"])
+
+        return count
+
+    pieces = F.transform(F.filter(F.split("token", ""), lambda c: c != ""), lambda c, k: F.when(k == 0, c).otherwise(F.concat(F.lit(PREFIX), c)))
+    state = words.select(pieces.alias("parts"), F.col("n").cast("long").alias("n")).persist()
+    merges: list[tuple[str, str]] = []
+    late: list[tuple[str, str]] = []
+    while len(ids) < size:
+        now = state.mapInArrow(spelled(late), "parts array<string>, n long") if late else state
+        if len(late) == kept:
+            now = now.localCheckpoint()
+            state.unpersist()
+            state, late = now, []
+        pairs = now.mapInArrow(counted(dict(ids)), "x int, y int, n long").groupBy("x", "y").agg(F.sum("n").alias("n"))
+        best = pairs.agg(F.min(F.struct((-F.col("n")).alias("n"), "x", "y")).alias("best")).first()["best"]
+        if best is None or best["n"] >= 0:
+            break
+        names = {v: k for k, v in ids.items()}
+        pair = (names[best["x"]], names[best["y"]])
+        ids.setdefault(pair[0] + pair[1].removeprefix(PREFIX), len(ids))
+        merges.append(pair)
+        late = [*late, pair]
+    state.unpersist()
+    return merges
+
+
 def train_tokenizer(counts: DataFrame, length: int = 512, size: int = 4096, most_words: int = 1_000_000) -> Tokenizer:
     """A tokenizer from the table of counts.
 
-    Counting is distributed; merging runs on the driver over the ``most_words`` most frequent
-    immediates and as many whole tokens, which bounds it whatever the corpus. Counts are weights and never expanded.
+    Counting is distributed. Up to ``most_words`` distinct immediates are merged on the driver, more of them on the
+    executors, with equal results. Every whole token gets an id. Counts are weights and never expanded.
     """
-    top = lambda kind: counts.filter(F.col("kind") == kind).orderBy(F.col("n").desc(), "token").limit(most_words).collect()
     ids = {t: k for k, t in enumerate(text.SPECIAL_TOKENS)}
-    merges = learn_merges({r["token"]: r["n"] for r in top("immediates")}, ids, size)
-    whole = [r["token"] for r in top("tokens") if r["token"] not in text.SPECIAL_TOKENS]
+    immediates = counts.filter("kind = 'immediates'").select("token", "n")
+    if immediates.count() <= most_words:
+        merges = learn_merges({r["token"]: r["n"] for r in immediates.collect()}, ids, size)
+    else:
+        merges = learn_merges_spread(immediates, ids, size)
+    others = counts.filter("kind = 'tokens'").orderBy(F.col("n").desc(), "token").collect()
+    whole = [r["token"] for r in others if r["token"] not in text.SPECIAL_TOKENS]
     for t in whole:
         ids.setdefault(t, len(ids))
     return Tokenizer(ids, merges, whole, length)

@@ -69,6 +69,15 @@ def test_tokenizer(spark):
     assert tokens.detokenize(tokens.tokenize(df, t), t).first().text == "xor eax 42 [NEXT] add eax 42 [PAD]"
 
 
+def test_tokenizer_learns_from_all_counts(spark):
+    """More distinct immediates and whole tokens than the driver merges: the same tokenizer."""
+    words = [("immediates", str(k * 7919 % 10007), 1 + k % 3) for k in range(300)] + [("immediates", "-9999_999", 4)]
+    counts = spark.createDataFrame(words + [("tokens", f"t{k}", 1) for k in range(20)], "kind string, token string, n long").repartition(3)
+    want, got = tokens.train_tokenizer(counts, size=50), tokens.train_tokenizer(counts, size=50, most_words=5)
+    assert len(got.merges) > 16 and len(got.whole) == 20
+    assert got.save() == want.save()
+
+
 def test_merges_like_the_public_library():
     from tokenizers import Tokenizer, models, pre_tokenizers, trainers
 
