@@ -21,7 +21,7 @@ def token_counts(spark, sf):
 def token_counts_merged(spark, sf):
     docs = table(spark, sf, "documents")
     parts = [tokens.count_tokens(docs.filter(F.col("lang") == x), "text") for x in ("en", "de", "fr", "es")]
-    return tokens.merge_counts(*parts, tokens.count_tokens(docs.filter(~F.col("lang").isin("en", "de", "fr", "es")), "text"))
+    return tokens.merge_counts(*parts, tokens.count_tokens(docs.filter(~F.coalesce("lang", F.lit("")).isin("en", "de", "fr", "es")), "text"))
 
 
 def immediates(spark, sf):

@@ -55,6 +55,15 @@ def test_counts(spark):
     assert merged["eax"] == 8
 
 
+def test_merged_counts_of_documents_without_language(spark, tmp_path):
+    from millrace.plans import queries_model
+
+    rows = [("a b", "en"), ("b c", None), ("c c", "xx")]
+    spark.createDataFrame(rows, "text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.token: r.n for r in queries_model.token_counts_merged(spark, str(tmp_path)).collect()}
+    assert got == {"a": 1, "b": 2, "c": 3}
+
+
 def test_tokenizer(spark):
     counts = spark.createDataFrame([("tokens", "xor", 1), ("tokens", "add", 1), ("tokens", "eax", 3), ("immediates", "42", 1)], "kind string, token string, n long")
     t = tokens.train_tokenizer(counts, length=8)
