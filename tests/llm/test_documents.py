@@ -428,6 +428,20 @@ def test_near_duplicates_single_links_to_a_large_group(spark, monkeypatch):
     assert set(_same_components(spark, rows).values()) == {0}
 
 
+def test_near_duplicates_below_the_screen(spark):
+    """Links whose minima agree less often than the screen asks."""
+    import random
+
+    rng, rows = random.Random(23), []
+    while len(rows) < 6:
+        w = [f"s{rng.randrange(10**9)}" for _ in range(60)]
+        pair = [" ".join(w), " ".join(_replaced(w, 20, 4, rng))]
+        x, y = (minhash.minima(minhash.shingle_set(t.encode())) for t in pair)
+        if (x == y).mean() < 0.6:
+            rows += [(len(rows) + k, t) for k, t in enumerate(pair)]
+    assert len(set(_same_components(spark, rows, 2).values())) == 3
+
+
 def test_near_duplicates_empty(empty):
     assert minhash.near_duplicates(empty).count() == 0
 
