@@ -442,6 +442,19 @@ def test_near_duplicates_below_the_screen(spark):
     assert len(set(_same_components(spark, rows, 2).values())) == 3
 
 
+def test_near_duplicates_across_partitions(spark, monkeypatch):
+    """Every row of the sorted trees in a partition of its own, so that each link crosses a boundary."""
+    import random
+
+    alone = lambda f: lambda rows, least: f(rows.limit(1), least)
+    monkeypatch.setattr(minhash, "neighbours", alone(minhash.neighbours))
+    monkeypatch.setattr(minhash, "regions", alone(minhash.regions))
+    rng = random.Random(24)
+    own = [[f"q{rng.randrange(10**9)}" for _ in range(60)] for _ in range(20)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(own + [_replaced(w, 20, 3, rng) for w in own])]
+    assert len(set(_same_components(spark, rows).values())) == 20
+
+
 def test_near_duplicates_empty(empty):
     assert minhash.near_duplicates(empty).count() == 0
 
