@@ -455,6 +455,20 @@ def test_near_duplicates_across_partitions(spark, monkeypatch):
     assert len(set(_same_components(spark, rows).values())) == 20
 
 
+def test_near_duplicates_of_crowded_regions(spark, monkeypatch):
+    """Pairs among documents that share a passage, far more of them than a region is searched for, none lost."""
+    import random
+
+    monkeypatch.setattr(minhash, "REGION", 4)
+    monkeypatch.setattr(minhash, "WINDOW", 1)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng = random.Random(22)
+    passage = [f"p{k}" for k in range(85)]
+    own = [passage + [f"o{rng.randrange(10**9)}" for _ in range(35)] for _ in range(400)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(own + [_replaced(w, 95, 12, rng) for w in own[:200]])]
+    assert len(set(_same_components(spark, rows).values())) == 400
+
+
 def test_near_duplicates_empty(empty):
     assert minhash.near_duplicates(empty).count() == 0
 
