@@ -4,10 +4,11 @@ Every document's set of word shingles has ``TREES`` signatures of ``DEPTH`` mini
 each tree, documents are sorted by their signature, so that neighbours are those
 with the longest common prefix (Bawa, Condie and Ganesan, 2005). A document is
 compared with the neighbours before it, and regions of the order which still hold several
-components are then searched whole, to a depth that adapts to how many there are.
-Candidates are screened by their signatures and confirmed on the full sets. What that leaves
-apart is then searched exactly: two sets of the similarity share a shingle among the first quarter of
-each, in any one order of all shingles (Chaudhuri, Ganti and Kaushik, 2006), here the rare ones first.
+components are then searched, to a depth that adapts to how many there are.
+Candidates are screened by their signatures and confirmed on the full sets. The forest finds nearly all
+links quickly but promises none, so what it leaves apart is then searched exactly: two sets of the similarity
+share a shingle among the first quarter of each, in any one order of all shingles (Chaudhuri,
+Ganti and Kaushik, 2006), here the rare ones first. Nothing there is screened, capped or sampled.
 
 The sort is a range partition by the whole signature and the document, so a group of copies of any
 size is spread over tasks; equal sets were merged before.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_stage, small, stage
 from .components import components
-from .words import raw_texts, windows, word_hashes
+from .words import raw_texts, release, text_blocks, windows, word_keys
 
 TREES, DEPTH = 12, 6
 #: A region is the documents of a tree with this many minima in common, and is compared whole up to so many
@@ -33,53 +34,129 @@ TREES, DEPTH = 12, 6
 LEAST_DEPTH, REGION = 2, 512
 #: Neighbours in the order that a document is compared with.
 WINDOW = 12
-#: Rounds of the search of whole regions, and documents that stand for a component in one of them after the first.
-ROUNDS, STANDING = 4, 12
-#: Share of equal minima from which a pair is confirmed: three deviations below 0.75.
+#: Share of equal minima from which the forest has a pair confirmed: three deviations below 0.75.
 SCREEN = 0.6
 #: Documents whose shingles tell which ones are frequent, and how many of them must hold such a one. This sets only the order.
-SAMPLE, FREQUENT = 20_000, 8
-#: Documents of one shingle that a task pairs with as many others.
-BLOCK = 1024
-
-
-def shingle_set(raw: bytes, n: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the ``n``-word shingles of a text in UTF-8, A-Z lowered."""
-    return np.unique(windows(word_hashes(raw.lower().split()), n))
+SAMPLE, FREQUENT = 20_000, 3
+#: Most bits of the parities that rule a pair out.
+PARITY_BITS = 1 << 17
+#: Holders of one shingle up to which their pairs are found where the shingle is; more are dealt out in blocks of so many.
+FEW, BLOCK = 64, 1024
+#: Shingles that one task of the exact search receives on average, and most that a task holds before it hands them on.
+BUCKET, HELD = 250_000, 1_000_000
+#: From here on stand the numbers of sets whose doc_id has other sets too.
+FURTHER = 1 << 62
+
+
+def shingle_sets(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
+    """Of each text in UTF-8, the sorted distinct hashes of its ``n``-word shingles, A-Z lowered."""
+    keys, ends = word_keys([t.lower() for t in texts])
+    every, out, lo = windows(keys, n), [], 0
+    for hi in ends.tolist():
+        own = np.sort(every[lo : hi - n + 1] if hi - lo >= n else windows(keys[lo:hi], n))
+        out.append(own[np.append(True, own[1:] != own[:-1])] if len(own) else own)
+        lo = hi
+    return out
 
 
-def _family() -> np.ndarray:
-    return np.random.default_rng(20240229).integers(1, 2**63, size=(TREES * DEPTH, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-_FAMILY = _family()
+_FAMILY = np.random.default_rng(20240229).integers(1, 2**31, size=(TREES * DEPTH, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
     """``TREES * DEPTH`` minimum hashes (uint32, by multiply-shift) of a set that is not empty."""
-    out = np.full(len(_FAMILY), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(shingles), 2048):
-        np.minimum(out, (_FAMILY * shingles[at : at + 2048]).min(axis=1), out=out)
-    return (out >> np.uint64(32)).astype(np.uint32)
+    x = (shingles >> np.uint64(32)).astype(np.uint32)
+    out = np.full(len(_FAMILY), np.iinfo(np.uint32).max, dtype=np.uint32)
+    for at in range(0, len(x), 2048):
+        np.minimum(out, (_FAMILY * x[at : at + 2048]).min(axis=1), out=out)
+    return out
+
+
+def parity(shingles: np.ndarray) -> bytes:
+    """A bit for each of about twice as many classes of hashes as there are shingles: whether their number is odd.
+
+    Two sets differ in at least as many shingles as their bits differ, so this rules pairs out
+    without error (Sandes, Teodoro and Melo, 2020). Halves folded by XOR are the parities of half as many classes.
+    """
+    bits = min(PARITY_BITS, 1 << max(6, (2 * len(shingles) - 1).bit_length()))
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differ(x: bytes, y: bytes) -> int:
+    """Number of shingles in which two sets differ, at least, by their parities."""
+    a, b = (np.frombuffer(z, np.uint64) for z in ((x, y) if len(x) <= len(y) else (y, x)))
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+class Frequent:
+    """Which shingles are frequent, and how much."""
 
+    BITS = 23
 
-def sketches(docs: DataFrame, n: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, digest, sig`` of every row; an empty set has neither digest nor signature.
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
+        order = np.argsort(tokens)
+        self.tokens, self.counts = tokens[order], counts[order]
+        self.maybe = np.zeros(1 << self.BITS, dtype=bool)
+        self.maybe[self._class(tokens)] = True
 
-    Equal sets have equal digests (128 bits of BLAKE2). ``sig`` holds the minima, big-endian, tree after tree.
+    def _class(self, tokens: np.ndarray) -> np.ndarray:
+        return tokens & np.uint64((1 << self.BITS) - 1)
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        """Count of each token, 0 where it is not frequent."""
+        out = np.zeros(len(tokens), dtype=np.int64)
+        at = np.nonzero(self.maybe[self._class(tokens)])[0]
+        if len(at):
+            place = np.minimum(np.searchsorted(self.tokens, tokens[at]), len(self.tokens) - 1)
+            out[at] = np.where(self.tokens[place] == tokens[at], self.counts[place], 0)
+        return out
+
+
+def _prefix(s: np.ndarray, frequent: Frequent, hundredths: int) -> np.ndarray:
+    """The shingles of which every set alike enough shares one, in the order that all sets have in common: frequent ones last."""
+    length = len(s) - (hundredths * len(s) + 99) // 100 + 1
+    times = frequent.of(s)
+    rare = s[times == 0]
+    return rare[:length] if len(rare) >= length else s[np.argsort(times, kind="stable")[:length]]
+
+
+def sketches(docs: DataFrame, n: int = 5, hundredths: int = 75) -> DataFrame:
+    """``doc_id, text_key, n_shingles, digest, sig, parity, prefix`` of every row; an empty set has none of the last four.
+
+    ``text_key`` is a hash of the text as it stands. Equal sets have equal digests (128 bits of BLAKE2). ``sig`` holds the
+    minima, big-endian, tree after tree, and ``prefix`` the shingles (uint64) that the exact search looks at.
     """
+    known = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = Frequent(*known.value)
         for batch in batches:
-            sizes, digests, sigs = [], [], []
-            for raw in raw_texts(batch.column(1)):
-                s = shingle_set(raw, n)
-                sizes.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sigs.append(minima(s).astype(">u4").tobytes() if len(s) else None)
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "digest", "sig"])
+            for at, texts in text_blocks(batch.column(2)):
+                sets = shingle_sets(texts, n)
+                of = lambda f, sets=sets: pa.array([f(s) if len(s) else None for s in sets], pa.binary())
+                yield pa.record_batch(
+                    [
+                        batch.column(0).slice(at, len(texts)),
+                        batch.column(1).slice(at, len(texts)),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        of(_digest),
+                        of(lambda s: minima(s).astype(">u4").tobytes()),
+                        of(parity),
+                        of(lambda s: _prefix(s, frequent, hundredths).tobytes()),
+                    ],
+                    ["doc_id", "text_key", "n_shingles", "digest", "sig", "parity", "prefix"],
+                )
+        release()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("raw")).mapInArrow(
+        sketch, "doc_id long, text_key long, n_shingles long, digest binary, sig binary, parity binary, prefix binary"
+    )
 
 
 def forest(reps: DataFrame) -> DataFrame:
@@ -151,18 +228,8 @@ def neighbours(rows: DataFrame, least: float) -> DataFrame:
     return ordered.mapInArrow(walk, _PAIRS)
 
 
-def _best(a: np.ndarray, b: np.ndarray, alike: np.ndarray) -> np.ndarray:
-    """Places of the ``STANDING`` most alike pairs of each two components."""
-    lo, hi = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((-alike, hi, lo))
-    new = np.append(True, (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1]))
-    starts = np.nonzero(new)[0]
-    rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
-    return order[rank < STANDING]
-
-
 def regions(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs of different components in each region, of two components the most alike: ``a, b, tree, alike``.
+    """Pairs of different components in each region: ``a, b, tree, alike``.
 
     A region of more than ``REGION`` such rows parts by its next minimum; at full depth, rows in
     order are compared block by block with the block before.
@@ -185,8 +252,6 @@ def regions(rows: DataFrame, least: float) -> DataFrame:
             large = np.maximum(x["size"][i][:, None], x["size"][j][None, :])
             p, q = np.nonzero((got >= SCREEN) & (small >= least * large) & (x["comp"][i][:, None] != x["comp"][j][None, :]) & (i[:, None] < j[None, :]))
             if len(p):
-                k = _best(x["comp"][i[p]], x["comp"][j[q]], got[p, q])
-                p, q = p[k], q[k]
                 yield x["node"][i[p]], x["node"][j[q]], x["tree"][i[p]], got[p, q]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,167 +287,258 @@ def confirm(pairs: DataFrame, texts: DataFrame, n: int, hundredths: int) -> Data
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
         for batch in batches:
-            keep = []
-            for b, x, y in zip(batch.column("b").to_pylist(), batch.column("raw_a").to_pylist(), batch.column("raw_b").to_pylist(), strict=True):
-                if b != last:
-                    last, own = b, shingle_set(y, n)
-                other = shingle_set(x, n)
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(100 * both >= hundredths * (len(own) + len(other) - both))
-            yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep, sides, nodes = [], batch.column(3), batch.column(1).to_pylist()
+            for at, others in text_blocks(batch.column(2)):
+                for k, other in enumerate(shingle_sets(others, n), at):
+                    if nodes[k] != last:
+                        last, own = nodes[k], shingle_sets([sides[k].as_py()], n)[0]
+                    both = len(np.intersect1d(own, other, assume_unique=True))
+                    keep.append(100 * both >= hundredths * (len(own) + len(other) - both))
+            yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     side = lambda name: texts.select(F.col("node").alias(name), F.col("raw").alias(f"raw_{name}"))
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "raw_a", "raw_b").mapInArrow(check, "a long, b long")
 
 
+def possible(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
+    """The ``pairs`` (``a, b``) that parities do not rule out; ``sets`` has ``node, size, parity``."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            least = np.array([differ(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5), strict=True)], dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array((100 + hundredths) * least <= (100 - hundredths) * total))
+
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("size").cast("long").alias(f"size_{x}"), F.col("parity").alias(f"parity_{x}"))
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "size_b", "parity_a", "parity_b").mapInArrow(check, "a long, b long")
+
+
 def frequent_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, of the shingles frequent in a sample of fixed size, and their counts."""
+    """Hashes of the shingles frequent in a sample of fixed size, and their counts; equal texts count once."""
     share = SAMPLE / max(SAMPLE, docs.count())
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(raw, n) for raw in raw_texts(batch.column(0))]
-            yield pa.record_batch([pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())], ["token"])
-
-    some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("order")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    counted = some.select(F.col("text").cast("binary")).mapInArrow(explode, "token long").groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT)
+            for _, texts in text_blocks(batch.column(0)):
+                sets = shingle_sets(texts, n)
+                yield pa.record_batch([pa.array(np.concatenate(sets).view(np.int64), pa.int64())], ["token"])
+        release()
+
+    some = docs.filter(F.pmod(F.xxhash64("text", F.lit("order")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    some = some.select(F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("raw")).dropDuplicates(["key"])
+    counted = some.select("raw").mapInArrow(explode, "token long").groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT)
     got = counted.toArrow()
-    token, count = got.column("token").to_numpy().view(np.uint64), got.column("n").to_numpy()
-    order = np.argsort(token)
-    return token[order], count[order]
+    return got.column("token").to_numpy().view(np.uint64), got.column("n").to_numpy()
 
 
-def prefixes(docs: DataFrame, n: int, hundredths: int) -> DataFrame:
-    """``token, digest, size, pos``: of each set the shingles of which every set alike enough shares one, in the common order."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n))
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers as bytes: four each where none is negative or larger, else eight."""
+    return x.astype("<u4" if x.min() >= 0 and x.max() < 1 << 32 else "<i8").tobytes()
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = frequent.value
-        for batch in batches:
-            tokens, sizes, lengths, digests = [], [], [], []
-            for raw in raw_texts(batch.column(0)):
-                s = shingle_set(raw, n)
-                if not len(s):
-                    continue
-                length = len(s) - (hundredths * len(s) + 99) // 100 + 1
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    order = np.argsort(np.where(known[at] == s, counts[at], 0), kind="stable")[:length]
-                else:
-                    order = np.arange(length)
-                tokens.append(s[order])
-                sizes.append(len(s))
-                lengths.append(length)
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            for lo in range(0, len(tokens), 512):
-                k = np.array(lengths[lo : lo + 512])
-                owner = np.repeat(np.arange(len(k)), k)
-                yield pa.record_batch(
-                    [
-                        pa.array(np.concatenate(tokens[lo : lo + 512]).view(np.int64)),
-                        pa.array(digests[lo : lo + 512], pa.binary()).take(pa.array(owner)),
-                        pa.array(np.array(sizes[lo : lo + 512], dtype=np.int32)[owner]),
-                        pa.array((np.arange(len(owner)) - np.repeat(np.cumsum(k) - k, k)).astype(np.int32)),
-                    ],
-                    ["token", "digest", "size", "pos"],
-                )
 
-    return docs.select(F.col("text").cast("binary")).mapInArrow(cut, "token long, digest binary, size int, pos int")
+def _unpacked(parts: list[bytes], counts: list[int]) -> np.ndarray:
+    return np.concatenate([np.frombuffer(p, "<u4" if len(p) == 4 * k else "<i8").astype(np.int64) for p, k in zip(parts, counts, strict=True)])
+
 
+def _pairs_within(token: np.ndarray, x: dict[str, np.ndarray], hundredths: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of rows with equal tokens, in order, whose sets may reach the similarity and are in different components."""
+    left, right = [], []
+    at = np.arange(len(token))
+    for lag in range(1, len(token)):
+        at = at[at + lag < len(token)]
+        at = at[token[at] == token[at + lag]]
+        if not len(at):
+            break
+        i, j = at, at + lag
+        ok = x["comp"][i] != x["comp"][j]
+        i, j = i[ok], j[ok]
+        p, q = x["size"][i], x["size"][j]
+        # of the first shingle that they share, no more can be shared than what follows it
+        rest = np.minimum(p - x["pos"][i], q - x["pos"][j])
+        ok = (hundredths * np.maximum(p, q) <= 100 * np.minimum(p, q)) & ((100 + hundredths) * rest >= hundredths * (p + q))
+        left.append(i[ok])
+        right.append(j[ok])
+    return (np.concatenate(left), np.concatenate(right)) if left else (at[:0], at[:0])
+
+
+def shared_shingles(sets: DataFrame, buckets: int, hundredths: int) -> DataFrame:
+    """What the prefixes of sets of different components share: ``a, b, token, node, comp, size, pos``.
+
+    ``sets`` has ``node, comp, size, prefix``. Shingles go to tasks by their top bits, as arrays: most are of one set only and
+    never become rows. Of a shingle of up to ``FEW`` sets, the pairs ``a, b`` that may reach the similarity are given; of
+    others all holders, for :func:`left_apart` to deal out. As frequent shingles stand last, few are in prefixes.
+    """
+    shift = np.uint64(64 - max(1, buckets.bit_length() - 1))
+    kinds = ("node", "comp", "size", "pos")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        sets: list[tuple[int, int, int]] = []
+        total = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            token, lengths = np.concatenate(held), [len(x) for x in held]
+            owner, pos = np.repeat(np.arange(len(held), dtype=np.int32), lengths), np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
+            order = np.argsort(token)
+            token, owner, pos, of = token[order], owner[order], pos[order], np.array(sets, dtype=np.int64)
+            at = token >> shift
+            cuts = np.append(np.append(0, np.nonzero(at[1:] != at[:-1])[0] + 1), len(at)).tolist()
+            for some in range(0, len(cuts) - 1, 64):
+                ranges = list(zip(cuts[some : some + 64], cuts[some + 1 : some + 65]))  # noqa: B905
+                columns = [pa.array([token[lo:hi].tobytes() for lo, hi in ranges], pa.binary())]
+                columns += [pa.array([_packed(of[owner[lo:hi], c]) for lo, hi in ranges], pa.binary()) for c in range(3)]
+                columns += [pa.array([_packed(pos[lo:hi]) for lo, hi in ranges], pa.binary())]
+                yield pa.record_batch([pa.array([int(at[lo]) for lo, _ in ranges], pa.int64()), *columns], ["bucket", "token", *kinds])
 
-def left_apart(docs: DataFrame, reps: DataFrame, comp: DataFrame, n: int, hundredths: int) -> DataFrame:
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+            for row, raw in zip(rows, batch.column(3), strict=True):
+                held.append(np.frombuffer(raw.as_py(), np.uint64))
+                sets.append(row)
+                total += len(held[-1])
+                if total > HELD:
+                    yield from out()
+                    held, sets, total = [], [], 0
+        if held:
+            yield from out()
+        release()
+
+    def find(table: pa.Table) -> pa.Table:
+        raw = {c: table.column(c).to_pylist() for c in ("token", *kinds)}
+        counts = [len(x) // 8 for x in raw["token"]]
+        token = np.frombuffer(b"".join(raw["token"]), np.uint64)
+        order = np.argsort(token)
+        token = token[order]
+        starts = np.nonzero(np.append(True, token[1:] != token[:-1]))[0]
+        long = np.diff(np.append(starts, len(token)))
+        comp = _unpacked(raw["comp"], counts)[order]
+        mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
+        every, many = np.repeat(mixed, long), np.repeat(mixed & (long > FEW), long)
+        x = {c: _unpacked(raw[c], counts)[order][every] for c in kinds}
+        own, many = token[every], many[every]
+        few = {c: v[~many] for c, v in x.items()}
+        i, j = _pairs_within(own[~many], few, hundredths)
+        ends = np.sort(np.stack([few["node"][i], few["node"][j]]), axis=0)
+        pairs = np.unique(ends, axis=1) if len(i) else ends
+        return pa.concat_tables(
+            [
+                pa.table({"a": pairs[0], "b": pairs[1]}),
+                pa.table({"token": own[many].view(np.int64)} | {c: v[many] for c, v in x.items()}),
+            ],
+            promote_options="default",
+        )
+
+    dealt = sets.select("node", "comp", F.col("size").cast("long"), "prefix").mapInArrow(deal, "bucket long, token binary, node binary, comp binary, size binary, pos binary")
+    return dealt.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(find, "a long, b long, token long, node long, comp long, size long, pos long")
+
+
+def left_apart(sets: DataFrame, hundredths: int) -> DataFrame:
     """Every pair of different components that may reach the similarity, by shared prefixes: ``a, b``. Nothing is capped.
 
-    A shingle of many documents is dealt out in blocks, each with each other.
+    ``sets`` has ``node, size, comp, prefix``. A shingle of many documents is dealt out in blocks, each with each other.
     """
-    first = stage(prefixes(docs.filter("doc_id is not null"), n, hundredths).withColumn("owner", F.xxhash64("digest")).drop("digest"), "near-first")
-    # most shingles are of one set only; equal sets have one owner
-    shared = first.groupBy("token").agg(F.min("owner").alias("x"), F.max("owner").alias("y")).filter("x <> y").select("token")
-    named = reps.join(comp, "node", "left").select(F.xxhash64("digest").alias("owner"), "node", F.coalesce("component", "node").alias("comp"))
-    held = stage(first.join(stage(shared, "near-shared-tokens"), "token").distinct().join(named, "owner"), "near-held")
-    drop_stage(first)
-    mixed = held.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    total = sets.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8
+    found = stage(shared_shingles(sets, max(16, 1 << (total // BUCKET).bit_length()), hundredths), "near-held")
+    held = found.filter("token is not null").drop("a", "b")
+    blocks = stage(held.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "near-blocks")
     dealt = (
-        held.join(mixed.select("token", blocks.alias("blocks")), "token")
+        held.join(small(blocks), "token")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "comp", "size", "pos")
     )
-    dealt = stage(dealt, "near-dealt")
     side = lambda x: dealt.select("token", "lo", "hi", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "node", "comp", "size", "pos")])
     pairs = side("a").join(side("b"), ["token", "lo", "hi"]).filter("node_a < node_b and comp_a <> comp_b and (lo = hi or block_a <> block_b)")
     pairs = pairs.filter(f"{hundredths} * greatest(size_a, size_b) <= 100 * least(size_a, size_b)")
-    # of the first shingle that they share, no more can be shared than what follows it
-    pairs = pairs.filter(f"{100 + hundredths} * cast(least(size_a - pos_a, size_b - pos_b) as long) >= {hundredths} * cast(size_a + size_b as long)")
-    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    pairs = pairs.filter(f"{100 + hundredths} * least(size_a - pos_a, size_b - pos_b) >= {hundredths} * (size_a + size_b)")
+    return found.filter("token is null").select("a", "b").union(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, hundredths: int = 75) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs`` (``doc_id, text``).
+    """``doc_id, text_key, n_shingles, component_id, kept`` of every row of ``docs`` (``doc_id, text``).
 
     Documents are linked if their sets of ``n``-word shingles have a Jaccard similarity of at
     least ``hundredths`` / 100; ``component_id`` is the smallest doc_id reachable, ``kept`` marks the
-    document with that id. Equal sets are merged first and count as linked.
+    document with that id. Equal sets are merged first and count as linked. ``text_key`` is xxhash64 of the text.
 
     A text with fewer words than ``n`` has the whole sequence as its one shingle. Null text or text
     without words has no shingles and stays alone. A null doc_id can neither link nor be a
     component: such a row has a null component and is kept. Rows that repeat a doc_id are judged
-    by their texts; with equal texts all of them are kept or none. Empty tables give empty results.
+    each by its own text; with equal texts all of them are kept or none. Whole texts count, however long. Empty
+    tables give empty results, and further columns are ignored.
     """
     least = hundredths / 100
-    rows = stage(sketches(docs, n), "near-sketches")
+    rows = stage(sketches(docs, n, hundredths), "near-sketches")
     shared = stage(
         rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"),
         "near-shared",
     )
-    known = rows.join(shared, "digest", "left").withColumn("node", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
-    reps = stage(
-        known.filter("digest is not null and doc_id = node").select("node", F.col("n_shingles").alias("size"), "sig", "digest", F.coalesce("copies", F.lit(1)).alias("copies")).dropDuplicates(["node", "digest"]), "near-reps"
-    )
+    named = rows.join(small(shared), "digest", "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
+    known = stage(named.select("doc_id", "text_key", "n_shingles", "digest", "rep"), "near-known")
+    first = named.filter("digest is not null and doc_id = rep").select("rep", "text_key", F.col("n_shingles").alias("size"), "digest", F.coalesce("copies", F.lit(1)).alias("copies"), "sig", "parity", "prefix")
+    reps = stage(first.filter("copies = 1").union(first.filter("copies > 1").dropDuplicates(["rep", "digest"])), "near-reps")
+    drop_stage(rows)
+    # a doc_id with several sets has further numbers for all but one of them
+    twice = stage(reps.groupBy("rep").agg(F.min("digest").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n"), "near-twice")
+    several = bool(twice.limit(1).count())
+    if several:
+        further = (F.lit(FURTHER) + F.xxhash64("digest").bitwiseAND(F.lit((1 << 61) - 1))).alias("node")
+        nodes = stage(reps.join(twice, "rep").filter("digest <> least").select("digest", further), "near-nodes")
+        reps = reps.join(small(nodes), "digest", "left").withColumn("node", F.coalesce("node", "rep"))
+    else:
+        reps = reps.withColumn("node", F.col("rep"))
+
+    raw = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("raw"))
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-ids")
+        ids = stage(reps.select("node", "rep", "text_key").join(small(ids), "node", "left_semi"), "near-ids")
+        texts = stage(raw.join(small(ids), ["rep", "text_key"]).select("node", "raw"), "near-texts")
+        return texts if texts.count() == ids.count() else texts.dropDuplicates(["node"])
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        open_pairs = stage(possible(stage(pairs, "near-more"), reps, hundredths), "near-open")
+        return stage(confirm(open_pairs, texts_of(open_pairs), n, hundredths), "near-links")
+
     # Round 1: the most alike neighbour of each document in each tree.
     found = stage(neighbours(forest(reps), least).groupBy("a", "b").agg(F.min("tree").alias("tree"), F.max("alike").alias("alike")), "near-found")
-    ids = stage(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-ids")
-    raw = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("raw"))
-    texts = stage(raw.join(small(ids), "node", "left_semi"), "near-texts")
+    texts = texts_of(found)
     # The first trees' pairs join most of what belongs together; of the others only those that still part components.
     comp = components(stage(confirm(found.filter("tree < 2"), texts, n, hundredths), "near-links"))
-    rest = stage(_apart(found.filter("tree >= 2"), comp), "near-rest")
-    comp = merge(comp, stage(confirm(rest, texts, n, hundredths), "near-links"))
-    for df in (texts, ids, rest):
-        drop_stage(df)
-    # Later rounds: whole regions, some documents for each component in them. First these are the one with most
-    # copies and another; then, where that left candidates apart, more of those components, others in each round.
-    tried, open_comps = found.select("a", "b"), None
-    for k in range(ROUNDS):
-        labelled = reps.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        if open_comps is not None:
-            labelled = labelled.join(small(open_comps), "comp", "left_semi")
-        region = F.substring("prefix", 1, 4 * LEAST_DEPTH)
-        row, by_chance = F.struct("prefix", "sketch", "node", "size"), lambda salt: F.xxhash64("node", "tree", F.lit(salt))
-        keys = [by_chance(STANDING * k + j) for j in range(STANDING)] if k else [F.struct(-F.col("copies"), by_chance(0)), by_chance(1)]
-        some = forest(labelled).groupBy("tree", region.alias("region"), "comp").agg(F.array_distinct(F.array(*[F.min_by(row, x) for x in keys])).alias("x"))
-        many = some.select("tree", "comp", F.explode("x").alias("x")).select("tree", "x.prefix", "x.sketch", "x.node", "x.size", "comp")
-        more = stage(regions(many, least).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "near-more")
-        if not more.count():
-            break
-        own = stage(more.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-ids")
-        comp = merge(comp, stage(confirm(more, raw.join(small(own), "node", "left_semi"), n, hundredths), "near-links"))
-        # a pair that failed the full sets may have others between the same components that do not
-        failed = _apart(more, comp, ends="comp")
-        open_comps = stage(failed.select(F.explode(F.array("a", "b")).alias("comp")).distinct(), "near-open")
-        tried = tried.union(more)
+    comp = merge(comp, stage(confirm(stage(_apart(found.filter("tree >= 2"), comp), "near-rest"), texts, n, hundredths), "near-links"))
+    drop_stage(texts)
+    # Round 2: whole regions; for each component in them stand the document with most copies and another.
+    labelled = _with_comp(reps, comp)
+    trees = forest(labelled).withColumn("region", F.xxhash64("tree", F.substring("prefix", 1, 4 * LEAST_DEPTH)))
+    several_in = trees.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("region")
+    row, by_chance = F.struct("prefix", "sketch", "node", "size"), lambda salt: F.xxhash64("node", "tree", F.lit(salt))
+    keys = [F.struct(-F.col("copies"), by_chance(0)), by_chance(1)]
+    open_trees = trees.join(small(stage(several_in, "near-regions")), "region", "left_semi")
+    some = open_trees.groupBy("tree", "region", "comp").agg(F.array_distinct(F.array(*[F.min_by(row, x) for x in keys])).alias("x"))
+    many = some.select("tree", "comp", F.explode("x").alias("x")).select("tree", "x.prefix", "x.sketch", "x.node", "x.size", "comp")
+    more = regions(many, least).select("a", "b").distinct().join(found.select("a", "b"), ["a", "b"], "left_anti")
+    comp = merge(comp, links_of(more))
     # What the signatures did not bring together: every pair of what are still different components.
-    more = stage(left_apart(docs, reps, comp, n, hundredths).join(tried, ["a", "b"], "left_anti"), "near-more")
-    own = stage(more.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-ids")
-    comp = merge(comp, stage(confirm(more, raw.join(small(own), "node", "left_semi"), n, hundredths), "near-links"))
+    comp = merge(comp, links_of(left_apart(_with_comp(reps, comp), hundredths)))
+    if several:
+        known = known.join(small(nodes), "digest", "left").withColumn("node", F.coalesce("node", "rep"))
+        low = _with_comp(reps, comp).groupBy("comp").agg(F.min("rep").alias("component_id"))
+        comp = _with_comp(reps, comp).select("node", "comp").join(low, "comp").select("node", F.col("component_id").alias("component"))
+    else:
+        known = known.withColumn("node", F.col("rep"))
     return (
-        known.join(comp.withColumnRenamed("component", "component_id"), "node", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "node").alias("component_id"))
+        known.join(comp.withColumnRenamed("component", "component_id") if several else small(comp.withColumnRenamed("component", "component_id")), "node", "left")
+        .select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
+def _with_comp(sets: DataFrame, comp: DataFrame) -> DataFrame:
+    """``sets`` with ``comp``; alone in its component is what ``comp`` does not name."""
+    return sets.join(small(comp), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+
+
 def _apart(pairs: DataFrame, comp: DataFrame, ends: str = "node") -> DataFrame:
     """Pairs whose ends are in different components: the pairs, or (``ends="comp"``) the components, each pair once."""
     side = lambda name: comp.select(F.col("node").alias(name), F.col("component").alias(f"comp_{name}"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stage
-from .words import raw_texts, windows, word_hashes
+from .words import release, text_blocks, windows, word_keys
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 COUNTS = (*BASE, "n_upper", "n_letters", "n_end_marks", "n_bar_words", "n_distinct", "n_lines", "n_same_next")
@@ -53,15 +53,15 @@ def _count(raw: bytes, drop: bytes) -> int:
     return len(raw.translate(None, drop))
 
 
-def text_counts(raw: bytes) -> tuple[int, ...]:
-    """``COUNTS`` of one text in UTF-8.
+def text_counts(raw: bytes, h: np.ndarray | None = None) -> tuple[int, ...]:
+    """``COUNTS`` of one text in UTF-8; ``h`` has the keys of its words, if they are known.
 
     ``n_repeat_words`` are the words that lie in some 5-word window whose five words
     occur, as a window, at least twice in the text. ASCII capitals only count as upper case;
     a letter is an ASCII letter or the lead byte of a longer character.
     """
     words = raw.split()
-    h = word_hashes(words)
+    h = word_keys([raw])[0] if h is None else h
     repeat = 0
     if len(h) > 5:
         w = windows(h)
@@ -102,9 +102,12 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [text_counts(x) for x in raw_texts(batch.column(at))]
-            columns = zip(*rows, strict=True) if rows else [()] * len(COUNTS)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in columns)], names=names)
+            for first, texts in text_blocks(batch.column(at)):
+                keys, ends = word_keys(texts)
+                rows = [text_counts(x, keys[lo:hi]) for x, lo, hi in zip(texts, np.append(0, ends), ends, strict=False)]
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(texts)).columns, *(pa.array(x, pa.int64()) for x in columns)], names=names)
+        release()
 
     return docs.mapInArrow(count, T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in COUNTS)]))
 
