@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,9 +27,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, label)
+    for paths in _scratch[-1:]:
+        paths.append(path)
     with settings(spark, STAGED):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
 #: While a stage is written: nothing else reads its shuffles, so their files go at its end, and
@@ -50,13 +54,39 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-def drop_stage(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`stage` that nothing will read again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+_scratch: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_stage(staged: DataFrame) -> None:
+    """Delete the files of a table made by :func:`stage` (the object that it returned) that nothing will read again."""
+    _delete(staged.sparkSession, staged.staged_at)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables staged inside are deleted at the end, but for those that are put on the list it gives."""
+    kept: list[DataFrame] = []
+    _scratch.append([])
+    try:
+        yield kept
+    finally:
+        paths, stay = _scratch.pop(), {df.staged_at for df in kept}
+        for path in paths:
+            if path not in stay:
+                _delete(spark, path)
+        for outer in _scratch[-1:]:
+            outer.extend(stay)
+
+
+def aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but the ``needed`` ones under names that nothing else has, and what puts the old names back."""
+    names = {c: c if c in needed else f"aside_{k}_" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), lambda df: df.select(*[F.col(v).alias(c) for c, v in names.items()])
 
 
 def small(ids: DataFrame, rows: int = 2_000_000) -> DataFrame:

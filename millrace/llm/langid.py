@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .words import release, text_blocks
+
 #: Trigrams are hashed into this many buckets, so a model's size does not depend on the corpus.
 BUCKETS = 1 << 16
 #: Code points that are held as arrays at once.
@@ -70,12 +72,11 @@ def train(labelled: DataFrame, smoothing: float = 0.5) -> tuple[list[str], np.nd
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in _blocks(texts):
-                buckets, starts, owner = trigrams(texts[lo:hi])
+            for at, texts in text_blocks(batch.column(0), BLOCK, raw=False):
+                buckets, starts, owner = trigrams(texts)
                 if not len(starts):
                     continue
-                names, ids = np.unique(np.array(langs[lo:hi], dtype=object), return_inverse=True)
+                names, ids = np.unique(np.array(batch.column(1).slice(at, len(texts)).to_pylist(), dtype=object), return_inverse=True)
                 of = np.repeat(ids[owner], np.diff(starts, append=len(buckets)))
                 found = np.bincount(of * BUCKETS + buckets, minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
                 for name, row in zip(names, found, strict=True):
@@ -112,16 +113,16 @@ def _em(ratio: np.ndarray, starts: np.ndarray, lengths: np.ndarray, steps: int =
     return share, np.add.reduceat(np.log1p(part * (ratio - 1)), starts)
 
 
-def infer(texts: list[str], table: np.ndarray, penalty: float = 2.0) -> np.ndarray:
-    """Proportion of each language in each text (rows of zeros where a text has no letters).
+def infer(texts: list[str], table: np.ndarray, penalty: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+    """Proportion of each language in each text, and the mean log-likelihood of its letters' trigrams (zeros where a text has no letters).
 
     Languages outside the selected set have none. The set starts with the best single
     language; a further one enters if it gains more than ``penalty * ln(words + 1)``, the best first.
     """
     n_langs = table.shape[1]
-    out = np.zeros((len(texts), n_langs), dtype=np.float64)
+    out, fit = np.zeros((len(texts), n_langs), dtype=np.float64), np.zeros(len(texts))
     if not n_langs:
-        return out
+        return out, fit
     for lo, hi in _blocks(texts):
         buckets, word_at, owner = trigrams(texts[lo:hi])
         if not len(word_at):
@@ -133,6 +134,7 @@ def infer(texts: list[str], table: np.ndarray, penalty: float = 2.0) -> np.ndarr
         share[np.arange(len(docs)), best] = 1.0
         now = ll[np.arange(len(ll)), np.repeat(best, lengths)]
         live = np.arange(len(docs))
+        total, letters = np.add.reduceat(now, starts, dtype=np.float64), np.add.reduceat(np.diff(word_at, append=len(buckets)), starts)
         for _ in range(n_langs - 1):
             bar = penalty * np.log(lengths + 1.0)
             best_gain, best_share, best_lang = np.zeros(len(live)), np.zeros(len(live)), np.zeros(len(live), dtype=int)
@@ -164,36 +166,43 @@ def infer(texts: list[str], table: np.ndarray, penalty: float = 2.0) -> np.ndarr
                 mixed = p * np.repeat(share[live], lengths, axis=0)
                 share[live] = np.add.reduceat(mixed / mixed.sum(1, keepdims=True), starts, axis=0) / lengths[:, None]
             now = np.log((p * np.repeat(share[live], lengths, axis=0)).sum(1)).astype(np.float32) + top[:, 0]
-        out[lo + docs] = share
-    return out
+            total[live] = np.add.reduceat(now, starts, dtype=np.float64)
+        out[lo + docs], fit[lo + docs] = share, total / letters
+    return out, fit
 
 
 def annotate(docs: DataFrame, langs: list[str], table: np.ndarray, penalty: float = 2.0) -> DataFrame:
-    """``docs`` with ``lang_pred, score, langs``: the largest language, its share, and all of the set with theirs.
+    """``docs`` with ``lang_pred, score, langs, fit``: the largest language, its share, all of the set with theirs, and how well they fit.
+
+    ``fit`` is the mean log-likelihood of a letter's trigram under the mixture, less that under no
+    language at all, where all trigrams are alike. Text of a language that was never learned, or of letters at random, is below 0.
 
     Null text, or text without a letter, is ``und`` with score 0 and no languages; so is all text if
     nothing was learned. Ties go to the language that sorts first. Empty tables give empty results. Columns
     of ``docs`` with the new names are replaced.
     """
     model = docs.sparkSession.sparkContext.broadcast(table)
-    docs = docs.drop("lang_pred", "score", "langs")
+    docs = docs.drop("lang_pred", "score", "langs", "fit")
     at = docs.columns.index("text")
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("langs", T.StringType())]
+    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("langs", T.StringType()), T.StructField("fit", T.DoubleType())]
     names = [*docs.columns, *(f.name for f in fields)]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            share = infer([x or "" for x in batch.column(at).to_pylist()], model.value, penalty)
-            top = share.argmax(1) if len(langs) else np.zeros(len(share), dtype=int)
-            score = share.max(1) if len(langs) else np.zeros(len(share))
-            best = [langs[k] if s > 0 else "und" for k, s in zip(top, score, strict=True)]
-            sets = [" ".join(f"{langs[k]}:{row[k]:.3f}" for k in np.argsort(-row, kind="stable") if row[k] > 0) for row in share]
-            new = [pa.array(best, pa.string()), pa.array(np.minimum(score, 1.0), pa.float64()), pa.array(sets, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=names)
+            for first, texts in text_blocks(batch.column(at), BLOCK, raw=False):
+                share, fit = infer(texts, model.value, penalty)
+                top = share.argmax(1) if len(langs) else np.zeros(len(share), dtype=int)
+                score = share.max(1) if len(langs) else np.zeros(len(share))
+                best = [langs[k] if s > 0 else "und" for k, s in zip(top, score, strict=True)]
+                sets = [" ".join(f"{langs[k]}:{row[k]:.3f}" for k in np.argsort(-row, kind="stable") if row[k] > 0) for row in share]
+                fit = np.where(score > 0, fit + np.log(BUCKETS), 0.0)
+                new = [pa.array(best, pa.string()), pa.array(np.minimum(score, 1.0), pa.float64()), pa.array(sets, pa.string()), pa.array(fit)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(texts)).columns, *new], names=names)
+        release()
 
     return docs.mapInArrow(find, T.StructType([*docs.schema.fields, *fields]))
 
 
 def predict(docs: DataFrame, langs: list[str], table: np.ndarray, penalty: float = 2.0) -> DataFrame:
-    """``doc_id, lang_pred, score, langs`` of every row of ``docs``, as :func:`annotate` gives them."""
+    """``doc_id, lang_pred, score, langs, fit`` of every row of ``docs``, as :func:`annotate` gives them."""
     return annotate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), langs, table, penalty).drop("text")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stage, small, stage
+from .common import drop_stage, scratch, small, stage
 from .components import components
 from .words import raw_texts, release, text_blocks, windows, word_keys
 
@@ -468,6 +468,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, hundredths: int = 75) -> DataFr
     each by its own text; with equal texts all of them are kept or none. Whole texts count, however long. Empty
     tables give empty results, and further columns are ignored.
     """
+    with scratch(docs.sparkSession) as kept:
+        kept.append(stage(_near_duplicates(docs, n, hundredths), "near-documents"))
+    return kept[0]
+
+
+def _near_duplicates(docs: DataFrame, n: int, hundredths: int) -> DataFrame:
     least = hundredths / 100
     rows = stage(sketches(docs, n, hundredths), "near-sketches")
     shared = stage(
@@ -507,7 +513,6 @@ def near_duplicates(docs: DataFrame, n: int = 5, hundredths: int = 75) -> DataFr
     # The first trees' pairs join most of what belongs together; of the others only those that still part components.
     comp = components(stage(confirm(found.filter("tree < 2"), texts, n, hundredths), "near-links"))
     comp = merge(comp, stage(confirm(stage(_apart(found.filter("tree >= 2"), comp), "near-rest"), texts, n, hundredths), "near-links"))
-    drop_stage(texts)
     # Round 2: whole regions; for each component in them stand the document with most copies and another.
     labelled = _with_comp(reps, comp)
     trees = forest(labelled).withColumn("region", F.xxhash64("tree", F.substring("prefix", 1, 4 * LEAST_DEPTH)))
@@ -534,6 +539,30 @@ def near_duplicates(docs: DataFrame, n: int = 5, hundredths: int = 75) -> DataFr
     )
 
 
+def one_of_each(docs: DataFrame, n: int = 5, hundredths: int = 75) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the one with the smallest doc_id.
+
+    Rows are told apart by doc_id and text, so only what is a near duplicate itself goes. Of rows of a group that repeat
+    the smallest doc_id one stays: of several texts the one with the least hash, of equal rows any.
+    Rows without words or without a doc_id are in no group and all stay.
+    """
+    spark, key = docs.sparkSession, ["aside_id", "aside_key"]
+    with scratch(spark) as kept:
+        found = near_duplicates(docs, n, hundredths).filter("n_shingles > 0 and doc_id is not null")
+        found = found.select(F.col("doc_id").alias("aside_id"), F.col("text_key").alias("aside_key"), "component_id", "kept")
+        groups = found.filter("kept").groupBy("component_id").agg(F.min("aside_key").alias("least"), F.count("*").alias("n")).filter("n > 1")
+        groups = stage(groups, "near-groups")
+        more = found.filter("kept").join(small(groups), "component_id").filter("aside_key <> least").select(*key)
+        gone = stage(found.filter("not kept").select(*key).union(more).distinct(), "near-gone")
+        again = stage(groups.join(found.filter("kept"), "component_id").filter("aside_key = least").groupBy(*key).count().filter("count > 1").select(*key), "near-again")
+        kept += [gone, again]
+    rows = docs.withColumn("aside_id", F.col("doc_id").cast("long")).withColumn("aside_key", F.xxhash64("text"))
+    rows = rows.join(small(gone), key, "left_anti")
+    if again.limit(1).count():
+        rows = rows.join(small(again), key, "left_anti").unionByName(rows.join(small(again), key, "left_semi").dropDuplicates(key))
+    return rows.select(*docs.columns)
+
+
 def _with_comp(sets: DataFrame, comp: DataFrame) -> DataFrame:
     """``sets`` with ``comp``; alone in its component is what ``comp`` does not name."""
     return sets.join(small(comp), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")

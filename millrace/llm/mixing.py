@@ -13,13 +13,17 @@ is left, a few times, so that a source ends within a few short documents of its
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stage, word_count
+from .common import aside, scratch, small, stage, word_count
 
 #: Hexadecimal digits of the hash that each level of the search looks at: 3 levels of 4.
 LEVELS, DIGITS = 3, 4
+#: Sources up to which their table goes to all rows, so that a source of a third of the rows is in no one task.
+MOST_SOURCES = 100_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, budget: float = 1.0) -> DataFrame:
@@ -56,16 +60,16 @@ def hash_digits(doc_id: Column, seed: str = "mix") -> Column:
     return F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary")), 1, LEVELS * DIGITS)
 
 
-def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
+def thresholds(rows: DataFrame, budgets: DataFrame, mark: Callable[[DataFrame], DataFrame] = small) -> DataFrame:
     """Per source the smallest hash that no longer fits: ``sid, budget, threshold, used``.
 
     ``rows`` has ``sid, h, size``; ``budgets`` has ``sid, budget``. Documents with
     ``h < threshold`` sum to ``used <= budget``. One scan per level; the levels after the
-    first aggregate only the boundary bucket of each source.
+    first aggregate only the boundary bucket of each source. ``mark`` says whether tables of sources are broadcast.
     """
     found = budgets.select("sid", "budget", F.lit("").alias("threshold"), F.lit(0).cast("long").alias("used"))
     for n in range(DIGITS, LEVELS * DIGITS + 1, DIGITS):
-        near = rows.select("sid", "h", "size").join(found, "sid").filter(F.substring("h", 1, n - DIGITS) == F.col("threshold"))
+        near = rows.join(mark(found), "sid").filter(F.substring("h", 1, n - DIGITS) == F.col("threshold"))
         hist = near.groupBy("sid", "budget", "used", F.substring("h", 1, n).alias("bucket")).agg(F.sum("size").alias("n"))
         upto = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
         fits = F.col("upto") <= F.col("budget")
@@ -88,8 +92,47 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return found
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, budget: float = 1.0, rounds: int = 4) -> DataFrame:
-    """Every row of ``docs`` (``doc_id, text, source``) with its part in the mix.
+def plan_of(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, budget: float = 1.0, rounds: int = 4) -> DataFrame:
+    """One row per source of ``rows`` (``source, size, h``), a staged table: ``source, source_size, target, whole`` and each round's ``b, t``.
+
+    All documents of a source are taken ``whole`` times; one more copy is taken of those that are in a
+    round no larger than its budget ``b`` and below its threshold ``t``.
+    """
+    targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs, budget)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    plan = stage(targets.withColumn("whole", whole).withColumn("budget", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")), "mix-targets")
+    mark = F.broadcast if plan.count() <= MOST_SOURCES else lambda df: df
+    keyed = mark(plan.select("sid", F.col("source").alias("plan_source")))
+    open_rows = rows.join(keyed, rows["source"].eqNullSafe(keyed["plan_source"])).select("sid", "h", "size").filter("size > 0")
+    left, plan = plan.select("sid", "budget"), plan.drop("budget")
+    for k in range(rounds):
+        found = thresholds(open_rows, left, mark)
+        plan = plan.join(mark(found.select("sid", F.col("budget").alias(f"b{k}"), F.col("threshold").alias(f"t{k}"))), "sid")
+        left = found.select("sid", (F.col("budget") - F.col("used")).alias("budget"))
+        # the next round looks at what this one left and its remainder still holds
+        rest = mark(found.select("sid", F.col("threshold").alias("t"), (F.col("budget") - F.col("used")).alias("rest")))
+        open_rows = open_rows.join(rest, "sid").filter((F.col("h") >= F.col("t")) & (F.col("size") <= F.col("rest"))).drop("t", "rest")
+    return stage(plan.drop("sid"), "mix-plan")
+
+
+def _planned(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (with ``source, size, h``) with ``source_size, target, copies`` of the plan; no text and no row is shuffled but for very many sources."""
+    rounds = sorted(c[1:] for c in plan.columns if c[0] == "b" and c[1:].isdigit())
+    named = small(plan.withColumnRenamed("source", "plan_source"), MOST_SOURCES)
+    copy = F.lit(0)
+    for k in rounds:
+        copy = F.when((F.col("size") <= F.col(f"b{k}")) & (F.col("h") < F.col(f"t{k}")), 1).otherwise(copy)
+    copies = (F.col("whole") + F.when(F.col("size") > 0, copy).otherwise(0)).cast("long")
+    joined = rows.join(named, rows["source"].eqNullSafe(named["plan_source"]))
+    return joined.withColumn("copies", copies).drop("plan_source", "whole", *[f"{x}{k}" for x in "bt" for k in rounds])
+
+
+def _sized(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select(*more, "source", word_count(F.col("text")).alias("size"), hash_digits(F.col("doc_id")).alias("h"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """Every row of ``docs`` (``doc_id, text, source``) with its part in the mix; ``options`` are those of :func:`plan_of`.
 
     Returns ``doc_id, source, size, source_size, target, copies, taken``: the
     document is taken ``copies`` times (0 to ``max_epochs``), which is ``taken = copies * size`` words.
@@ -97,47 +140,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int =
     rest of the target takes one more copy of those below the thresholds.
 
     Null text has size 0 and an empty document takes part with 0 words. Null
-    sources form one source, the last. Rows that repeat a doc_id share its hash, so they
-    are taken together or not at all. An empty table gives an empty result.
+    sources form one source, the last. Rows that repeat a doc_id share its hash: of those of one source with
+    equal sizes all are taken or none. Whole texts count, however long. An empty table gives an empty result.
     Extra columns are ignored.
     """
-    rows = stage(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash_digits(F.col("doc_id")).alias("h")), "mix-sizes"
-    )
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, weights, max_epochs, budget)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = stage(
-        targets.withColumn("whole", whole).withColumn("budget", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")), "mix-targets"
-    )
-    keyed = plan.select("sid", F.col("source").alias("plan_source"))
-    rows = rows.join(keyed, rows["source"].eqNullSafe(keyed["plan_source"])).drop("plan_source")
-    left, open_rows = plan.select("sid", "budget"), rows.filter("size > 0")
-    plan = plan.drop("budget", "source")
-    copy = F.lit(0)
-    for k in range(rounds):
-        found = thresholds(open_rows, left)
-        cut = found.select("sid", F.col("budget").alias(f"b{k}"), F.col("threshold").alias(f"t{k}"))
-        plan = plan.join(cut, "sid")
-        left = found.select("sid", (F.col("budget") - F.col("used")).alias("budget"))
-        # the next round looks at what this one left and its remainder still holds
-        open_rows = open_rows.join(found.select("sid", F.col("threshold").alias("t"), (F.col("budget") - F.col("used")).alias("rest")), "sid").filter(
-            (F.col("h") >= F.col("t")) & (F.col("size") <= F.col("rest"))
-        ).drop("t", "rest")
-        copy = F.when((F.col("size") <= F.col(f"b{k}")) & (F.col("h") < F.col(f"t{k}")), 1).otherwise(copy)
-    return (
-        rows.join(plan, "sid")
-        .withColumn("copies", (F.col("whole") + F.when(F.col("size") > 0, copy).otherwise(0)).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-    )
+    rows = stage(_sized(docs, "doc_id"), "mix-sizes")
+    return _planned(rows, plan_of(rows, **options)).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each repeated as often as :func:`mix` says.
-
-    Rows are matched by doc_id; those that repeat one have the copies that it has.
-    """
-    copies = stage(mix(docs, **options).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies")), "mix-copies")
-    key = small(copies.withColumnRenamed("doc_id", "mix_key").withColumnRenamed("copies", "mix_copies"))
-    rows = docs.join(key, docs["doc_id"].eqNullSafe(key["mix_key"]))
-    return rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*[docs[c] for c in docs.columns])
+    """The mix itself: each row of ``docs``, whatever its columns, repeated as often as :func:`mix` takes it."""
+    spark = docs.sparkSession
+    with scratch(spark) as kept:
+        plan = plan_of(stage(_sized(docs), "mix-sizes"), **options)
+        kept.append(plan)
+    rows, back = aside(docs, "doc_id", "text", "source")
+    rows = rows.withColumn("size", word_count(F.col("text"))).withColumn("h", hash_digits(F.col("doc_id")))
+    return back(_planned(rows, plan).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))

@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import release, text_blocks
+
 #: Chunks whose ids one Python worker remembers, besides as many from before.
-REMEMBERED = 500_000
-#: Characters whose new chunks go to the tokenizer together.
+REMEMBERED = 200_000
+#: Bytes of text whose new chunks go to the tokenizer together.
 BLOCK = 2 << 20
-#: Documents that one packing task receives on average.
-GROUP_ROWS = 20_000
+#: Pieces that one packing task receives on average, and bytes of text that a piece holds at least half of, if long texts are cut.
+GROUP_ROWS, PIECE_BYTES = 20_000, 8192
 
 #: Texts of these characters alone, with neither apostrophe nor special token, have boundaries at all symbols.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x26\x28-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
@@ -135,19 +137,16 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capac
         encode = encoder(path)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            ids_of, texts, at = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()], 0
-            while at < len(texts):
-                some, size = at, 0
-                while at < len(texts) and size < BLOCK:
-                    size += len(texts[at])
-                    at += 1
-                for doc_id, raw in zip(ids_of[some:at], encode.many(texts[some:at]), strict=True):
+            for at, texts in text_blocks(batch.column(1), BLOCK, raw=False):
+                ids_of = batch.column(0).slice(at, len(texts)).to_pylist()
+                for doc_id, raw in zip(ids_of, encode.many(texts), strict=True):
                     ids = memoryview(raw + end)
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[start : start + 4 * capacity]
                         for column, x in zip(out, (doc_id, piece, start // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                             column.append(x)
             yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -192,11 +191,12 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacit
     offset``; offsets of a sequence follow each other from 0 without gaps.
 
     Pieces are dealt by hash to groups of about ``group_rows``, and each group is packed by
-    itself, so that no task grows with the input; a group leaves a few bins that are not
-    full. Rows that repeat a doc_id are packed like any others. Null text is empty, an
-    empty table gives an empty result, and extra columns are ignored.
+    itself, so that no task grows with the input, however long the texts; a group leaves a few bins that are not
+    full. Rows that repeat a doc_id are packed like any others, pieces of equal length in any order. Null text is
+    empty, an empty table gives an empty result, and extra columns are ignored.
     """
-    groups = max(1, -(-docs.count() // group_rows))
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    groups = max(1, -(-(rows + size // PIECE_BYTES) // group_rows))
     cut = pieces(docs, tokenizer, end_id, capacity).withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
 
     def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -97,14 +97,17 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def text_blocks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of a column's texts of about ``size`` bytes, each with the place of its first: a batch is never held twice as a whole."""
-    column = column.cast(pa.binary())
+def text_blocks(column: pa.Array, size: int = BLOCK, raw: bool = True) -> Iterator[tuple[int, list]]:
+    """Runs of a column's texts of about ``size`` bytes, each with the place of its first: a batch is never held twice as a whole.
+
+    Texts are bytes in UTF-8, or ``str`` unless ``raw``; null is empty.
+    """
     upto = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False) + 1, dtype=np.int64)
     at = 0
     while at < len(column):
         to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, "right")))
-        yield at, raw_texts(column.slice(at, to - at))
+        some = column.slice(at, to - at)
+        yield at, raw_texts(some) if raw else [x or "" for x in some.to_pylist()]
         at = to
 
 

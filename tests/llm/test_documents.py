@@ -46,7 +46,7 @@ def test_langid_finds_mixtures(spark, docs):
     langs, table = langid.train(docs)
     half = {r.doc_id: r.text for r in docs.filter("doc_id < 60").collect()}
     mixed = half[3] + " " + half[4]
-    share = langid.infer([mixed, half[3], "", "?"], table)
+    share, _ = langid.infer([mixed, half[3], "", "?"], table)
     n = [len(half[k].split()) for k in (3, 4)]
     assert share[0] == pytest.approx([n[0] / sum(n), n[1] / sum(n)], abs=0.12)
     assert share[1].tolist() == [1.0, 0.0] and not share[2:].any()
@@ -63,7 +63,9 @@ def test_langid_mixture_likelihood_grows(docs):
         top = ll.max(1, keepdims=True)
         return float((np.log((np.exp(ll - top) * p).sum(1)) + top[:, 0]).sum())
 
-    found = value(langid.infer([text], table)[0])
+    share, fit = langid.infer([text], table)
+    found = value(share[0])
+    assert fit[0] * len(buckets) == pytest.approx(found, rel=1e-3)
     assert found >= max(value(np.array([x, 1 - x])) for x in np.linspace(0.01, 0.99, 99)) - 2 * math.log(len(ll) + 1)
 
 
