@@ -5,37 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import langid, minhash, mixing, packing, quality
-from millrace.llm.common import small, stage, table
+from millrace.llm.common import aside, drop_stage, stage, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents of a recognised language, as learned from all that carry a label.
 
-    Rejected are those in which none is found; text in several languages is as good as any.
+    Rejected are those without a letter, and those whose letters fit the best mixture of the learned languages
+    worse than no language at all; text in several languages is as good as any. Null text goes, as do
+    empty texts; without any label nothing is recognised. Equal rows share a fate, and every column comes back as it was.
     """
     langs, model = langid.train(docs)
-    return langid.annotate(docs, langs, model).filter("lang_pred <> 'und'").select(*docs.columns)
+    rows, back = aside(docs, "text")
+    return back(langid.annotate(rows, langs, model).filter("lang_pred <> 'und' and fit > 0"))
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that neither the base rule nor a learned rule rejects."""
+    """Keep documents that neither the base rule nor a learned rule rejects.
+
+    Null and empty texts have no words and go. Rows that repeat a doc_id share its label and are judged each by its text;
+    without labels the base rule alone decides. Every column comes back as it was.
+    """
     rules = quality.learn(quality.labelled_sample(docs, table(spark, sf_dir, "labels")))
-    return quality.with_verdict(quality.with_statistics(docs), rules).filter("kept").select(*docs.columns)
+    rows, back = aside(docs, "text")
+    return back(quality.with_verdict(quality.with_statistics(rows), rules).filter("kept"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of near duplicates the document with the smallest doc_id."""
-    gone = stage(minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "pipeline-gone")
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    """Keep one row of each group of near duplicates, that with the smallest doc_id, and all rows that are in none.
+
+    Rows are told apart by doc_id and text: :func:`millrace.llm.minhash.one_of_each` says what becomes of repeats and nulls.
+    """
+    return minhash.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each source up to its target; a document that is taken more than once stands there as often."""
+    """Take each source up to its target; a document that is taken more than once stands there as often.
+
+    Null sources are one source. Null texts have no words, and stand there as often as their whole source does.
+    """
     return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenise, cut and pack what is left: one row per piece."""
+    """Tokenise, cut and pack what is left: one row per piece. Null text is one id, the end."""
     return packing.pack(docs)
 
 
@@ -55,5 +68,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table of documents, each written and read again before the next."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, function) in enumerate(STAGES, 1):
-        docs = stage(function(spark, docs, sf_dir), f"pipeline-{k}")
+        done, docs = docs, stage(function(spark, docs, sf_dir), f"pipeline-{k}")
+        if k > 1:
+            drop_stage(done)
     return docs
