@@ -39,8 +39,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(remainder(F.col("doc_id"), 7) == 2, F.lit(False))
-    found = scoring.train_and_score(docs, docs.filter(~held_out))
-    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scoring.train_and_score(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,19 +14,17 @@ normalised over all words, unseen ones included. Word counts themselves cover th
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stage, stage
-from .words import raw_texts
+from .common import scratch, stage
+from .words import keys_of, release, text_blocks, word_spans
 
 #: Single words and word classes of the output layer; with the end of text, 512 outputs.
 WORDS, CLASSES = 447, 64
@@ -35,70 +33,76 @@ OUTPUTS = 1 + WORDS + CLASSES
 CONTEXT, WIDTH, NOISE, BATCH, SCORED = 6, 16, 48, 512, 256
 #: Most words whose counts every executor holds; those of the others are joined.
 HEAD = 150_000
-#: Distinct words that a counting task holds before it hands them on.
-HELD = 400_000
+#: Tokens that a counting task holds before it hands on their counts, and that a scoring task holds.
+HELD = 1 << 20
 RATE = 0.15
-#: A corpus of fewer training tokens is passed over again, up to eight times, until so many were seen.
-LEAST_SEEN = 4_000_000
+#: Training tokens of a group, which one task learns from.
+GROUP = 4_000_000
+#: Key of the end of a text. A word's key is 58 bits of hash and the word's class.
+END = 0
 
 
-def class_of(word: Column) -> Column:
-    """Class of a word (binary) outside the output layer; :func:`_class` is the same for Python."""
-    return F.pmod(F.crc32(F.substring(word, -3, 3)), F.lit(CLASSES))
+def token_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Key of each token of all texts in a row, A-Z lowered, with ``END`` after each text, and the place after each text.
 
-
-def _class(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % CLASSES
+    The last bits are the word's class, by its last three bytes; different words have equal keys with a chance of about 2**-58.
+    """
+    raw, starts, ends, stops = word_spans([t.lower() for t in texts])
+    last = [np.where(ends - starts >= k, raw[np.maximum(ends - k, 0)], 0).astype(np.uint32) << np.uint32(8 * k - 8) for k in (1, 2, 3)]
+    cls = ((last[0] | last[1] | last[2]) * np.uint32(0x9E3779B1)) >> np.uint32(26)
+    keys = (keys_of(raw, starts, ends) & ~np.uint64(CLASSES - 1)) | cls.astype(np.uint64)
+    keys[keys == END] = CLASSES
+    upto = np.searchsorted(starts, stops)
+    out = np.full(len(keys) + len(texts), END, dtype=np.uint64)
+    out[np.arange(len(keys)) + np.repeat(np.arange(len(texts)), np.diff(upto, prepend=0))] = keys
+    return out, upto + np.arange(1, len(texts) + 1)
 
 
 def vocabulary(train: DataFrame) -> DataFrame:
-    """``word`` (binary, A-Z lowered) and ``c``, its count over all rows; the empty word is the end of a text."""
+    """``key`` of each token of all rows' ``text``, and ``c``, its count."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
+            keys, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(c)], ["key", "c"])
 
         for batch in batches:
-            for raw in raw_texts(batch.column(0)):
-                seen.update(raw.lower().split())
-                seen[b""] += 1
-                if len(seen) > HELD:
+            for _, texts in text_blocks(batch.column(0)):
+                held.append(token_keys(texts)[0])
+                if sum(map(len, held)) > HELD:
                     yield out()
-                    seen.clear()
-        if seen:
+                    held.clear()
+        if held:
             yield out()
+        release()
 
-    return train.select(F.col("text").cast("binary")).mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return train.select(F.col("text").cast("binary")).mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 @dataclass
 class Lexicon:
-    """Counts that scoring needs everywhere: totals, the head's words, and the output layer's training counts."""
+    """Counts that scoring needs everywhere: totals, the head's words, and the output layer's training counts.
+
+    ``tokens`` and ``words`` are those of the training texts, ends included; ``head`` has the keys of the most frequent words, by
+    falling count, and ``head_counts`` their counts; words below ``threshold`` are not among them.
+    """
 
     tokens: int
     words: int
     ends: int
-    head: dict[bytes, int]
+    head: np.ndarray
     head_counts: np.ndarray
     threshold: int
     output_counts: np.ndarray
     class_totals: np.ndarray
 
-    def outputs(self) -> np.ndarray:
-        """Output of each head word: 0 is the end, then single words, then classes."""
-        out = np.empty(len(self.head), dtype=np.int32)
-        for word, k in self.head.items():
-            out[k] = 1 + k if k < WORDS else 1 + WORDS + _class(word)
-        return out
-
 
 def lexicon(vocab: DataFrame, head: int = HEAD) -> Lexicon:
     """From the counted vocabulary, a staged table. The driver receives at most ``head`` words and a few hundred sums."""
-    words = vocab.filter("length(word) > 0")
-    n, v = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends = vocab.filter("length(word) = 0").agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
+    words = vocab.filter(F.col("key") != END)
+    n, v, ends = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("key") == END, F.col("c"))), F.lit(0))).first()
     # the least count whose words, with all more frequent ones, stay within the bound
     bucket = F.floor(F.log2("c") * 32).cast("int")
     sizes = sorted(((r["b"], r["low"], r["count"]) for r in words.groupBy(bucket.alias("b")).agg(F.min("c").alias("low"), F.count("*").alias("count")).collect()), reverse=True)
@@ -108,16 +112,47 @@ def lexicon(vocab: DataFrame, head: int = HEAD) -> Lexicon:
         if total > head:
             break
         threshold = low
-    rows = sorted(((-r["c"], bytes(r["word"])) for r in words.filter(F.col("c") >= threshold).collect()))
-    counts = np.array([-c for c, _ in rows], dtype=np.int64)
-    single = [w for _, w in rows[:WORDS]]
+    got = words.filter(F.col("c") >= threshold).toArrow()
+    keys, counts = got.column("key").to_numpy().view(np.uint64), got.column("c").to_numpy()
+    order = np.lexsort((keys, -counts))
+    keys, counts = keys[order], counts[order]
     sums = np.zeros(CLASSES, dtype=np.int64)
-    for r in words.groupBy(class_of(F.col("word")).alias("k")).agg(F.sum(F.col("c") + 1).alias("s")).collect():
+    for r in words.groupBy(F.col("key").bitwiseAND(F.lit(CLASSES - 1)).alias("k")).agg(F.sum(F.col("c") + 1).alias("s")).collect():
         sums[r["k"]] = r["s"]
-    for w, c in zip(single, counts, strict=False):
-        sums[_class(w)] -= c + 1
-    outputs = np.concatenate([[ends], counts[:WORDS], np.zeros(WORDS - len(single), dtype=np.int64), sums])
-    return Lexicon(int(n), int(v), int(ends), {w: k for k, (_, w) in enumerate(rows)}, counts, threshold, outputs, sums)
+    np.subtract.at(sums, (keys[:WORDS] & np.uint64(CLASSES - 1)).astype(int), counts[:WORDS] + 1)
+    outputs = np.concatenate([[ends], counts[:WORDS], np.zeros(WORDS - len(counts[:WORDS]), dtype=np.int64), sums])
+    return Lexicon(int(n), int(v), int(ends), keys, counts, threshold, outputs, sums)
+
+
+class Places:
+    """Place of each key in an array of different keys, -1 for others: a hash table by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.mask, self.steps = np.uint64(64 - bits), (1 << bits) - 1, 1
+        self.keys, self.at = np.zeros(1 << bits, dtype=np.uint64), np.full(1 << bits, -1, dtype=np.int32)
+        left, slot = np.arange(len(keys)), (keys >> self.shift).astype(np.int64)
+        while len(left):
+            own = (slot[left] + self.steps - 1) & self.mask
+            free = np.nonzero(self.at[own] < 0)[0]
+            taken, first = np.unique(own[free], return_index=True)
+            self.at[taken], self.keys[taken] = left[free[first]], keys[left[free[first]]]
+            left = np.delete(left, free[first])
+            self.steps += 1
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slot = (keys >> self.shift).astype(np.int64)
+        at, same = self.at[slot], self.keys[slot] == keys
+        out = np.where(same & (at >= 0), at, -1)
+        left = np.nonzero(~same & (at >= 0))[0]  # an empty slot ends the search
+        for step in range(1, self.steps):
+            if not len(left):
+                break
+            own = (slot[left] + step) & self.mask
+            at, same = self.at[own], self.keys[own] == keys[left]
+            out[left[same & (at >= 0)]] = at[same & (at >= 0)]
+            left = left[~same & (at >= 0)]
+        return out
 
 
 class Model:
@@ -201,67 +236,74 @@ class Trainer:
         m.flat -= RATE * g.flat / np.sqrt(self.sq.flat)
 
 
-def _look_up(texts: list[bytes], head: dict[bytes, int]) -> tuple[list[bytes], np.ndarray]:
-    """All words of the texts in a row, an empty one at each end, and their places in the head: -1 outside of it, -2 for an end."""
-    words: list[bytes] = []
-    for raw in texts:
-        words += raw.lower().split()
-        words.append(b"")
-    at = np.fromiter(map(head.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-    return words, at
-
-
-def _outputs_of(words: list[bytes], at: np.ndarray, outputs: np.ndarray) -> np.ndarray:
-    """Output of each token; words outside the head go by their bytes."""
-    ids = np.append(outputs, [0, 0]).astype(np.int32)[at]  # -2 and -1 are the last two
-    outside = np.nonzero(at == -1)[0]
-    ids[outside] = [1 + WORDS + _class(words[k]) for k in outside]
-    return ids
+def encoded(docs: DataFrame, is_train: Column, lex: Lexicon) -> DataFrame:
+    """Each row of ``docs`` in tokens: ``doc_id, train, n_tokens, known, base, inner, ids, tail``.
 
+    ``ids`` holds the output of each token in two bytes, ``base`` the summed log10(c + 1) of tokens in the head, and ``inner``
+    what words of a class have as their share of it; ``tail`` are the keys of the words outside the head, whose counts are joined.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((lex.head, lex.head_counts, lex.class_totals))
+    ends = lex.ends
 
-def _pieces(texts: list[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
-    some, total = [], 0
-    for t in texts:
-        some.append(t)
-        total += len(t)
-        if total >= size:
-            yield some
-            some, total = [], 0
-    if some:
-        yield some
-
-
-def fit(train: DataFrame, lex: Lexicon, parts: int = 8, seed: int = 11) -> Model:
-    """Pass over all of ``train`` in two rounds of parameter mixing (McDonald, Hall and Mann, 2010).
-
-    In a round every task trains on its own rows from the same parameters, and the results are averaged
-    by their numbers of tokens. Round one takes one document in ``parts``, round two the others.
-    A task hands on one row per parameter, so the sums are as large as the model whatever the corpus.
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, counts, totals = shared.value
+        places, log_counts = Places(head), np.log10(np.append(counts, [0, ends]) + 1.0)  # the last two: outside the head, and the end
+        minus = np.concatenate([np.zeros(1 + WORDS), np.log10(totals + 1.0)])
+        for batch in batches:
+            for first, texts in text_blocks(batch.column(2)):
+                keys, stops = token_keys(texts)
+                at, is_end, starts = places(keys), keys == END, np.append(0, stops[:-1])
+                ids = np.where((at >= 0) & (at < WORDS), 1 + at, (1 + WORDS + (keys & np.uint64(CLASSES - 1))).astype(np.int64))
+                ids[is_end] = 0
+                own = log_counts[np.where(is_end, len(counts) + 1, np.where(at < 0, len(counts), at))]
+                outside = np.nonzero((at < 0) & ~is_end)[0]
+                inner = np.where(ids > WORDS, own, 0.0) - minus[ids]
+                sums = [np.add.reduceat(x, starts) for x in (((at >= 0) | (is_end & (ends > 0))).astype(np.int64), own, inner)]
+                offsets = np.append(0, 2 * stops).astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.astype("<u2").tobytes())])
+                tail = pa.ListArray.from_arrays(np.append(0, np.searchsorted(outside, stops)).astype(np.int32), pa.array(keys[outside].view(np.int64)))
+                part = batch.slice(first, len(texts))
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(stops - starts), *map(pa.array, sums), raw, tail], ["doc_id", "train", "n_tokens", "known", "base", "inner", "ids", "tail"])
+        release()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(is_train, F.lit(False)).alias("train"), F.col("text").cast("binary").alias("raw"))
+    return rows.mapInArrow(each, "doc_id long, train boolean, n_tokens long, known long, base double, inner double, ids binary, tail array<long>")
+
+
+def fit(rows: DataFrame, lex: Lexicon, parts: int = 8, seed: int = 11) -> Model:
+    """Pass once over the training rows of :func:`encoded`, in two rounds of parameter mixing (McDonald, Hall and Mann, 2010).
+
+    Rows are dealt by a hash of doc_id and tokens to groups of about ``GROUP`` tokens and sorted by it, so what is learned does not depend
+    on how they were partitioned. In a round every group is learned from the same parameters, and the results are averaged
+    by their numbers of tokens. Round one takes one row in ``parts``, round two the others.
+    A group hands on one number per parameter, so the sums are as large as the model whatever the corpus.
     """
-    sc = train.sparkSession.sparkContext
     noise = unigram(lex.output_counts)
-    model = Model.start(noise)
-    passes = min(8, max(1, LEAST_SEEN // max(1, lex.tokens)))
-    first = F.pmod(F.xxhash64("text"), F.lit(parts)) == 0
-    words = list(lex.head)[:WORDS]
-    small, outputs = sc.broadcast({w: k for k, w in enumerate(words)} | {b"": -2}), lex.outputs()[: len(words)]
-    for k, rows in enumerate((train.filter(first), train.filter(~first | F.col("text").isNull()))):
-        start = sc.broadcast(model.flat)
-
-        def learn(batches: Iterator[pa.RecordBatch], start=start, k=k) -> Iterator[pa.RecordBatch]:
-            trainer, seen = Trainer(Model(start.value.copy()), noise, seed + k), 0
-            for batch in batches:
-                for texts in _pieces(raw_texts(batch.column(0))):
-                    ids = _outputs_of(*_look_up(texts, small.value), outputs)
-                    before = contexts(ids)
-                    for at in list(range(0, len(ids), BATCH)) * passes:
-                        trainer.step(ids[at : at + BATCH], before[:, at : at + BATCH])
-                    seen += len(ids)
-            if seen:
-                flat = trainer.m.flat.astype(np.float64) * seen
-                yield pa.record_batch([pa.array(np.arange(len(flat) + 1), pa.int32()), pa.array(np.append(flat, seen), pa.float64())], ["at", "x"])
-
-        sums = rows.select(F.col("text").cast("binary")).mapInArrow(learn, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas().sort_values("at")["x"].to_numpy()
+    model, sc = Model.start(noise), rows.sparkSession.sparkContext
+    chosen = rows.filter("train").select(F.xxhash64("doc_id", "ids").alias("h"), "ids")
+    first = F.pmod(F.shiftright("h", 20), F.lit(parts)) == 0
+
+    def learner(start: Broadcast, seed: int) -> Callable[[pa.Table], pa.Table]:
+        def learn(table: pa.Table) -> pa.Table:
+            trainer, seen = Trainer(Model(start.value.copy()), noise, seed), 0
+            order = np.argsort(table.column("h").to_numpy(), kind="stable")
+            raw = table.column("ids").combine_chunks()
+            for at in range(0, len(order), 2048):
+                ids = np.frombuffer(b"".join(raw.take(pa.array(order[at : at + 2048])).to_pylist()), "<u2").astype(np.int32)
+                before = contexts(ids)
+                for lo in range(0, len(ids), BATCH):
+                    trainer.step(ids[lo : lo + BATCH], before[:, lo : lo + BATCH])
+                seen += len(ids)
+            flat = trainer.m.flat.astype(np.float64) * seen
+            return pa.table({"at": pa.array(np.arange(len(flat) + 1), pa.int32()), "x": pa.array(np.append(flat, seen), pa.float64())})
+
+        return learn
+
+    for k, (some, tokens) in enumerate(((chosen.filter(first), lex.tokens // parts), (chosen.filter(~first), lex.tokens))):
+        learn = learner(sc.broadcast(model.flat), seed + k)
+        groups = max(1, -(-tokens // GROUP))
+        learned = some.groupBy(F.pmod("h", F.lit(groups)).alias("grp")).applyInArrow(learn, "at int, x double")
+        sums = learned.groupBy("at").agg(F.sum("x").alias("x")).toPandas().sort_values("at")["x"].to_numpy()
         if len(sums) and sums[-1] > 0:
             model = Model((sums[:-1] / sums[-1]).astype(np.float32))
     return model
@@ -291,69 +333,47 @@ def log_probabilities(model: Model, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, vocab: DataFrame, lex: Lexicon, model: Model) -> DataFrame:
-    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``docs``."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((lex.head | {b"": -2}, lex.outputs(), lex.head_counts, model.flat, lex.class_totals))
-    ends, base_norm = lex.ends, math.log10(lex.tokens + lex.words + 1)
+def score(rows: DataFrame, vocab: DataFrame, lex: Lexicon, model: Model) -> DataFrame:
+    """``doc_id, train, n_tokens, n_known, train_tokens, base_score, score`` of every row of :func:`encoded`, a staged table."""
+    flat, base_norm = rows.sparkSession.sparkContext.broadcast(model.flat), math.log10(lex.tokens + lex.words + 1)
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, outputs, counts, flat, totals = shared.value
-        lm, log_counts = Model(flat), np.log10(np.append(counts, 0) + 1.0)  # the last stands for words outside the head
-        minus = np.zeros(OUTPUTS)
-        minus[1 + WORDS :] = np.log10(totals + 1.0)
-        in_class = np.arange(OUTPUTS) > WORDS
+        lm = Model(flat.value)
         for batch in batches:
-            columns: list[list] = [[] for _ in range(7)]
-            raws, done = raw_texts(batch.column(1)), 0
-            for texts in _pieces(raws):
-                words, at = _look_up(texts, head)
-                ids = _outputs_of(words, at, outputs)
-                inside, outside, stops = at >= 0, np.nonzero(at == -1)[0], np.nonzero(at == -2)[0] + 1
-                starts = np.append(0, stops[:-1])
-                lengths = stops - starts
-                own = log_counts[np.where(inside, at, -1)]
-                own[at == -2] = math.log10(ends + 1)
-                lp = log_probabilities(lm, ids) / math.log(10) - minus[ids] + np.where(in_class[ids], own, 0.0)
-                known = np.add.reduceat(inside.astype(np.int64) + ((at == -2) & (ends > 0)), starts)
-                tails = np.split(outside, np.searchsorted(outside, starts[1:]))
-                for x, values in zip(columns, (batch.column(0).slice(done, len(texts)).to_pylist(), lengths, known, np.add.reduceat(own, starts), np.add.reduceat(lp, starts)), strict=False):
-                    x.extend(values)
-                for own_tail in tails:
-                    tally = Counter([words[k] for k in own_tail])
-                    columns[5].append(list(tally.keys()))
-                    columns[6].append(list(tally.values()))
-                done += len(texts)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-            yield pa.record_batch([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["doc_id", "n_tokens", "known", "base", "lm", "words", "times"])
-
-    rows = stage(
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-        .mapInArrow(each, "doc_id long, n_tokens long, known long, base double, lm double, words array<binary>, times array<int>")
-        .withColumn("row", F.monotonically_increasing_id()),
-        "lm-rows",
-    )
+            for at, raw in text_blocks(batch.column(1), 2 * HELD):
+                lengths = np.array([len(x) // 2 for x in raw])
+                lp = log_probabilities(lm, np.frombuffer(b"".join(raw), "<u2").astype(np.int32))
+                yield pa.record_batch([batch.column(0).slice(at, len(raw)), pa.array(np.add.reduceat(lp, np.cumsum(lengths) - lengths) / math.log(10))], ["row", "lm"])
+        release()
+
+    modelled = stage(rows.select("row", "ids").mapInArrow(each, "row long, lm double"), "lm-modelled")
     # counts of the words outside the head: unseen ones add nothing, so an inner join does
-    tail = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("k"))
-    rare = vocab.filter((F.col("c") < lex.threshold) & (F.length("word") > 0))
-    more = tail.join(rare, "word").groupBy("row").agg(F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("k").alias("more_known"))
+    tail = rows.select("row", F.explode("tail").alias("key"))
+    rare = vocab.filter((F.col("c") < lex.threshold) & (F.col("key") != END))
+    more = tail.join(rare, "key").groupBy("row").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("more"), F.count("*").alias("more_known"))
     extra = F.coalesce("more", F.lit(0.0))
-    return rows.drop("words", "times").join(more, "row", "left").select(
+    return rows.drop("ids", "tail").join(modelled, "row").join(more, "row", "left").select(
         "doc_id",
+        "train",
         "n_tokens",
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(lex.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + extra - F.col("n_tokens") * F.lit(base_norm)).alias("base_score"),
-        (F.col("lm") + extra).alias("score"),
+        (F.col("lm") + F.col("inner") + extra).alias("score"),
     )
 
 
-def train_and_score(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """Learn counts and model from ``train`` (``text``) and score ``docs`` (``doc_id, text``).
+def train_and_score(docs: DataFrame, is_train: Column, head: int = HEAD) -> DataFrame:
+    """Learn counts and model from the rows of ``docs`` (``doc_id, text``) where ``is_train`` holds, and score all of them.
 
-    Null text is empty: its one token is the end. Repeated rows are scored alike. With nothing to train on,
-    all words are unseen and outputs are equally likely. Empty tables give empty results; extra columns are ignored.
+    Texts are read twice: to count words, and to turn them into tokens, which are staged and serve both learning and scoring.
+    Null text is empty: its one token is the end. Repeated rows are scored alike. Whole texts count, however long. With nothing to
+    train on, all words are unseen and outputs are equally likely. Empty tables give empty results; extra columns are ignored.
     """
-    vocab = stage(vocabulary(train), "lm-vocabulary")
-    lex = lexicon(vocab)
-    return score(docs, vocab, lex, fit(train, lex))
+    with scratch(docs.sparkSession) as kept:
+        vocab = stage(vocabulary(docs.filter(is_train)), "lm-vocabulary")
+        lex = lexicon(vocab, head)
+        rows = stage(encoded(docs, is_train, lex), "lm-rows")
+        kept.append(stage(score(rows, vocab, lex, fit(rows, lex)), "lm-scores"))
+    return kept[0]

@@ -214,13 +214,12 @@ def test_mixing_empty(empty, spark):
 
 
 def test_scoring_base(docs, rows):
-    train = docs.filter("doc_id % 7 <> 2")
     counts = Counter()
     for doc_id, text, *_ in rows:
         if doc_id is not None and doc_id % 7 != 2:
             counts.update([*WORD.findall((text or "").translate(LOWER)), ""])
     n, v = sum(counts.values()), len(counts)
-    got = {r.doc_id: r for r in scoring.train_and_score(docs, train).collect()}
+    got = {r.doc_id: r for r in scoring.train_and_score(docs, F.expr("doc_id % 7 <> 2")).collect()}
     for doc_id, text, *_ in rows:
         t = [*WORD.findall((text or "").translate(LOWER)), ""]
         r = got[doc_id]
@@ -231,14 +230,34 @@ def test_scoring_base(docs, rows):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_scoring_head_bound_changes_nothing(docs, monkeypatch):
+def test_scoring_head_bound_changes_nothing(docs):
     """Counts that are joined and counts that are sent along give the same sums."""
-    vocab = scoring.stage(scoring.vocabulary(docs), "t")
-    big, small = scoring.lexicon(vocab), scoring.lexicon(vocab, head=scoring.WORDS + 5)
-    model = scoring.Model.start(scoring.unigram(big.output_counts))
-    a = {r.doc_id: r for r in scoring.score(docs, vocab, big, model).collect()}
-    b = {r.doc_id: r for r in scoring.score(docs, vocab, small, model).collect()}
-    assert all((a[k].n_known, a[k].n_tokens) == (b[k].n_known, b[k].n_tokens) and a[k].base_score == pytest.approx(b[k].base_score) for k in a)
+    a, b = ({r.doc_id: r for r in scoring.train_and_score(docs, F.lit(True), head).collect()} for head in (scoring.HEAD, scoring.WORDS + 5))
+    assert all((a[k].n_known, a[k].n_tokens) == (b[k].n_known, b[k].n_tokens) for k in a)
+    assert all(a[k].base_score == pytest.approx(b[k].base_score) and a[k].score == pytest.approx(b[k].score, rel=1e-4) for k in a)
+
+
+def test_scoring_does_not_depend_on_partitions(docs, clashing, monkeypatch):
+    """The same scores however rows are dealt out, also with several groups."""
+    monkeypatch.setattr(scoring, "GROUP", 10_000)
+    some = lambda df: Counter((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 3)) for r in scoring.train_and_score(df, F.expr("doc_id % 7 <> 2")).collect())
+    want = some(docs)
+    assert want == some(docs.repartition(11)) == some(clashing.coalesce(1))
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 5000])
+def test_places(n):
+    rng = np.random.default_rng(n)
+    keys = np.unique(rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2))
+    keys = np.concatenate([keys, np.arange(1, 40, dtype=np.uint64) * np.uint64(1 << 20)]) if n > 3 else keys
+    other = rng.integers(1, 2**63, 5000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    places = scoring.Places(keys)
+    assert places(keys).tolist() == list(range(len(keys))) and (places(other) == -1).all()
+
+
+def test_token_keys():
+    keys, stops = scoring.token_keys([b"The the", b"", b"a  b\n"])
+    assert stops.tolist() == [3, 4, 7] and keys[0] == keys[1] and (keys[[2, 3, 6]] == scoring.END).all() and len(set(keys.tolist())) == 4
 
 
 def test_model_is_normalised():
@@ -283,8 +302,8 @@ def test_gradient():
 
 
 def test_scoring_empty(empty, docs):
-    assert scoring.train_and_score(empty, docs).count() == 0
-    rows = scoring.train_and_score(docs.filter("doc_id < 5"), empty).collect()
+    assert scoring.train_and_score(empty, F.lit(True)).count() == 0
+    rows = scoring.train_and_score(docs.filter("doc_id < 5"), F.lit(False)).collect()
     assert len(rows) == 5 and all(r.base_score == 0 and r.n_known == 0 and math.isfinite(r.score) for r in rows)
 
 
