@@ -568,13 +568,37 @@ def test_sharding_balances(spark):
     assert len(sums) == 8 and max(sums.values()) < 1.03 * min(sums.values())
 
 
-def test_sharding_divides_one_text_that_is_too_large(spark):
-    rows = [(k, "hot text " * 20) for k in range(4000)] + [(9000 + k, f"other {k}") for k in range(500)]
-    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    sums = Counter()
+@pytest.mark.parametrize(("of_a_shard", "homes"), [(0.4, 1), (0.6, 1), (0.95, 1), (1.5, None), (2.7, None)])
+def test_sharding_keeps_a_text_together_that_fits(spark, of_a_shard, homes):
+    """A hot text of each size, with unique, repeated and null ids: together if a shard can hold it, else divided; sizes near equal."""
+    import random
+
+    rng, hot = random.Random(7), "hot text " * 11
+    rows = [(k, "".join(rng.choices("abcdef ", k=rng.randint(10, 300)))) for k in range(4000)]
+    other = sum(len(t) + 1 for _, t in rows)
+    n = round(of_a_shard * other / (8 - of_a_shard) / (len(hot) + 1))
+    rows += [(9000 + k if k % 3 == 0 else 5 if k % 3 == 1 else None, hot) for k in range(n)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    sums, slots, where = Counter(), defaultdict(list), defaultdict(set)
     for r in got:
         sums[r.shard] += r.size
-    assert len(sums) == 8 and max(sums.values()) < 1.2 * min(sums.values())
+        slots[r.shard].append(r.slot)
+        where[r.text_crc32].add(r.shard)
+    assert len(got) == len(rows) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert len(sums) == 8 and max(sums.values()) < 1.04 * min(sums.values())
+    crc = zlib.crc32(hot.encode())
+    assert all(len(x) == 1 for k, x in where.items() if k != crc) and (len(where[crc]) == homes or homes is None)
+
+
+def test_sharding_subdivides_until_no_range_is_overfull(spark, monkeypatch):
+    """With a poor sample the first ranges are far too large."""
+    import random
+
+    rng = random.Random(8)
+    rows = sharding.stage(sharding.record_columns(spark.createDataFrame([(k, "x" * rng.choice([1, 5, 4000]) + str(k)) for k in range(3000)], "doc_id long, text string")), "t")
+    total = rows.agg(F.sum("size")).first()[0]
+    _, sums = sharding.splitters(rows, 400, total, 1, 3)
+    assert ((sums["s"] <= 2 * total / 400) | (sums["lo"] == sums["hi"])).all() and sums["s"].sum() == total
 
 
 def test_sharding_empty_and_files(spark, empty, docs, tmp_path):
