@@ -133,5 +133,39 @@ FROM captures c LEFT JOIN best ON c.page_id = best.page_id
 """
 
 
+OP4_WARC = """
+WITH payloads AS (
+  SELECT page_id, url, coalesce(html, '') AS p, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+firsts AS (SELECT p, max(page_id) AS first_id FROM payloads WHERE n >= 1000 GROUP BY p)
+SELECT a.page_id, CAST(a.n AS BIGINT) AS payload_bytes, sha1(a.p) AS payload_digest,
+       CASE WHEN coalesce(f.first_id, a.page_id) = a.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN f.first_id <> a.page_id THEN f.first_id END AS refers_to, a.url
+FROM payloads a LEFT JOIN firsts f ON a.n >= 1000 AND a.p = f.p
+"""
+
+#: All pairs that share a shingle, confirmed on whole sets, then everything that is reachable.
+OP8_MINHASH = rf"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s
+  FROM split),
+held AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, a.n AS n, b.n AS m, count(*) AS i
+  FROM held a JOIN held b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared WHERE 100 * i >= 75 * (n + m - i)),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM sets
+  UNION
+  SELECT r.doc_id, l.y AS other FROM reached r JOIN links l ON l.x = r.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.component_id, l.component_id = s.doc_id AS kept
+FROM sets s JOIN least l ON l.doc_id = s.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": _mixing(), "op6_fingerprints": OP6_FINGERPRINTS, "op7_urlfilter": OP7_URLFILTER}
+    return {"op4_warc": OP4_WARC, "op8_minhash": OP8_MINHASH, "op3_mixing": _mixing(), "op6_fingerprints": OP6_FINGERPRINTS, "op7_urlfilter": OP7_URLFILTER}

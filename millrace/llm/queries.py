@@ -13,9 +13,9 @@ from .common import remainder, table
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = remainder(F.col("doc_id"), 4) == 2
-    langs, model = langid.train(docs.filter(~F.coalesce(held_out, F.lit(False))))
-    return langid.predict(docs, langs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "langs")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    langs, model = langid.train(docs.filter(~held_out))
+    return langid.predict(docs, langs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "langs", "fit")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,13 +26,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", "taken"
+        "doc_id", "size", "source_size", "target", "taken", "source", "copies"
     )
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select(
-        "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"
     )
 
 
@@ -96,7 +96,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", *quality.BASE, "base_failed", "rule", "kept")
+    return found.select("doc_id", *quality.BASE, "base_failed", "kept", "rule")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
