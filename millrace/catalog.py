@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import queries_model, queries_pipeline, queries_service
+from .plans import queries_model, queries_pipeline, queries_service, queries_sources
 
-_PARTS = (queries_pipeline, queries_model, queries_service)
+_PARTS = (queries_pipeline, queries_model, queries_service, queries_sources)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -29,6 +29,14 @@ class SchemaError(MillraceError):
     """A dataset lacks a column, or a column has another type or nulls."""
 
 
+class UnknownUser(MillraceError):
+    """A user that must exist does not."""
+
+
+class UnhandledToken(MillraceError, ValueError):
+    """A disassembler's token that the grammar does not know."""
+
+
 class RemoteException(MillraceError):
     """A guarded child process failed; the message holds its traceback."""
 
@@ -42,4 +50,6 @@ __all__ = [
     "PathExists",
     "RemoteException",
     "SchemaError",
+    "UnhandledToken",
+    "UnknownUser",
 ]

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import text
 from ..schema import require
+from ..sources.shared import staged
 
 Operation = Callable[[DataFrame], DataFrame]
 
@@ -100,7 +101,8 @@ def row_bytes(df: DataFrame) -> Column:
 def repartition(chunks: int | None = None, size: int | str | None = None) -> Operation:
     """Deal rows to exactly ``chunks`` partitions, or to so many that each has at most about ``size`` bytes.
 
-    The parquet sink turns each partition into a file. By size takes one pass to sum the rows' bytes.
+    The parquet sink turns each partition into a file. By size, the rows are written to the shared folder first, so
+    that what leads to them runs once; their bytes are summed there.
     """
     if (chunks is None) == (size is None):
         raise ValueError("give either chunks or size")
@@ -108,8 +110,9 @@ def repartition(chunks: int | None = None, size: int | str | None = None) -> Ope
     def apply(df: DataFrame) -> DataFrame:
         if chunks is not None:
             return df.repartition(chunks)
-        total = df.agg(F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()[0]
-        return df.repartition(1 + int(total) // text.parse_size(size))
+        once = staged(df, "sized")
+        total = once.agg(F.coalesce(F.sum(row_bytes(once)), F.lit(0))).first()[0]
+        return once.repartition(1 + int(total) // text.parse_size(size))
 
     return apply
 
@@ -126,3 +129,19 @@ def compose(*operations: Operation) -> Operation:
 def hash_dedup_drop(column: str, order: str | None = None) -> Operation:
     """Drop rows that repeat ``column``, compared by a hash so that wide values are not shuffled twice."""
     return compose(hash_column(column, "_hash"), deduplicate("_hash", order=order), drop("_hash"))
+
+
+def number(df: DataFrame, target: str, *order: Column | str) -> DataFrame:
+    """Add ``target``, each row's place from 0 in the order of ``order``; ties are numbered in any order.
+
+    Rows are sorted by range partitions and written once; a row's number is its place in its partition and the
+    count of those before, so no task sees more than its range, and the driver only counts by partition.
+    """
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    rows = staged(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_seq", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("_seq", 33), F.col("_seq").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    out = rows.withColumn("_part", part).join(F.broadcast(starts), "_part")  # a row for each partition
+    return out.withColumn(target, F.col("_before") + place).select(*[c for c in df.columns if c != target], target)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..schema import require
+from .frame import number
 
 #: Fixed value: a vulnerability of all versions.
 ANY_VERSION = "-"
@@ -18,7 +19,7 @@ def flatten_vulnerabilities(records: DataFrame) -> DataFrame:
     """``project, fname, cve_name, version, ord`` from nested records.
 
     ``records`` has ``repo, cve_name, function_names array<string>, binary_version array<string>`` and
-    ``ord``, the order of the records. One row for each name and version; without versions
+    ``ord``, the order of the records (a number, or a struct of numbers). One row for each name and version; without versions
     one with ``-``; without names none.
     """
     versions = F.when(F.col("binary_version").isNull(), F.array(F.lit(ANY_VERSION))).otherwise(F.col("binary_version"))
@@ -31,7 +32,7 @@ def flatten_vulnerabilities(records: DataFrame) -> DataFrame:
             text.normalized(F.col("name")).alias("fname"),
             "cve_name",
             "version",
-            F.struct(F.col("ord").cast("long").alias("ord"), "i", "j").alias("ord"),
+            F.struct("ord", "i", "j").alias("ord"),
         )
     )
 
@@ -125,5 +126,5 @@ def binary_files(df: DataFrame, max_bytes: int = 10_000_000, architectures: tupl
 
 
 def sequential_id(df: DataFrame, order: str) -> DataFrame:
-    """Add ``id``, the row's place in the order of ``order``, as text; the order is total, so this sorts all rows."""
-    return df.withColumn("id", (F.row_number().over(Window.orderBy(order)) - 1).cast("string"))
+    """Add ``id``, the row's place in the order of ``order``, as text."""
+    return number(df, "id", order).withColumn("id", F.col("id").cast("string"))

@@ -5,11 +5,13 @@ State changes are functions from one version of the table to the next; a writer
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import UnknownUser
 from ..functions import text
 from ..schema import require
+from .frame import number
 
 #: States, types and ratings of completions.
 STATES = {0: "queued", 1: "running", 2: "complete"}
@@ -91,15 +93,17 @@ def serialize(queue: DataFrame) -> DataFrame:
 
 
 def set_admin(users: DataFrame, username: str, admin: bool = True) -> DataFrame:
-    """The users with one's flag set."""
+    """The users with one's flag set; an unknown name raises."""
+    if not users.filter(F.col("username") == username).limit(1).count():
+        raise UnknownUser(username)
     return users.withColumn("admin", F.when(F.col("username") == username, F.lit(admin)).otherwise(F.col("admin")))
 
 
 def get_or_create(users: DataFrame, names: DataFrame) -> DataFrame:
     """The users with those of ``names`` (``username``) that are new; ids go on from the largest."""
     new = names.select("username").distinct().join(users.select("username"), "username", "left_anti")
-    last = users.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
-    rows = new.crossJoin(last).select((F.col("_last") + F.row_number().over(Window.orderBy("username"))).alias("id"), "username", F.lit(False).alias("admin"))
+    last = users.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    rows = number(new, "_place", "username").select((F.col("_place") + last + 1).alias("id"), "username", F.lit(False).alias("admin"))
     return users.select("id", "username", "admin").union(rows)
 
 
@@ -121,6 +125,12 @@ def list_completions(completions: DataFrame, users: DataFrame, limit: int = 10,
     return out.orderBy("timestamp", "id").limit(limit).select("username", "id", "timestamp", state.alias("state"), "input")
 
 
+def newest(completions: DataFrame, users: DataFrame, user_id: int, admin: bool = False, limit: int = 100) -> DataFrame:
+    """What a user's page lists: the completions that they may see, the newest first, as a client receives them."""
+    rows = with_users(visible(completions, user_id, admin), users)
+    return serialize(rows.orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(limit))
+
+
 def export(completions: DataFrame, users: DataFrame, start: str | None = None) -> DataFrame:
     """All completions since ``start`` for analysis."""
     out = with_users(completions, users)

@@ -6,6 +6,7 @@ immediates and are cut by byte-pair encoding (Sennrich, Haddow and Birch, 2016);
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections import Counter, defaultdict
@@ -14,11 +15,13 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..schema import DisassembledFunctionDataset, validate
+from ..sources.shared import staged
+from .frame import number
 
 PREFIX = "__"
 
@@ -55,12 +58,12 @@ def unique_tokens(counts: DataFrame) -> DataFrame:
 def vocabulary_ids(counts: DataFrame, first: int = len(text.SPECIAL_TOKENS)) -> DataFrame:
     """``token, id`` of whole tokens, the most frequent first, ties by token, after the special ones.
 
-    A vocabulary is small next to the corpus it counts; ranking it is one sort of distinct tokens.
+    A vocabulary is small next to the corpus it counts; it is ranked by ranges, so its size is no one task's.
     """
     special = counts.sparkSession.createDataFrame(list(zip(text.SPECIAL_TOKENS, range(first), strict=False)), "token string, id int")
     others = counts.filter("kind = 'tokens'").filter(~F.col("token").isin(*text.SPECIAL_TOKENS))
-    order = Window.orderBy(F.col("n").desc(), "token")
-    return special.union(others.select("token", (F.row_number().over(order) + first - 1).cast("int").alias("id")))
+    ranked = number(others.select("token", "n"), "id", F.col("n").desc(), "token")
+    return special.union(ranked.select("token", (F.col("id") + first).cast("int").alias("id")))
 
 
 @dataclass
@@ -154,19 +157,26 @@ def learn_merges(words: dict[str, int], ids: dict[str, int], size: int) -> list[
         for pair in zip(parts, parts[1:], strict=False):
             pairs[pair] += counts[k]
             where[pair].add(k)
+    entry = lambda pair: (-pairs[pair], ids[pair[0]], ids[pair[1]], pair)
+    queue = [entry(pair) for pair in pairs]
+    heapq.heapify(queue)
     merges = []
-    while len(ids) < size and pairs:
-        pair, n = min(pairs.items(), key=lambda x: (-x[1], ids[x[0][0]], ids[x[0][1]]))
-        if n <= 0:
+    while len(ids) < size and queue:
+        least, _, _, pair = heapq.heappop(queue)
+        if -least != pairs[pair]:  # its count has changed since; a newer entry holds the count
+            continue
+        if least >= 0:
             break
         new = pair[0] + pair[1].removeprefix(PREFIX)
         ids.setdefault(new, len(ids))
         merges.append(pair)
+        changed = set()
         for k in list(where[pair]):
             parts = split[k]
             for old in zip(parts, parts[1:], strict=False):
                 pairs[old] -= counts[k]
                 where[old].discard(k)
+                changed.add(old)
             merged, at = [], 0
             while at < len(parts):
                 if at + 1 < len(parts) and (parts[at], parts[at + 1]) == pair:
@@ -179,7 +189,10 @@ def learn_merges(words: dict[str, int], ids: dict[str, int], size: int) -> list[
             for fresh in zip(merged, merged[1:], strict=False):
                 pairs[fresh] += counts[k]
                 where[fresh].add(k)
-        del pairs[pair]
+                changed.add(fresh)
+        pairs[pair] = 0
+        for other in changed - {pair}:
+            heapq.heappush(queue, entry(other))
     return merges
 
 
@@ -231,15 +244,14 @@ def learn_merges_spread(words: DataFrame, ids: dict[str, int], size: int, kept:
         return count
 
     pieces = F.transform(F.filter(F.split("token", ""), lambda c: c != ""), lambda c, k: F.when(k == 0, c).otherwise(F.concat(F.lit(PREFIX), c)))
-    state = words.select(pieces.alias("parts"), F.col("n").cast("long").alias("n")).persist()
+    state = staged(words.select(pieces.alias("parts"), F.col("n").cast("long").alias("n")), "merges")
     merges: list[tuple[str, str]] = []
     late: list[tuple[str, str]] = []
     while len(ids) < size:
         now = state.mapInArrow(spelled(late), "parts array<string>, n long") if late else state
         if len(late) == kept:
-            now = now.localCheckpoint()
-            state.unpersist()
-            state, late = now, []
+            now = state = staged(now, "merges")
+            late = []
         pairs = now.mapInArrow(counted(dict(ids)), "x int, y int, n long").groupBy("x", "y").agg(F.sum("n").alias("n"))
         best = pairs.agg(F.min(F.struct((-F.col("n")).alias("n"), "x", "y")).alias("best")).first()["best"]
         if best is None or best["n"] >= 0:
@@ -249,7 +261,6 @@ def learn_merges_spread(words: DataFrame, ids: dict[str, int], size: int, kept:
         ids.setdefault(pair[0] + pair[1].removeprefix(PREFIX), len(ids))
         merges.append(pair)
         late = [*late, pair]
-    state.unpersist()
     return merges
 
 

@@ -15,7 +15,9 @@ from ..operators import frame, link, sequence, tokens
 from ..operators.native import Disassembler, compile_cpp, disassemble
 from ..operators.split import generate_numbers, reciprocal
 from ..schema import DisassembledFunctionDataset, validate
+from ..sources import parquet
 from ..sources import text as files
+from ..sources.shared import staged
 
 
 def finish(df: DataFrame, size: str = "100MB") -> DataFrame:
@@ -59,8 +61,13 @@ def vulnerable_binaries(spark: SparkSession, binaries: str, maps: list[str], dis
     return finish(link.link_vulnerabilities(found, files.vulnerabilities(spark, *maps)))
 
 
+def write_by_project(df: DataFrame, path: str) -> list[str]:
+    """One folder for each project that has functions, ``path/project=name``; one pass, and none for empty projects."""
+    return parquet.write(df.hint("rebalance", "project"), path, partition_by=("project",))
+
+
 def train_tokenizer(df: DataFrame, length: int = 512, size: int = 4096) -> tokens.Tokenizer:
-    return tokens.train_tokenizer(tokens.preprocess_tokens(df).persist(), length, size)
+    return tokens.train_tokenizer(staged(tokens.preprocess_tokens(df), "token-counts"), length, size)
 
 
 def tokenize(df: DataFrame, tokenizer: tokens.Tokenizer, minimize: bool = False, size: str = "100MB") -> DataFrame:

@@ -193,5 +193,8 @@ QUERIES = {
     "cross_entropy": (cross_entropy, "SELECT round(avg(-ln(1.0::DOUBLE - l_discount - l_tax)), 9) AS loss FROM lineitem"),
     "bpe_encode": (bpe_encode, None),
     "bpe_round_trip": (bpe_round_trip, None),
-    "probes": (probes, None),
+    "probes": (
+        probes,
+        "SELECT CAST(k AS VARCHAR) AS id, name, disassembly FROM (VALUES " + ", ".join(f"({k}, '{n}', '{p}')" for k, (n, p) in enumerate(pipelines.PROBES)) + ") p(k, name, disassembly)",
+    ),
 }

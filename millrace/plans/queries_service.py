@@ -163,5 +163,9 @@ QUERIES = {
             SELECT (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY username), username
             FROM (SELECT DISTINCT s_name AS username FROM supplier WHERE s_name NOT IN (SELECT c_name FROM customer))""",
     ),
-    "stream_worker": (stream_worker, None),
+    "stream_worker": (
+        stream_worker,
+        rf"""SELECT id, 2 AS state, regexp_replace(lower(regexp_replace(regexp_replace(input, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')), '^\s+|\s+$', '', 'g') AS output
+            FROM ({fx.QUEUE}) WHERE state = 0""",
+    ),
 }

@@ -53,16 +53,19 @@ def write(df: DataFrame, path: str, compression: str = "uncompressed", mode: str
 
 
 def _pad(df: DataFrame, path: str, count: int, compression: str) -> None:
-    """Add ``count`` files without rows: one is written beside the dataset and moved in, then others likewise."""
+    """Add ``count`` files without rows: one is written beside the dataset and copied."""
+    if count <= 0:
+        return
     spark = df.sparkSession
-    for _ in range(count):
-        beside = f"{path}-{uuid.uuid4().hex}"
-        spark.createDataFrame([], df.schema).coalesce(1).write.option("compression", compression).parquet(beside)
-        fs, _p = _path(spark, beside)
-        new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        for f in files(spark, beside):
-            fs.rename(new(f), new(f"{path}/{f.rpartition('/')[2]}"))
-        fs.delete(new(beside), True)
+    beside = f"{path}-{uuid.uuid4().hex}"
+    spark.createDataFrame([], df.schema).coalesce(1).write.option("compression", compression).parquet(beside)
+    fs, _p = _path(spark, beside)
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    empty = files(spark, beside)[0]
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for k in range(count):
+        jvm.FileUtil.copy(fs, jvm.Path(empty), fs, jvm.Path(f"{path}/{empty.rpartition('/')[2].replace('part-', f'part-e{k:05d}-', 1)}"), False, conf)
+    fs.delete(jvm.Path(beside), True)
 
 
 def get_or_create(df_or_make, path: str, spark: SparkSession, **options) -> DataFrame:

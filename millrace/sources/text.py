@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.frame import number
 from ..operators.link import binary_files, flatten_vulnerabilities
 
 SAMPLES = "task_id string, prompt string, declaration string, canonical_solution string"
@@ -33,7 +34,15 @@ def merge_json(values: DataFrame) -> DataFrame:
     return values.select("file", F.posexplode(items).alias("pos", "value"))
 
 
-def write_json_list(df: DataFrame, path: str) -> None:
+def write_json_list(df: DataFrame, path: str, *order: str) -> None:
+    """One file with one JSON list of all rows, in the order of ``order``; rows stream through its one writer."""
+    rows = number(df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"), *[F.col(c).alias(f"_{c}") for c in order]), "_at", *[f"_{c}" for c in order])
+    lines = rows.select((F.col("_at") + 1).alias("_at"), F.concat(F.when(F.col("_at") > 0, ",").otherwise(""), "value").alias("value"))
+    ends = df.sparkSession.createDataFrame([(0, "["), (2**62, "]")], "_at long, value string")
+    lines.union(ends).orderBy("_at").select("value").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_json_lines(df: DataFrame, path: str) -> None:
     """Lines of JSON in one folder."""
     df.write.mode("overwrite").json(path)
 
@@ -50,9 +59,12 @@ def _strings(value):
 
 def vulnerabilities(spark: SparkSession, *paths: str) -> DataFrame:
     """``project, fname, cve_name, version, ord`` from nested maps; names and versions may be lists or single."""
-    raw = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", VULNERABILITIES).alias("m"))
-    records = raw.select("file", F.posexplode(F.map_entries("m")).alias("k", "entry")).select("file", "k", F.posexplode("entry.value").alias("i", "r"))
-    ordered = records.withColumn("ord", F.xxhash64("file").bitwiseAND(F.lit(0x7FFF0000)) + F.col("k") * 1024 + F.col("i"))
+    raw = None  # paths in the order given, the files of one by name
+    for rank, path in enumerate(paths):
+        some = spark.read.text(path, wholetext=True).select(F.lit(rank).alias("rank"), F.input_file_name().alias("file"), F.from_json("value", VULNERABILITIES).alias("m"))
+        raw = some if raw is None else raw.union(some)
+    records = raw.select("rank", "file", F.posexplode(F.map_entries("m")).alias("k", "entry")).select("rank", "file", "k", F.posexplode("entry.value").alias("i", "r"))
+    ordered = records.withColumn("ord", F.struct("rank", "file", "k", "i"))
     names, versions = F.col("r.function_names"), F.col("r.binary_version")
     return flatten_vulnerabilities(
         ordered.select(

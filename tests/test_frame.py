@@ -122,3 +122,23 @@ def test_token_arrays_fit(spark):
     schema.validate(df, schema.TokenizedClassificationDataset)
     with pytest.raises(SchemaError):
         schema.validate(df.withColumn("tokens", F.array(F.lit("x"))), schema.TokenizedDataset)
+
+
+def test_number(spark):
+    df = spark.range(0, 1000, numPartitions=7).selectExpr("id", "cast(id % 10 as string) as s")
+    got = frame.number(df, "at", F.col("s").desc(), "id").collect()
+    want = sorted(((f"{k % 10}", k) for k in range(1000)), key=lambda x: (-int(x[0]), x[1]))
+    assert [(r.s, r.id) for r in sorted(got, key=lambda r: r.at)] == want
+    assert frame.number(df.limit(0), "at", "id").count() == 0
+
+
+def test_repartition_by_size_runs_what_leads_to_it_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    frame.repartition(size="1KB")(spark.range(500).select(counted("id").alias("x"))).count()
+    assert seen.value == 500

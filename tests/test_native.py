@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from millrace.errors import EnvironmentError, RemoteException, SchemaError  # noqa: A004
+from millrace.errors import EnvironmentError, RemoteException, SchemaError, UnhandledToken  # noqa: A004
 from millrace.operators import native, tokens
 from millrace.plans import pipelines
 
@@ -27,6 +27,15 @@ def test_compile_drops_what_fails_and_keeps_columns(spark, compiler):
     assert [(r.id, r.foo) for r in rows] == [("1", "x")] and len(rows[0].binary) > 100
 
 
+def test_compile_counts_as_rows_pass(spark, compiler):
+    from pyspark.sql import Observation
+
+    seen = Observation("compiled")
+    df = spark.createDataFrame([("1", "int main() { return 42; }"), ("2", "foo"), ("3", "bar")], "id string, source string")
+    assert native.compile_cpp(df, compiler, observation=seen).count() == 1
+    assert seen.get == {"total": 3, "succeeded": 1}
+
+
 def test_compile_checks_schema(spark):
     with pytest.raises(SchemaError):
         native.compile_cpp(spark.createDataFrame([("1",)], "foo string"))
@@ -54,6 +63,44 @@ def test_pretokens():
         native.check_architecture("mips")
 
 
+def function(*tokens, valid=True, **more):
+    return native.Function("f", (native.Block(8, b"b", tokens, valid), native.Block(4, b"a", (native.Token("instruction", " nop "),))), **more)
+
+
+T = native.Token
+
+
+@pytest.mark.parametrize(
+    ("tokens", "words"),
+    [
+        ((T("address separator"), T("instruction", "mov"), T("text", "  "), T("register", "eax"), T("operand separator", ", "), T("integer", "0x2a", 42)), "nop [NEXT] mov eax 42"),
+        ((T("keyword", "xmmword "), T("begin memory operand", "["), T("brace", "["), T("register", "gs"), T("operation", ":"), T("integer", "8", 8), T("brace", "]")), "nop xmmword [ gs + 8 ]"),
+        ((T("operation", "#"), T("float", "1.5", 1.5), T("operation", " * "), T("code symbol", "main", 4096)), "nop 1.5 * 4096"),
+        ((T("operation", "$+5"), T("keyword", "rel")), "nop rel 5 rel"),
+        ((T("annotation", "{"), T("keyword", "what"), T("annotation", "x"), T("annotation", "}"), T("register", "x0")), "nop x0"),
+    ],
+)
+def test_grammar(tokens, words):
+    assert native.function_text(function(*tokens)) == (b"ab", words)
+
+
+@pytest.mark.parametrize("token", [T("keyword", "what"), T("operation", ":"), T("operation", "/"), T("annotation", "x"), T("unheard of")])
+def test_grammar_raises_for_what_it_does_not_know(token):
+    with pytest.raises(UnhandledToken):
+        native.function_text(function(token))
+
+
+def test_program(spark, caplog):
+    every = native.Program("x86", (function(), function(thunk=True), function(symbol="external"), function(valid=False)))
+    assert list(native.program_disassembler(lambda _: every)(b"")) == [("f", b"ab", "nop"), ("f", b"a", None)]
+    with pytest.raises(ValueError):
+        list(native.program_disassembler(lambda _: native.Program("mips", ()))(b""))
+
+
+def test_compile_without_source():
+    assert native.compile_source(None) == b""
+
+
 def test_functions_end_to_end(spark, compiler):
     source = "int f(int x) { return x + 42; }"
     df = spark.createDataFrame([("1", source, "s"), ("2", source, "s"), ("3", "bad", "s")], "id string, source string, summary string")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import cli
+from millrace.errors import UnknownUser
 from millrace.operators import service
 from millrace.session import cluster
 from millrace.sources import parquet
@@ -69,6 +70,8 @@ def test_reports(queue, users):
 
 def test_users(spark, users):
     assert service.set_admin(users, "bob").filter("admin").count() == 2
+    with pytest.raises(UnknownUser):
+        service.set_admin(users, "nobody")
     names = spark.createDataFrame([("bob",), ("dan",), ("dan",)], "username string")
     assert {(r.id, r.username) for r in service.get_or_create(users, names).collect()} == {(1, "ann"), (2, "bob"), (3, "cid"), (4, "dan")}
 

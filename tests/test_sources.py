@@ -189,3 +189,25 @@ def test_load(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(local.code, "interact", lambda banner, local: seen.update(local))
     local.shell(spark, f"{tmp_path}/x")
     assert seen["dataset"].count() == 3
+
+
+def test_json_list_is_one_list(spark, tmp_path):
+    df = spark.createDataFrame([(3, "c", None), (1, "a\nb", 1.5), (2, None, 2.0)], "k int, s string, x double").repartition(3)
+    text.write_json_list(df, f"{tmp_path}/list", "k")
+    parts = [p for p in (tmp_path / "list").iterdir() if p.name.startswith("part-")]
+    assert len(parts) == 1 and [tuple(x.values()) for x in json.loads(parts[0].read_text())] == [(1, "a\nb", 1.5), (2, None, 2.0), (3, "c", None)]
+    text.write_json_list(df.limit(0), f"{tmp_path}/none", "k")
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "none").iterdir()) if p.name.startswith("part-"))) == []
+
+
+def test_vulnerabilities_of_several_files_keep_their_order(spark, tmp_path):
+    record = lambda name: {"repo": "r", "cve_name": name, "function_names": ["f"]}
+    for k, file in enumerate(("z", "a")):
+        (tmp_path / file).write_text(json.dumps({f"k{i}": [record(f"{k}-{i}-{j}") for j in range(2)] for i in range(70)}))
+    rows = text.vulnerabilities(spark, f"{tmp_path}/z", f"{tmp_path}/a").orderBy("ord").collect()
+    assert [r.cve_name for r in rows] == [f"{k}-{i}-{j}" for k in range(2) for i in range(70) for j in range(2)]
+
+
+def test_missing_partitions_become_empty_files(spark, tmp_path):
+    made = parquet.write(spark.range(1).repartition(1), f"{tmp_path}/p", files_exactly=5)
+    assert len(made) == 5 and spark.read.parquet(f"{tmp_path}/p").count() == 1
