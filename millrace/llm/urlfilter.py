@@ -22,22 +22,26 @@ def url_host(url: Column) -> Column:
     return F.regexp_replace(host, r"\.+$", "")
 
 
-def url_keys(url: Column) -> Column:
+def url_keys(url: Column, most_labels: int, most_steps: int) -> Column:
     """All ``(kind, pattern)`` under which a URL can be listed.
 
-    ``host``: its host; ``domain``: the host and each parent domain; ``prefix``: host and path up to each slash.
+    ``host``: its host; ``domain``: the host and each parent domain, of up to ``most_labels`` labels; ``prefix``: host and path
+    up to each slash, of up to ``most_steps`` slashes. With the list's own depth for these nothing is missed, and a URL of very
+    many slashes has no more keys than the list can match.
     """
     host = url_host(url)
     path = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)", 1)
     labels, steps = F.split(host, r"\."), F.split(path, "/")
     pair = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("pattern"))
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: pair("domain", F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    none = F.array().cast("array<struct<kind:string,pattern:string>>")
+    least = F.greatest(F.lit(1), F.size(labels) - most_labels + 1)
+    domains = F.transform(F.sequence(least, F.size(labels)), lambda i: pair("domain", F.array_join(F.slice(labels, i, F.size(labels)), "."))) if most_labels else none
     # the path "/a/b/c" splits into "", "a", "b", "c": prefixes end before c
     prefixes = F.when(
-        F.size(steps) > 1,
-        F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda i: pair("prefix", F.concat(host, F.array_join(F.slice(steps, 1, i), "/"), F.lit("/")))),
-    ).otherwise(F.array().cast("array<struct<kind:string,pattern:string>>"))
-    return F.when(host != "", F.concat(F.array(pair("host", host)), domains, prefixes)).otherwise(F.array().cast("array<struct<kind:string,pattern:string>>"))
+        (F.size(steps) > 1) & (F.lit(most_steps) > 0),
+        F.transform(F.sequence(F.lit(1), F.least(F.size(steps) - 1, F.lit(max(1, most_steps)))), lambda i: pair("prefix", F.concat(host, F.array_join(F.slice(steps, 1, i), "/"), F.lit("/")))),
+    ).otherwise(none)
+    return F.when(host != "", F.concat(F.array(pair("host", host)), domains, prefixes)).otherwise(none)
 
 
 def intervals(changes: DataFrame) -> DataFrame:
@@ -67,17 +71,20 @@ def judge(captures: DataFrame, changes: DataFrame) -> DataFrame:
     all returned. An empty list blocks nothing; empty captures give an empty result. Extra columns stay,
     but for ``blocked, n_active, entry, category``, which are replaced.
 
-    Only distinct captures are exploded into keys, a handful of short rows each. A list within
+    Only distinct captures are exploded into keys, no more for each than the list's deepest entries have steps, however long
+    the URL. A list within
     ``BROADCAST_ROWS`` intervals is broadcast; a longer one is joined on its key, where Spark splits the
     captures of a host that holds much of the table.
     """
     names = ("blocked", "n_active", "entry", "category")
     base = captures.drop(*names)
     periods = stage(intervals(changes), "url-intervals")
-    if periods.count() <= BROADCAST_ROWS:
+    depth = lambda kind, mark: F.max(F.when(F.col("kind") == kind, F.size(F.split("pattern", mark))))
+    n, labels, steps = periods.agg(F.count("*"), F.coalesce(depth("domain", r"\."), F.lit(0)), F.coalesce(depth("prefix", "/") - 1, F.lit(0))).first()
+    if n <= BROADCAST_ROWS:
         periods = F.broadcast(periods)
     wanted = base.select("url", "fetched_at").filter("url is not null and fetched_at is not null").distinct()
-    keys = wanted.select("url", "fetched_at", F.explode(url_keys(F.col("url"))).alias("k")).select("url", "fetched_at", "k.kind", "k.pattern")
+    keys = wanted.select("url", "fetched_at", F.explode(url_keys(F.col("url"), labels, steps)).alias("k")).select("url", "fetched_at", "k.kind", "k.pattern")
     met = keys.join(periods, ["kind", "pattern"]).filter((F.col("since") <= F.col("fetched_at")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until"))))
     best = F.min(F.struct((-F.length("pattern")).alias("n"), "kind", "pattern", "category"))
     verdicts = met.groupBy("url", "fetched_at").agg(F.count("*").alias("n_active"), best.alias("best"))

@@ -109,6 +109,7 @@ CHANGES = [
 URLS = [
     "http://a.b.example/x/y", "https://user@A.B.Example.:8080/x", "http://b.example", "http://notb.example/", "ftp://c.example/x/", "", None,
     "no url", "http:///x", "http://[::1]:80/x", "http://a.b.example/x/y/z?q=/x/#/x/",
+    "http://a.b.example/x" + "/s" * 20_000, "http://" + "l." * 3_000 + "b.example/" + "q" * 50_000,
 ]
 
 
