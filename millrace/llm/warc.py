@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, stage
+from .common import new_path, small, stage
 
 INDEX = "archive string, offset long, length long, page_id long, url string, payload_digest string, record_type string"
 #: An archive is closed once it is this long.
 ARCHIVE_BYTES = 256 << 20
 #: Ranges closer than this are read at once, up to the second figure.
 GAP_BYTES, READ_BYTES = 64 << 10, 8 << 20
+#: Digests of payloads that occur again which may be broadcast, so that no payload is shuffled.
+MOST_AGAIN = 500_000
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
@@ -53,7 +55,7 @@ def with_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
         "warc-again",
     )
     revisit = F.coalesce(F.col("first_id") != F.coalesce("page_id", F.col("first_id") - 1), F.lit(False))
-    return rows.join(again, "payload_digest", "left").select(
+    return rows.join(small(again, MOST_AGAIN), "payload_digest", "left").select(
         "page_id",
         "url",
         "payload",
@@ -73,7 +75,7 @@ def record_bytes(page_id: int | None, url: str, payload: bytes, digest: str, kin
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         "WARC-Date: 2024-01-01T00:00:00Z",
-        f"WARC-Target-URI: {url}",
+        *([f"WARC-Target-URI: {url}"] if url else []),
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
@@ -96,7 +98,7 @@ def parse_record(raw: bytes) -> dict:
     number = lambda name: int(x) if (x := fields.get(name, "").removeprefix("<urn:page:").rstrip(">")) else None
     return {
         "page_id": number("warc-record-id"),
-        "url": fields["warc-target-uri"],
+        "url": fields.get("warc-target-uri", ""),
         "record_type": fields["warc-type"],
         "refers_to": number("warc-refers-to"),
         "payload_digest": base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex(),
@@ -174,6 +176,8 @@ def read_records(index: DataFrame, folder: str, payloads: bool = False, gap: int
             out: list[dict] = []
             for run in runs(batch.to_pandas()):
                 if run[0].archive != name:
+                    if file is not None:
+                        file.close()
                     name, file = run[0].archive, fs.open_input_file(f"{base}/{run[0].archive}")
                 first = run[0].offset
                 blob = file.read_at(run[-1].offset + run[-1].length - first, first)
@@ -183,7 +187,13 @@ def read_records(index: DataFrame, folder: str, payloads: bool = False, gap: int
                     if got["payload_digest"] != row.payload_digest or (body is not None and (hashlib.sha1(body).hexdigest() != row.payload_digest or len(body) != got["payload_bytes"])):
                         raise ValueError(f"{row.archive} at {row.offset}: not the record of the index")
                     out.append({n: got[n] for n in names})
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+                if payloads:  # no more of them at once than a range holds
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+        if file is not None:
+            file.close()
 
     places = index.select("archive", "offset", "length", "payload_digest")
     ordered = places.repartitionByRange(F.col("archive"), F.col("offset")).sortWithinPartitions("archive", "offset")
@@ -193,8 +203,8 @@ def read_records(index: DataFrame, folder: str, payloads: bool = False, gap: int
 def round_trip(pages: DataFrame, folder: str | None = None, min_bytes: int = 1000) -> DataFrame:
     """Archive all ``pages`` (``page_id, url, html``) and read every record back.
 
-    Returns the columns of :func:`read_records`. Null html is an empty payload and null URLs are
-    empty; a null page_id stays null. Rows that repeat both payload and the largest
+    Returns the columns of :func:`read_records`. Null html is an empty payload, whole payloads are written however long (each is
+    one gzip member, held by one task at a time), and null URLs are empty; a null page_id stays null. Rows that repeat both payload and the largest
     page_id are all responses. An empty table gives an empty result; extra columns are ignored.
     """
     folder = folder or new_path(pages.sparkSession, "warc")
