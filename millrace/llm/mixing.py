@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import aside, scratch, small, stage, word_count
+from .common import aside, drop_stage, scratch, small, stage, word_count
 
 #: Hexadecimal digits of the hash that each level of the search looks at: 3 levels of 4.
 LEVELS, DIGITS = 3, 4
@@ -69,29 +69,36 @@ def thresholds(rows: DataFrame, budgets: DataFrame, mark: Callable[[DataFrame],
     """
     found = budgets.select("sid", "budget", F.lit("").alias("threshold"), F.lit(0).cast("long").alias("used"))
     for n in range(DIGITS, LEVELS * DIGITS + 1, DIGITS):
-        near = rows.join(mark(found), "sid").filter(F.substring("h", 1, n - DIGITS) == F.col("threshold"))
-        hist = near.groupBy("sid", "budget", "used", F.substring("h", 1, n).alias("bucket")).agg(F.sum("size").alias("n"))
-        upto = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-        fits = F.col("upto") <= F.col("budget")
-        # the first bucket that does not fit, and the sum before it
-        step = (
-            hist.withColumn("upto", F.col("used") + F.sum("n").over(upto))
-            .groupBy("sid")
-            .agg(F.min(F.when(~fits, F.col("bucket"))).alias("bucket"), F.max(F.when(fits, F.col("upto"))).alias("upto"))
-        )
-        found = stage(
-            found.join(step, "sid", "left").select(
-                "sid",
-                "budget",
-                # 'g' sorts after every digit: with no bucket over the budget, all documents of the prefix fit
-                F.coalesce("bucket", F.concat("threshold", F.lit("g"))).alias("threshold"),
-                F.coalesce("upto", "used").alias("used"),
-            ),
-            "mix-level",
-        )
+        near = rows.join(mark(found.select("sid", "threshold")), "sid").filter(F.substring("h", 1, n - DIGITS) == F.col("threshold"))
+        hist = stage(near.groupBy("sid", F.substring("h", 1, n).alias("bucket")).agg(F.sum("size").alias("n")), "mix-histogram")
+        # summed up by half the digits first, so that no task cumulates more than 256 sums of a source
+        for digits in (n - DIGITS // 2, n):
+            found = stage(_narrowed(hist, found, digits, mark), "mix-level")
+        drop_stage(hist)
     return found
 
 
+def _narrowed(hist: DataFrame, found: DataFrame, digits: int, mark: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``found`` with thresholds of so many digits: per source the first bucket of ``hist`` (``sid, bucket, n``) that does not fit."""
+    near = hist.join(mark(found), "sid").filter(F.startswith(F.col("bucket"), F.col("threshold")))
+    sums = near.groupBy("sid", "budget", "used", F.substring("bucket", 1, digits).alias("bucket")).agg(F.sum("n").alias("n"))
+    upto = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    fits = F.col("upto") <= F.col("budget")
+    # the first bucket that does not fit, and the sum before it
+    step = (
+        sums.withColumn("upto", F.col("used") + F.sum("n").over(upto))
+        .groupBy("sid")
+        .agg(F.min(F.when(~fits, F.col("bucket"))).alias("bucket"), F.max(F.when(fits, F.col("upto"))).alias("upto"))
+    )
+    return found.join(step, "sid", "left").select(
+        "sid",
+        "budget",
+        # 'g' sorts after every digit: with no bucket over the budget, all documents of the prefix fit
+        F.coalesce("bucket", F.concat("threshold", F.lit("g"))).alias("threshold"),
+        F.coalesce("upto", "used").alias("used"),
+    )
+
+
 def plan_of(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, budget: float = 1.0, rounds: int = 4) -> DataFrame:
     """One row per source of ``rows`` (``source, size, h``), a staged table: ``source, source_size, target, whole`` and each round's ``b, t``.
 
