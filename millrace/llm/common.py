@@ -38,7 +38,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 #: While a stage is written: nothing else reads its shuffles, so their files go at its end, and
 #: batches for Python are small, so that workers and the buffers that feed them stay so.
-STAGED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+STAGED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 @contextmanager
