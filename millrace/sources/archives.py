@@ -110,6 +110,25 @@ def challenge_members(spark: SparkSession, path: str) -> DataFrame:
     return scan(spark, f"{path}/raw_data.sqlar", "sqlar").union(scan(spark, f"{path}/solutions.sqlar", "sqlar"))
 
 
+def challenges(spark: SparkSession, path: str) -> DataFrame:
+    """``challenge, solutions, attempts`` of the folders directly below ``path``, but for ``static``.
+
+    ``solutions`` tells whether a folder holds ``solutions.sqlar``, ``attempts`` whether anything lies in its
+    ``raw_data/attempts``; those to skip and report are the rows where one is false. Only the listing is read, never a
+    file's content, and a folder without any file is not listed.
+    """
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    base = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(root).getPath().toUri().getPath().rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    below = F.substring(F.col("path"), F.instr("path", base) + len(base), F.length("path"))
+    parts = F.split(below, "/")
+    inner = F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), "/")
+    rows = files.select(F.element_at(parts, 1).alias("challenge"), F.size(parts).alias("depth"), inner.alias("inner"))
+    return rows.filter("depth > 1 and challenge <> 'static'").groupBy("challenge").agg(
+        F.bool_or(F.col("inner") == "solutions.sqlar").alias("solutions"), F.bool_or(F.startswith("inner", F.lit("raw_data/attempts/"))).alias("attempts")
+    )
+
+
 def folder_of(path: str) -> str:
     """Where a zip file is unpacked: its path without the extension."""
     return str(Path(path).with_suffix(""))

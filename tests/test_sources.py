@@ -211,3 +211,11 @@ def test_vulnerabilities_of_several_files_keep_their_order(spark, tmp_path):
 def test_missing_partitions_become_empty_files(spark, tmp_path):
     made = parquet.write(spark.range(1).repartition(1), f"{tmp_path}/p", files_exactly=5)
     assert len(made) == 5 and spark.read.parquet(f"{tmp_path}/p").count() == 1
+
+
+def test_challenges(spark, tmp_path):
+    for name in ("a/solutions.sqlar", "a/raw_data/attempts/x.json", "b/raw_data.sqlar", "static/solutions.sqlar", "c/solutions.sqlar", "d/deep/solutions.sqlar", "loose.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    rows = archives.challenges(spark, str(tmp_path)).orderBy("challenge").collect()
+    assert [tuple(r) for r in rows] == [("a", True, True), ("b", False, False), ("c", True, False), ("d", False, False)]
