@@ -167,5 +167,66 @@ FROM sets s JOIN least l ON l.doc_id = s.doc_id
 """
 
 
+
+#: Flags of every document, all orders as lists of filters, and what each step does.
+OP11_FILTER_AUDIT = rf"""
+WITH split AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+failing AS (
+  SELECT doc_id, part, list_filter([
+    CASE WHEN len(w) < 100 THEN 'A' END,
+    CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' END,
+    CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) THEN 'C' END,
+    CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+    CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' END], lambda x: x IS NOT NULL) AS fails
+  FROM split),
+known AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT array_to_string(o, '') AS filter_order, k AS step, o[k] AS own, o[:k - 1] AS before FROM orders, (SELECT unnest(range(1, 6)) AS k)),
+met AS (
+  SELECT part, filter_order, step, own, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, list_contains(fails, own) AS failed,
+         NOT list_has_any(fails, before) AS passed, fails = [own] AS only_this
+  FROM failing LEFT JOIN known ON failing.doc_id = known.doc_id, steps),
+counts AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, own, count(*) FILTER (passed AND NOT failed) AS kept, count(*) FILTER (passed AND failed) AS removed,
+         count(*) FILTER (failed AND NOT passed) AS redundant, count(*) FILTER (only_this) AS unique_fails,
+         count(*) FILTER (passed AND failed AND good) AS good_lost, count(*) FILTER (passed AND failed AND toxic) AS toxic_lost
+  FROM met GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counts
+"""
+
+
+def _centroids(rounds: int = 5, count: int = 40, width: int = 64) -> str:
+    """Every vector against every centroid, round by round."""
+    parts = [
+        f"""kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {width})""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS k, v FROM (SELECT sha256('2:' || vec_id) AS h, v FROM kept ORDER BY h LIMIT {count}))""",
+    ]
+    near = """a{r} AS MATERIALIZED (
+  SELECT vec_id, v, min(d) AS b FROM (
+    SELECT vec_id, x.v AS v, {{'d': CAST(list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'k': c.k}} AS d
+    FROM kept x, c{r} c) GROUP BY vec_id, v)"""
+    moved = """c{n} AS MATERIALIZED (
+  SELECT c.k, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (
+    SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM (
+      SELECT k, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT b.k AS k, unnest(v) AS x, unnest(range(len(v))) AS i FROM a{r}) GROUP BY k, i) GROUP BY k) m
+  ON m.k = c.k)"""
+    for r in range(rounds + 1):
+        parts.append(near.format(r=r))
+        if r < rounds:
+            parts.append(moved.format(r=r, n=r + 1))
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(b.k AS INTEGER) AS cluster, b.d AS distance, CAST(sum(b.d) OVER (PARTITION BY b.k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c ON c.k = b.k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_WARC, "op8_minhash": OP8_MINHASH, "op3_mixing": _mixing(), "op6_fingerprints": OP6_FINGERPRINTS, "op7_urlfilter": OP7_URLFILTER}
+    return {"op4_warc": OP4_WARC, "op8_minhash": OP8_MINHASH, "op3_mixing": _mixing(), "op6_fingerprints": OP6_FINGERPRINTS, "op7_urlfilter": OP7_URLFILTER, "op11_filter_audit": OP11_FILTER_AUDIT, "op13_centroids": _centroids()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, minhash, mixing, oracles, packing, quality, scoring, sharding, urlfilter, warc
+from . import audit, centroids, fingerprints, langid, minhash, mixing, oracles, packing, pii, quality, scoring, sharding, urlfilter, warc
 from .common import remainder, table
 
 
@@ -99,8 +99,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality.BASE, "base_failed", "kept", "rule")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_packing, op3_mixing, op4_warc, op5_scoring, op6_fingerprints, op7_urlfilter, op8_minhash, op9_sharding, op10_quality)}
+    every = (
+        op1_langid, op2_packing, op3_mixing, op4_warc, op5_scoring, op6_fingerprints, op7_urlfilter, op8_minhash, op9_sharding, op10_quality,
+        op11_filter_audit, op12_pii, op13_centroids,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
