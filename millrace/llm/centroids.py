@@ -50,7 +50,7 @@ def first_centroids(vectors: DataFrame, count: int = CENTROIDS, seed: str = "2")
     """
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     rows = vectors.select(key.alias("h"), "v").orderBy(F.col("h").asc_nulls_last(), "v").limit(count).collect()
-    return np.array([r["v"] for r in rows], dtype=np.int64).reshape(len(rows), -1)
+    return np.array([r["v"] for r in rows], dtype=np.int64)
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:

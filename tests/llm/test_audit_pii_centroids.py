@@ -1,0 +1,255 @@
+"""Filter audit, personal data and centroid clustering against brute force, with odd cases and empty tables."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import time
+from collections import Counter
+from itertools import permutations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import audit, centroids, pii
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def collected(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+# --- filter interaction audit
+
+
+def brute_audit(rows, labels):
+    first, good, toxic = {}, set(), set()
+    for i, t, *_ in rows:
+        if i is not None:
+            first[t or ""] = min(first.get(t or "", i), i)
+    for i, q, x in labels:
+        if i is not None:
+            good |= {i} if q == 1 else set()
+            toxic |= {i} if x == 1 else set()
+    out, shares = {}, Counter()
+    for order in map("".join, permutations("ABCDE")):
+        for i, text, lang, *_ in rows:
+            t = text or ""
+            w = WORDS.findall(t)
+            fails = {
+                "A": len(w) < 100, "B": 100 * len(set(w)) < 80 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 10 * len(t),
+                "D": bool(re.search(r"[#$%&*|]", t)), "E": i is not None and t in first and i > first[t],
+            }
+            alive = True
+            for k, f in enumerate(order, 1):
+                c = out.setdefault((lang or "", order, k), Counter())
+                here = alive and fails[f]
+                c["kept"] += alive and not fails[f]
+                c["removed"] += here
+                c["redundant"] += fails[f] and not alive
+                c["unique_fails"] += fails[f] and sum(fails.values()) == 1
+                c["good_lost"] += here and i in good
+                c["toxic_lost"] += here and i in toxic
+                shares[lang or "", f] += here
+                alive = alive and not fails[f]
+    return sorted(((p, o, k, *[c[x] for x in audit.COUNTS], shares[p, o[k - 1]]) for (p, o, k), c in out.items()), key=str)
+
+
+LABELS = [(k, k % 2, int(k % 3 == 0)) for k in range(0, 120, 2)] + [(4, 1, 1), (None, 1, 1), (6, None, None), (5000, 1, 1)]
+
+
+def test_audit_is_the_replay(spark, docs, clashing, rows):
+    labels = spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
+    want = brute_audit(rows, LABELS)
+    assert collected(audit.audit(docs, labels)) == want
+    wide = clashing.select("*", *[F.lit("x").alias(n) for n in ("part", "bits", "good", "toxic", "step", "first_id", "text_digest")])
+    assert collected(audit.audit(wide, labels.withColumn("good", F.lit("x")))) == want
+    assert {r[0] for r in want} == {"", "de", "en"} and len(want) == 3 * 600
+
+
+def test_audit_of_hot_copies_and_null_ids(spark):
+    """A third of the rows hold one text, a third have no id: all partitions agree with brute force, and tables beyond the broadcast bound too."""
+    rows = [(k, "one text that all have", "en") for k in range(80)] + [(None, f"no id {k % 5} " * 60, "en") for k in range(80)] + [(k, f"w{k} " * 120, None) for k in range(80, 160)]
+    want = brute_audit(rows, LABELS)
+    for n in (1, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(n)
+        assert collected(audit.audit(df, spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int"))) == want
+
+
+def test_audit_joins_beyond_the_broadcast_bound(spark, docs, rows, monkeypatch):
+    labels = spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(audit, "small", lambda ids, rows: ids)
+    monkeypatch.setattr(audit, "DOCUMENTS", 7)
+    assert collected(audit.audit(docs, labels)) == brute_audit(rows, LABELS)
+
+
+def test_audit_of_nothing(spark, empty):
+    assert audit.audit(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_audit_shuffles_sums_only(spark, docs):
+    """What is exchanged after the replay is summed by part, order and step in each task."""
+    flags = docs.select(F.lit("en").alias("part"), F.lit(3).alias("bits"), F.lit(True).alias("good"), F.lit(False).alias("toxic"))
+    plan = audit.replay(flags)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan and plan.index("Exchange hashpartitioning") < plan.index("partial_sum")
+
+
+# --- personal data
+
+RULES = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    odd, even = digits[-1::-2], digits[-2::-2]
+    return (sum(map(int, odd)) + sum(sum(divmod(2 * int(d), 10)) for d in even)) % 10 == 0
+
+
+def brute_spans(text):
+    def right(kind, m):
+        d = re.sub("[^0-9]", "", m)
+        return {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m.split(".")), "card": 16 <= len(d) <= 19 and luhn(d), "phone": 8 <= len(d) <= 15}[kind]
+
+    return {k: [m.span() for m in re.finditer(p, text) if right(k, m[0])] for k, p in RULES.items()}
+
+
+@pytest.mark.parametrize("letters", ["aé@.1+- 2(5)3Z_%4ñ0", "012345678945 -", "1.2.25.6.+ 0", "ab@.c-@_"])
+def test_base_spans_are_those_of_the_rules(letters):
+    rng = random.Random(letters)
+    for _ in range(4000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 50)))
+        assert pii.Finder(text).base == brute_spans(text)
+
+
+@pytest.mark.parametrize(
+    ("text", "spans"),
+    [
+        ("+1 (569) 555-6633 4795326016703902 x", "card:18:34,phone:0:17"),
+        ("+1 (446) 555-8962 12.24.74.106", "ip:18:30,phone:0:17"),
+        ("555 4524 1322 6465 2876 77", "card:4:23"),
+        ("josé.núñez@bücher.de", "email:0:20"),
+        ("joe [at] mail [dot] com, joe(at)mail.com", "email:0:23,email:25:40"),
+        ("see postgres://me:pw@db.host/x", "email:18:28,address:4:28"),
+        ("https://plain.example/page", ""),
+        ("http://10.0.0.1:80/x", "ip:7:15,address:0:18"),
+        ("IBAN: DE89 3704 0044 0532 0130 00.", "account:6:33"),
+        ("IBAN: DE88 3704 0044 0532 0130 00.", ""),
+        ('password=b7db7aa4a5fcc78305 token = "1beb58b8af68854f0e"', "account:9:27,account:37:55"),
+        ("SSN: 123-45-6789", "account:5:16"),
+        ("the token is lost, my account is closed, mossn: 12345678", ""),
+        ("tel:+49 30 1234567", "phone:4:18,address:0:18"),
+        ("İİ a@b.cd", "email:3:9"),
+        ("a@b@c.d a@b.c@d.e 256.1.1.1 1.2.3.4.5.6.7.8", "email:2:7,email:8:13,ip:28:35,ip:36:43"),
+        ("", ""),
+    ],
+)
+def test_spans(text, spans):
+    assert pii.joined(pii.Finder(text).all()) == spans
+
+
+def test_pii_over_a_table(spark, docs, clashing, rows):
+    more = [(900, "mail a.b@c.org from 10.0.0.1, 4111 1111 1111 1111, +49 30 123456", None, None, 0)]
+    df = docs.union(spark.createDataFrame(more, docs.schema))
+    got = collected(pii.find(df))
+    want = []
+    for i, text, *_ in rows + more:
+        base = brute_spans(text or "")
+        told = ",".join(f"{k}:{a}:{b}" for k in pii.BASE for a, b in base[k])
+        want.append((i, *[len(base[k]) for k in pii.BASE], hashlib.sha256(told.encode()).hexdigest()))
+    assert [r[:6] for r in got] == sorted(want, key=str)
+    assert all(set(filter(None, f"{k}:{a}:{b}".split())) <= set(r[6].split(",")) for r in got if r[0] == 900 for k, x in brute_spans(more[0][1]).items() for a, b in x)
+    assert collected(pii.find(clashing)) == collected(pii.find(docs))
+
+
+def test_pii_of_nothing(empty):
+    assert pii.find(empty).count() == 0
+
+
+@pytest.mark.parametrize("piece", ["1 ", "1", "a@", "1.", "+1 ", "a.", "password: ", "@a.", "mailto:a", "é@ü."])
+def test_pii_is_linear(piece):
+    def seconds(n):
+        began = time.process_time()
+        pii.Finder(piece * n)
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(160_000) < 16 * seconds(20_000) + 0.5
+
+
+# --- centroid clustering
+
+
+def brute_clusters(rows, count, rounds, width):
+    kept = [(i, [math.floor(float(x) * 256) for x in v]) for i, v in rows if v is not None and len(v) == width and all(x is not None and math.isfinite(x) for x in v)]
+    key = lambda r: (r[0] is None, hashlib.sha256(f"2:{r[0]}".encode()).hexdigest() if r[0] is not None else "", r[1])
+    centers = [v for _, v in sorted(kept, key=key)[:count]]
+    far = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), k) for k, c in enumerate(centers))
+    for _ in range(rounds):
+        groups = {}
+        for _, v in kept:
+            groups.setdefault(far(v)[1], []).append(v)
+        for k, vs in groups.items():
+            centers[k] = [sum(x) // len(vs) for x in zip(*vs, strict=True)]
+    near = [(i, *far(v)) for i, v in kept]
+    per = Counter()
+    for _, d, k in near:
+        per[k] += d
+    digest = lambda k: hashlib.sha256(",".join(map(str, centers[k])).encode()).hexdigest()
+    return sorted(((i, k, d, per[k], sum(per.values()), digest(k)) for i, d, k in near), key=str)
+
+
+VECTORS = "vec_id long, embedding array<double>"
+
+
+def vectors(n=150, width=3, seed=1):
+    rng = random.Random(seed)
+    rows = [(k, [rng.choice((-1, 0, 1)) + rng.gauss(0, 0.1) for _ in range(width)]) for k in range(n)]
+    rows += [(k + n, [0.25, -0.5, 0.125]) for k in range(n)]  # one vector that half of them have
+    rows += [(1, [0.0, 0.0, 0.0]), (1, [0.0, 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (None, [0.5, 0.5, 0.5])]
+    return rows + [(700, None), (701, [1.0, 2.0]), (702, [1.0, None, 2.0]), (703, [1.0, math.nan, 2.0]), (704, [math.inf, 0.0, 0.0]), (705, [0.0] * 4), (706, [])]
+
+
+@pytest.mark.parametrize("count", [1, 7, 40])
+def test_clusters(spark, count):
+    rows = vectors()
+    want = brute_clusters(rows, count, 5, 3)
+    for n in (1, 6):
+        df = spark.createDataFrame(rows, VECTORS).repartition(n).withColumns({c: F.lit("x") for c in ("v", "cluster", "distance", "h", "label")})
+        assert collected(centroids.cluster(df, count, width=3)) == want
+
+
+def test_clusters_of_few_and_no_vectors(spark):
+    rows = vectors(3)[:3]
+    assert collected(centroids.cluster(spark.createDataFrame(rows, VECTORS), 40, width=3)) == brute_clusters(rows, 40, 5, 3)
+    for some in ([], [(1, None)]):
+        assert centroids.cluster(spark.createDataFrame(some, VECTORS), width=3).count() == 0
+
+
+def test_ties_go_to_the_smaller_number_and_empty_clusters_stay(spark):
+    rows = [(k, [float(x), 0.0, 0.0]) for k, x in enumerate((0, 2, 4, 6, 1, 3, 5, 0, 0, 2, 4))]
+    for count in (4, 8, 11):
+        assert collected(centroids.cluster(spark.createDataFrame(rows, VECTORS), count, width=3)) == brute_clusters(rows, count, 5, 3)
+
+
+def test_sort_means_looks_at_fewer_and_misses_none():
+    rng = np.random.default_rng(3)
+    middle = rng.integers(-2000, 2000, (30, 8))
+    x = (middle[rng.integers(0, 30, 3000)] + rng.integers(-100, 100, (3000, 8))).astype(np.int64)
+    centers = (middle + rng.integers(-20, 20, middle.shape)).astype(np.int64)
+    every = np.stack([centroids.squared(x, c) for c in centers], axis=1)
+    nearest = every.argmin(axis=1)
+    best, near, work = centroids.sort_means(x, nearest, centers, *centroids.table_of(centers))
+    assert (best == nearest).all() and (near == every.min(axis=1)).all() and work < every.size / 3
+    best, near, _ = centroids.sort_means(x, rng.integers(0, 30, 3000), centers, *centroids.table_of(centers))
+    assert (best == nearest).all() and (near == every.min(axis=1)).all()
+
+
+def test_a_component_out_of_range_raises(spark):
+    with pytest.raises(Exception, match="out of range"):
+        centroids.cluster(spark.createDataFrame([(1, [1e30, 0.0, 0.0])], VECTORS), width=3).count()
