@@ -334,26 +334,31 @@ def log_probabilities(model: Model, ids: np.ndarray) -> np.ndarray:
 
 
 def score(rows: DataFrame, vocab: DataFrame, lex: Lexicon, model: Model) -> DataFrame:
-    """``doc_id, train, n_tokens, n_known, train_tokens, base_score, score`` of every row of :func:`encoded`, a staged table."""
+    """``doc_id, train, n_tokens, n_known, train_tokens, base_score, score`` of every row of :func:`encoded`, a staged table with a ``row`` that numbers it.
+
+    The model's score is made where the row's ids are read and stays beside them. Only the rare words leave the row, to be counted, and come
+    back by the number that the table holds, so it does not matter how scans of it are dealt out.
+    """
     flat, base_norm = rows.sparkSession.sparkContext.broadcast(model.flat), math.log10(lex.tokens + lex.words + 1)
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    through = ["row", "doc_id", "train", "n_tokens", "known", "base", "inner"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm = Model(flat.value)
         for batch in batches:
-            for at, raw in text_blocks(batch.column(1), 2 * HELD):
+            for at, raw in text_blocks(batch.column(len(through)), 2 * HELD):
                 lengths = np.array([len(x) // 2 for x in raw])
                 lp = log_probabilities(lm, np.frombuffer(b"".join(raw), "<u2").astype(np.int32))
-                yield pa.record_batch([batch.column(0).slice(at, len(raw)), pa.array(np.add.reduceat(lp, np.cumsum(lengths) - lengths) / math.log(10))], ["row", "lm"])
+                lp = np.add.reduceat(lp, np.cumsum(lengths) - lengths) / math.log(10)
+                yield pa.record_batch([*batch.slice(at, len(raw)).columns[: len(through)], pa.array(lp)], [*through, "lm"])
         release()
 
-    modelled = stage(rows.select("row", "ids").mapInArrow(each, "row long, lm double"), "lm-modelled")
+    modelled = rows.select(*through, "ids").mapInArrow(each, "row long, doc_id long, train boolean, n_tokens long, known long, base double, inner double, lm double")
     # counts of the words outside the head: unseen ones add nothing, so an inner join does
     tail = rows.select("row", F.explode("tail").alias("key"))
     rare = vocab.filter((F.col("c") < lex.threshold) & (F.col("key") != END))
     more = tail.join(rare, "key").groupBy("row").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("more"), F.count("*").alias("more_known"))
     extra = F.coalesce("more", F.lit(0.0))
-    return rows.drop("ids", "tail").join(modelled, "row").join(more, "row", "left").select(
+    return modelled.join(more, "row", "left").select(
         "doc_id",
         "train",
         "n_tokens",
@@ -374,6 +379,6 @@ def train_and_score(docs: DataFrame, is_train: Column, head: int = HEAD) -> Data
     with scratch(docs.sparkSession) as kept:
         vocab = stage(vocabulary(docs.filter(is_train)), "lm-vocabulary")
         lex = lexicon(vocab, head)
-        rows = stage(encoded(docs, is_train, lex), "lm-rows")
+        rows = stage(encoded(docs, is_train, lex).withColumn("row", F.monotonically_increasing_id()), "lm-rows")  # the number is data from here on
         kept.append(stage(score(rows, vocab, lex, fit(rows, lex)), "lm-scores"))
     return kept[0]

@@ -301,6 +301,30 @@ def test_gradient():
         assert (loss(up) - loss(down)) / 2e-4 == pytest.approx(t.grad.flat[k], rel=0.02, abs=1e-5)
 
 
+def test_scoring_when_executors_come_and_go(spark, docs, monkeypatch):
+    """Scans of one table in other layouts, as more or fewer cores give, lose no row and swap no score."""
+    df = docs.filter("doc_id is not null").repartition(24)
+    known = scoring.WORDS + 5  # most words are joined
+    found = lambda: Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 3)) for r in scoring.train_and_score(df, F.expr("doc_id % 7 <> 2"), known).collect())
+    want, fit, staged = found(), scoring.fit, scoring.stage
+    layouts = iter([1, 3, 40, 2, 17] * 9)
+
+    def dealt_anew(f):
+        def call(*args):
+            spark.conf.set("spark.sql.files.minPartitionNum", str(next(layouts)))
+            return f(*args)
+
+        return call
+
+    try:
+        for name, f in (("fit", fit), ("stage", staged)):
+            monkeypatch.setattr(scoring, name, dealt_anew(f))
+        for _ in range(3):
+            assert found() == want and sum(want.values()) == df.count()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
 def test_scoring_empty(empty, docs):
     assert scoring.train_and_score(empty, F.lit(True)).count() == 0
     rows = scoring.train_and_score(docs.filter("doc_id < 5"), F.lit(False)).collect()
