@@ -18,6 +18,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,28 +128,32 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = 4096) -> DataFrame:
     """Cut every document's ids, with ``end_id`` after them, into pieces of at most ``capacity``.
 
-    Returns ``doc_id, piece, start, length, ids_crc32`` (and ``row``, a number that tells rows with
-    the same doc_id apart). Only documents longer than ``capacity`` are cut. Null text is empty: one id.
+    Returns ``doc_id, piece, start, length, ids_crc32`` and ``again``, which tells equal pieces apart: the task, and how many equal
+    ones came before it there. Only documents longer than ``capacity`` are cut. Null text is empty: one id.
     """
     path = tokenizer or tokenizer_path()
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode, task = encoder(path), TaskContext.get().partitionId() << 32
+        seen: dict[int, int] = {}
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for at, texts in text_blocks(batch.column(1), BLOCK, raw=False):
                 ids_of = batch.column(0).slice(at, len(texts)).to_pylist()
                 for doc_id, raw in zip(ids_of, encode.many(texts), strict=True):
                     ids = memoryview(raw + end)
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[start : start + 4 * capacity]
-                        for column, x in zip(out, (doc_id, piece, start // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                        crc = zlib.crc32(part)
+                        # equal pieces stand for each other, so the number does not depend on the order in which a task gets them
+                        n = seen[key] = seen.get(key := hash((doc_id, piece, crc)), -1) + 1
+                        for column, x in zip(out, (doc_id, piece, start // 4, len(part) // 4, crc, task + n), strict=True):
                             column.append(x)
-            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], ["doc_id", "piece", "start", "length", "ids_crc32", "again"])
         release()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, again long")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,14 +195,14 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacit
     Returns one row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id,
     offset``; offsets of a sequence follow each other from 0 without gaps.
 
-    Pieces are dealt by hash to groups of about ``group_rows``, and each group is packed by
-    itself, so that no task grows with the input, however long the texts; a group leaves a few bins that are not
-    full. Rows that repeat a doc_id are packed like any others, pieces of equal length in any order. Null text is
+    Pieces are dealt by hash to groups of about ``group_rows``, and each group is packed by itself. Equal pieces, with or
+    without an id, are dealt apart, so that no group grows with the input, however long the texts and however often one repeats. A bin is opened
+    only where no open bin fits, so a group leaves at most one bin that is less than half full, of thousands. Rows that repeat a doc_id are packed like any others, pieces of equal length in any order. Null text is
     empty, an empty table gives an empty result, and extra columns are ignored.
     """
     rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     groups = max(1, -(-(rows + size // PIECE_BYTES) // group_rows))
-    cut = pieces(docs, tokenizer, end_id, capacity).withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    cut = pieces(docs, tokenizer, end_id, capacity).withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "again"), F.lit(groups))).drop("again")
 
     def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece"], kind="stable", ignore_index=True)
