@@ -145,12 +145,12 @@ class Rule:
 
 
 def _grow(x: pd.DataFrame, y: np.ndarray, deepest: int) -> list[tuple[str, str, float]]:
-    """Add the condition with the largest information gain until no good row is covered."""
+    """Add the condition with the largest information gain until no good row is covered; of equal gains that with the widest gap at its cut, by the range of values."""
     chosen: list[tuple[str, str, float]] = []
     inside = np.ones(len(x), dtype=bool)
     while len(chosen) < deepest and (~y[inside]).any() and y[inside].any():
         p0, n0 = y[inside].sum(), inside.sum()
-        best = (0.0, None)
+        best = (0.0, 0.0, None)
         for name in x.columns:
             v = x[name].to_numpy()[inside]
             order = np.argsort(v, kind="stable")
@@ -164,12 +164,13 @@ def _grow(x: pd.DataFrame, y: np.ndarray, deepest: int) -> list[tuple[str, str,
                 with np.errstate(divide="ignore", invalid="ignore"):
                     gain = np.where(p > 0, p * (np.log2(p / n) - np.log2(p0 / n0)), -1.0)
                 k = int(np.argmax(gain))
-                if gain[k] > best[0] + 1e-9:
-                    best = (float(gain[k]), (name, side, float(middle[k])))
-        if best[1] is None:
+                gap = float(sv[ends[k] + 1] - sv[ends[k]]) / float(sv[-1] - sv[0])
+                if gain[k] > best[0] + 1e-9 or gain[k] > max(best[0] - 1e-9, 1e-9) and gap > best[1]:
+                    best = (max(best[0], float(gain[k])), gap, (name, side, float(middle[k])))
+        if best[2] is None:
             break
-        chosen.append(best[1])
-        inside &= Rule((best[1],), 0, 0).covers(x)
+        chosen.append(best[2])
+        inside &= Rule((best[2],), 0, 0).covers(x)
     return chosen
 
 
@@ -215,13 +216,20 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = 40_000) -> pd.DataFrame:
-    """At most about ``sample_rows`` labelled documents' features and ``bad`` (quality 0), chosen by a hash of their id."""
+    """At most ``sample_rows`` labelled documents' features and ``bad`` (quality 0), chosen by a hash of their id.
+
+    An id is one row of it: of several rows with one id the least counts stand for all, found in each task first, so neither the
+    driver nor what is learned depends on how often an id repeats.
+    """
     known = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
     share = min(1.0, sample_rows / max(1, known.count()))
-    known = stage(known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))), "quality-labels")
+    # the hash leaves about as many as asked for, the limit no more
+    known = stage(known.filter(place < F.lit(int(share * (1 << 40)))).orderBy(place, "doc_id").limit(sample_rows), "quality-labels")
     # the sample is bounded, so it goes to the documents and no text is shuffled
-    rows = statistics(docs.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(known), "doc_id")
-    return rows.select(*[F.expr(x).alias(n) for n, x in FEATURES.items()], (F.col("quality") == 0).alias("bad")).toPandas()
+    rows = statistics(docs.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi"))
+    one = rows.groupBy("doc_id").agg(F.min(F.struct(*COUNTS)).alias("least")).select("doc_id", "least.*").join(F.broadcast(known), "doc_id")
+    return one.select(*[F.expr(x).alias(n) for n, x in FEATURES.items()], (F.col("quality") == 0).alias("bad")).orderBy("doc_id").toPandas()
 
 
 def with_verdict(counted: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -235,6 +243,7 @@ def quality(docs: DataFrame, labels: DataFrame, sample_rows: int = 40_000) -> Da
 
     Null text counts as no words, so it fails the base rule. Repeated rows are judged alike.
     Labels without a document, or null, teach nothing; of several labels of one document the
-    lowest holds. Without labels there are no rules and the base rule alone decides.
+    lowest holds, and several rows of one doc_id teach as one. Without labels there are no rules and the base rule alone decides.
+    Texts are counted whole, however long. An empty table gives an empty result; extra columns are ignored.
     """
     return with_verdict(statistics(docs), learn(labelled_sample(docs, labels, sample_rows)))

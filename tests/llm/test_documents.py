@@ -680,3 +680,25 @@ def test_quality_empty(empty, spark):
 def test_rules_are_one_case(spark):
     rules = [quality.Rule((("upper", ">=", 0.5),), 1, 1), quality.Rule((("n_words", "<=", 5.0), ("distinct", ">=", 0.1)), 1, 1)]
     assert "CASE WHEN" in str(quality.verdict(rules)) and str(quality.verdict([])) == str(F.lit(0))
+
+
+def test_packing_deals_equal_rows_apart(spark):
+    """As many rows with no id and one text as others: no group gets more of them."""
+    same = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text").alias("text"))
+    df = same.union(spark.range(3000).select("id", F.concat(F.lit("text "), F.col("id").cast("string")))).repartition(6)
+    got = packing.pack(df, group_rows=500).groupBy(F.shiftright("sequence_id", 32).alias("grp")).agg(F.count("*").alias("n")).collect()
+    sizes = sorted(r.n for r in got)
+    assert sum(sizes) == 6000 and len(sizes) == 12 and sizes[-1] <= 1.5 * 500
+    # the numbers that tell them apart are the same however a task gets its rows
+    own = lambda df: Counter(packing.pieces(df.coalesce(1)).select("doc_id", "again").collect())
+    assert own(df) == own(df.orderBy(F.rand(3)))
+
+
+def test_quality_samples_documents_not_rows(spark):
+    """One id on thousands of rows is one row of the sample, and the bound holds for ids too."""
+    docs = spark.range(3000).select((F.col("id") - 2900).alias("k")).select(F.greatest("k", F.lit(0)).alias("doc_id"), F.concat_ws(" ", F.lit("some words of"), "k").alias("text")).repartition(5)
+    labels = spark.range(100).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    got = quality.labelled_sample(docs, labels)
+    assert len(got) == 100 and int(got["bad"].sum()) == 50
+    assert len(quality.labelled_sample(docs, labels, sample_rows=20)) <= 20
+    assert quality.labelled_sample(docs.orderBy(F.rand(1)), labels).equals(got)
