@@ -119,3 +119,17 @@ def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 FUNCTIONS = """
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_returnflag AS project, p_name AS name, l_linestatus AS version
   FROM lineitem JOIN part ON l_partkey = p_partkey"""
+
+
+def queue_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests, claims and answers for the rows of a queue, one for each user, by three workers."""
+    kind = F.when(F.col("event_type") == "purchase", "finish").when(F.col("event_type").isin("click", "view"), "claim").otherwise("submit")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), kind.alias("action"), F.concat(F.lit("w"), F.col("event_id") % 3).alias("worker"),
+    )
+
+
+QUEUE_EVENTS = """
+  SELECT user_id AS id, ts AS happened, event_id AS seq, CASE WHEN event_type = 'purchase' THEN 'finish' WHEN event_type IN ('click', 'view') THEN 'claim' ELSE 'submit' END AS action,
+         'w' || CAST(event_id % 3 AS VARCHAR) AS worker
+  FROM events"""

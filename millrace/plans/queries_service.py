@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import service
 from ..sources.shared import new_path
-from ..streaming import worker
+from ..streaming import queue, worker
 from . import fixtures as fx
 from .fixtures import table
 
@@ -101,7 +101,60 @@ def stream_worker(spark, sf):
     return spark.read.parquet(f"{folder}/out").select("id", "state", "output")
 
 
+def _replayed(spark, sf):
+    """The events of the queue as files, followed by a stream until none is left."""
+    folder = new_path(spark, "queue")
+    fx.queue_events(spark, sf).write.parquet(f"{folder}/in")
+    queue.run(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", RUN_HOURS * 3600).awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+def queue_outcomes(spark, sf):
+    return _replayed(spark, sf).withColumn("happened", F.col("at").cast("timestamp_ntz")).drop("at")
+
+
+def queue_states(spark, sf):
+    return queue.states(_replayed(spark, sf))
+
+
+#: Hours that a claimed row may run before it is queued again.
+RUN_HOURS = 12
+
+#: The events of all rows step by step, each guarded by the state before it; runs that end later than the watermark are still running.
+OUTCOMES_SQL = f"""
+WITH RECURSIVE ev AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY happened, seq) AS r FROM ({fx.QUEUE_EVENTS})),
+steps AS (
+  SELECT id, CAST(0 AS BIGINT) AS r, -1 AS state, '' AS holder, CAST(NULL AS TIMESTAMP) AS since, CAST(NULL AS TIMESTAMP) AS due, '' AS loser, CAST('' AS VARCHAR) AS outcome
+  FROM (SELECT DISTINCT id FROM ev)
+  UNION ALL
+  SELECT id, r,
+         CASE outcome WHEN 'queued' THEN 0 WHEN 'won' THEN 1 WHEN 'complete' THEN 2 ELSE was END,
+         CASE outcome WHEN 'won' THEN worker WHEN 'queued' THEN '' WHEN 'complete' THEN '' ELSE held END,
+         CASE WHEN outcome IN ('queued', 'won', 'complete') THEN happened ELSE begun END, ended, CASE WHEN ended IS NOT NULL THEN holder ELSE '' END, outcome
+  FROM (SELECT *, CASE WHEN action = 'submit' THEN CASE WHEN was IN (-1, 2) THEN 'queued' ELSE 'known' END
+                       WHEN action = 'claim' THEN CASE WHEN was = 0 THEN 'won' ELSE 'lost' END
+                       ELSE CASE WHEN was = 1 AND held = worker THEN 'complete' ELSE 'refused' END END AS outcome
+        FROM (SELECT e.id, e.r, e.happened, e.action, e.worker, s.holder, CASE WHEN spent THEN 0 ELSE s.state END AS was, CASE WHEN spent THEN '' ELSE s.holder END AS held,
+                     CASE WHEN spent THEN s.since + INTERVAL {RUN_HOURS} HOUR ELSE s.since END AS begun, CASE WHEN spent THEN s.since + INTERVAL {RUN_HOURS} HOUR END AS ended
+              FROM (SELECT *, r + 1 AS next FROM steps) s JOIN ev e ON e.id = s.id AND e.r = s.next,
+                   LATERAL (SELECT s.state = 1 AND e.happened >= s.since + INTERVAL {RUN_HOURS} HOUR AS spent)))),
+last AS (SELECT * FROM steps s WHERE r = (SELECT max(r) FROM ev e WHERE e.id = s.id)),
+found AS (
+  SELECT e.id, e.happened, e.seq, e.action, e.worker, s.outcome, s.state FROM steps s JOIN ev e ON e.id = s.id AND e.r = s.r
+  UNION ALL
+  SELECT id, due, NULL, 'purge', loser, 'queued again', 0 FROM steps WHERE due IS NOT NULL
+  UNION ALL
+  SELECT id, since + INTERVAL {RUN_HOURS} HOUR, NULL, 'purge', holder, 'queued again', 0 FROM last
+  WHERE state = 1 AND since + INTERVAL {RUN_HOURS} HOUR <= (SELECT max(happened) - INTERVAL 1 HOUR FROM ev))
+"""
+
 QUERIES = {
+    "queue_outcomes": (queue_outcomes, f"{OUTCOMES_SQL} SELECT * FROM found"),
+    "queue_states": (
+        queue_states,
+        f"""{OUTCOMES_SQL} SELECT id, state, CASE WHEN state = 1 THEN worker END AS worker
+            FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY happened DESC, seq DESC NULLS LAST) AS k FROM found WHERE outcome NOT IN ('known', 'lost', 'refused')) WHERE k = 1""",
+    ),
     "user_report": (
         user_report,
         f"""SELECT u.username, u.admin, count(c.id) AS completions, CAST(coalesce(sum(CASE WHEN c.rating IS NOT NULL OR c.comments IS NOT NULL THEN 1 ELSE 0 END), 0) AS BIGINT) AS feedback
