@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import service
+from ..sources import jdbc
 from ..sources.shared import new_path
 from ..streaming import queue, worker
 from . import fixtures as fx
@@ -117,6 +120,16 @@ def queue_states(spark, sf):
     return queue.states(_replayed(spark, sf))
 
 
+def service_tables(spark, sf):
+    """The service's tables in a database: written, then scanned in ranges of their keys, with filters that the database applies."""
+    url = jdbc.database(spark, f"service_{uuid.uuid4().hex}")
+    jdbc.write_table(fx.completions(spark, sf).select("id", "user_id", "state", "input", "timestamp", "rating"), url, "completion", 4)
+    jdbc.write_table(fx.users(spark, sf), url, "service_user", 4)
+    open_rows = jdbc.read_table(spark, url, "completion", "id", 4).filter("state <> 2 and rating >= 1")
+    users = jdbc.read_table(spark, url, "service_user", "id", 2).filter("admin").select(F.col("id").alias("user_id"), "username")
+    return open_rows.join(users, "user_id").select("id", "username", "state", "input", "timestamp", "rating")
+
+
 #: Hours that a claimed row may run before it is queued again.
 RUN_HOURS = 12
 
@@ -150,6 +163,11 @@ found AS (
 
 QUERIES = {
     "queue_outcomes": (queue_outcomes, f"{OUTCOMES_SQL} SELECT * FROM found"),
+    "service_tables": (
+        service_tables,
+        f"""SELECT c.id, u.username, c.state, c.input, c.timestamp, c.rating FROM ({fx.COMPLETIONS}) c JOIN ({fx.USERS}) u ON c.user_id = u.id
+            WHERE u.admin AND c.state <> 2 AND c.rating >= 1""",
+    ),
     "queue_states": (
         queue_states,
         f"""{OUTCOMES_SQL} SELECT id, state, CASE WHEN state = 1 THEN worker END AS worker

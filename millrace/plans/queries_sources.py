@@ -9,7 +9,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from ..operators import frame, native, service
-from ..sources import archives, parquet
+from ..sources import archives, parquet, striped
 from ..sources import text as files
 from ..sources.shared import new_path
 from . import fixtures as fx
@@ -104,7 +104,57 @@ def completion_newest(spark, sf):
     return service.newest(fx.completions(spark, sf), fx.users(spark, sf), 8).select("id", "timestamp", "completed", "username")
 
 
+def _ordered_files(spark, sf):
+    """Orders in files by ranges of their keys: the order of files by name, and of rows in them, is that of keys."""
+    path = new_path(spark, "files")
+    table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice").repartitionByRange(11, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(path)
+    return path
+
+
+def striped_reader(spark, sf):
+    """Rows of many files by four readers; each has the reader, file and place that Spark's own scan of the files gives it."""
+    path = _ordered_files(spark, sf)
+    names = sorted(f.rpartition("/")[2] for f in parquet.files(spark, path))
+    turns = spark.createDataFrame([(name, k % 4) for k, name in enumerate(names)], "file string, turn int")
+    own = spark.read.parquet(path).select("o_orderkey", F.col("_metadata.file_name").alias("own_file"), F.col("_metadata.row_index").alias("own_place"))
+    rows = striped.read_striped(spark, path, readers=4, place=True).join(F.broadcast(turns), "file").join(own, "o_orderkey")
+    right = (F.col("file") == F.col("own_file")) & (F.col("place") == F.col("own_place")) & (F.col("reader") == F.col("turn"))
+    return rows.select("o_orderkey", "o_orderpriority", "o_totalprice", right.alias("in_turn"))
+
+
+def file_numbers(spark, sf):
+    """Numbers by files and places in them, with no shuffle of rows."""
+    return parquet.number_in_files(spark, _ordered_files(spark, sf)).select("o_orderkey", "row")
+
+
+def chunk_map(spark, sf):
+    """A column renamed and rows dropped file by file: every row stays in the file of its rank."""
+    path, out = _ordered_files(spark, sf), new_path(spark, "mapped")
+    names = parquet.map_chunks(spark, path, out, [lambda df: df.filter("o_orderkey % 3 <> 0"), frame.rename({"o_orderpriority": "priority"}), frame.keep("o_orderkey", "priority")])
+    ranks = spark.createDataFrame([(a, b, k) for k, (a, b) in enumerate(names)], "before string, after string, rank int")
+    at = lambda p, name: spark.read.parquet(p).select(F.col("o_orderkey").alias(f"{name}_key"), F.col("_metadata.file_name").alias(name))
+    rows = spark.read.parquet(out).select("o_orderkey", "priority", F.col("_metadata.file_name").alias("after")).join(F.broadcast(ranks), "after")
+    rows = rows.join(at(path, "own"), F.col("o_orderkey") == F.col("own_key"))
+    return rows.select("o_orderkey", "priority", (F.col("own") == F.col("before")).alias("same_chunk"))
+
+
+def sized_files(spark, sf):
+    """Whole texts in files of at most 256 KB: no file is larger, and none is lost."""
+    path = new_path(spark, "sized-files")
+    parquet.write(table(spark, sf, "documents").select("doc_id", "text"), path, size="256KiB")
+    return spark.read.parquet(path).select("doc_id", F.length("text").cast("long").alias("n_chars"), (F.col("_metadata.file_size") <= 256 * 1024).alias("within"))
+
+
+def footer_count(spark, sf):
+    return parquet.footer_count(spark, f"{sf}/lineitem.parquet")
+
+
 QUERIES = {
+    "striped_reader": (striped_reader, "SELECT o_orderkey, o_orderpriority, o_totalprice, true AS in_turn FROM orders"),
+    "file_numbers": (file_numbers, "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row FROM orders"),
+    "chunk_map": (chunk_map, "SELECT o_orderkey, o_orderpriority AS priority, true AS same_chunk FROM orders WHERE o_orderkey % 3 <> 0"),
+    "sized_files": (sized_files, "SELECT doc_id, length(text) AS n_chars, true AS within FROM documents"),
+    "footer_count": (footer_count, "SELECT count(*) AS rows FROM lineitem"),
     "json_samples": (json_samples, "SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand || chr(10) || '{' || p_type || '\"}' AS source, p_name AS summary FROM part"),
     "json_list": (json_list, "SELECT CAST(row_number() OVER (ORDER BY s_name) - 1 AS INTEGER) AS pos, s_suppkey, s_name FROM supplier"),
     "csv_files": (csv_files, "SELECT o_orderkey, o_orderpriority, CAST(o_orderkey AS VARCHAR) AS version FROM orders"),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +37,25 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold inside; those that had no value have none again."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def own_session(spark: SparkSession, values: dict[str, str]) -> SparkSession:
+    """A session beside ``spark`` with its settings and ``values``: what it reads is planned by them, and ``spark`` stays as it is."""
+    other = spark.newSession()
+    for k, v in {**spark.conf.getAll, **values}.items():
+        if spark.conf.isModifiable(k):
+            other.conf.set(k, v)
+    return other
