@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import service
 from ..sources import jdbc
 from ..sources.shared import new_path
+from ..sources.tables import Tables
 from ..streaming import queue, worker
 from . import fixtures as fx
 from .fixtures import table
@@ -130,6 +131,26 @@ def service_tables(spark, sf):
     return open_rows.join(users, "user_id").select("id", "username", "state", "input", "timestamp", "rating")
 
 
+def _tables(spark, sf):
+    """The service's tables, created, filled and purged."""
+    tables = Tables(spark, new_path(spark, "service"))
+    tables.initialize(buckets=8)
+    tables.replace("user", fx.users(spark, sf))
+    tables.replace("completion", fx.completions(spark, sf))
+    tables.replace("completion", service.purge(tables.table("completion")))
+    return tables
+
+
+def table_report(spark, sf):
+    tables = _tables(spark, sf)
+    return service.user_report(tables.table("user"), tables.table("completion"))
+
+
+def table_join(spark, sf):
+    tables = _tables(spark, sf)
+    return service.with_users(tables.table("completion"), tables.table("user")).select("id", "username", "state", "timestamp")
+
+
 #: Hours that a claimed row may run before it is queued again.
 RUN_HOURS = 12
 
@@ -168,6 +189,15 @@ QUERIES = {
         f"""SELECT c.id, u.username, c.state, c.input, c.timestamp, c.rating FROM ({fx.COMPLETIONS}) c JOIN ({fx.USERS}) u ON c.user_id = u.id
             WHERE u.admin AND c.state <> 2 AND c.rating >= 1""",
     ),
+    "table_report": (
+        table_report,
+        f"""SELECT u.username, u.admin, count(c.id) AS completions, CAST(coalesce(sum(CASE WHEN c.rating IS NOT NULL OR c.comments IS NOT NULL THEN 1 ELSE 0 END), 0) AS BIGINT) AS feedback
+            FROM ({fx.USERS}) u LEFT JOIN ({fx.COMPLETIONS}) c ON c.user_id = u.id GROUP BY u.id, u.username, u.admin""",
+    ),
+    "table_join": (
+        table_join,
+        f"""SELECT c.id, u.username, CASE WHEN c.state = 1 THEN 0 ELSE c.state END AS state, c.timestamp FROM ({fx.COMPLETIONS}) c JOIN ({fx.USERS}) u ON c.user_id = u.id""",
+    ),
     "queue_states": (
         queue_states,
         f"""{OUTCOMES_SQL} SELECT id, state, CASE WHEN state = 1 THEN worker END AS worker

@@ -116,16 +116,6 @@ def tasks(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("t.id").alias("task_id"), task_text(F.col("t.title"), F.col("t.statement")).alias("task"))
 
 
-def sqlite_table(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
-    """A table of a small SQLite database on the driver's machine."""
-    import sqlite3
-
-    with sqlite3.connect(path) as db:
-        columns = [c.split()[0] for c in schema.split(",")]
-        rows = db.execute(f"SELECT {', '.join(columns)} FROM {name}").fetchall()  # noqa: S608
-    return spark.createDataFrame(rows, schema)
-
-
 def solutions(spark: SparkSession, path: str) -> DataFrame:
     """``solution, source`` of the files in a folder, a name and its whole text each."""
     raw = spark.read.text(path, wholetext=True)

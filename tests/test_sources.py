@@ -155,13 +155,6 @@ def test_file_order_and_chunks(spark, tmp_path):
     assert parquet.row_count(parquet.read(spark, parquet.files(spark, f"{tmp_path}/x"))).first().rows == 20
 
 
-def test_sqlite(spark, tmp_path):
-    with sqlite3.connect(tmp_path / "db") as db:
-        db.execute("CREATE TABLE user(id INT, username TEXT)")
-        db.execute("INSERT INTO user VALUES (1, 'a')")
-    assert text.sqlite_table(spark, str(tmp_path / "db"), "user", "id long, username string").first().username == "a"
-
-
 def test_cache(tmp_path, monkeypatch):
     source = tmp_path / "x.bin"
     source.write_bytes(b"one")
