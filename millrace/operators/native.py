@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from ..errors import EnvironmentError, RemoteException, UnhandledToken  # noqa: A004
 from ..schema import BinaryDataset, SourceDataset, validate
+from .report import attempt
 
 #: Architectures that can be disassembled.
 SUPPORTED = ("x86", "x86_64", "aarch64")
@@ -122,6 +123,24 @@ def success_ratio(df: DataFrame, ok: Any) -> DataFrame:
 Disassembler = Callable[[bytes], Iterator[tuple[str, bytes, str | list[str] | None]]]
 
 
+def disassembly_attempts(df: DataFrame, disassembler: Disassembler) -> DataFrame:
+    """A row for each function: ``name``, ``binary`` (its own bytes), ``disassembly`` and ``error``, other columns kept.
+
+    Instructions are joined by ``[NEXT]``. A function with an invalid instruction has no disassembly, and a binary on which the disassembler
+    raises is one row without a name: ``error`` says why. So nothing is dropped without a reason that can be joined to its id.
+    """
+    df = validate(df, BinaryDataset).drop("name", "disassembly")
+
+    def functions(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
+        for name, code, found in disassembler(bytes(row["binary"])):
+            if found is None:
+                yield {"name": name, "binary": code, "error": "invalid instruction"}
+            else:
+                yield {"name": name, "binary": code, "disassembly": found if isinstance(found, str) else f" {NEXT} ".join(found)}
+
+    return attempt(df, functions, T.StructType([df.schema["binary"], T.StructField("name", T.StringType()), T.StructField("disassembly", T.StringType())]))
+
+
 def disassemble(df: DataFrame, disassembler: Disassembler) -> DataFrame:
     """A row for each function: ``name``, ``binary`` (its own bytes) and ``disassembly``, other columns kept.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import MASK, NEXT, PAD
 from ..schema import require
+from .frame import number
 
 #: Fixed value: the label that a loss ignores.
 IGNORE = -100
@@ -126,3 +127,15 @@ def collate(df: DataFrame) -> DataFrame:
     """What a classification batch holds of each row."""
     require(df, ("tokens", "mask", "label"))
     return df.select("tokens", "mask", "label")
+
+
+def batches(df: DataFrame, size: int, *order: Column | str) -> DataFrame:
+    """``batch, rows`` and, for every column of ``df``, an array of exactly ``size`` values in the order of ``order``; the last batch may be shorter.
+
+    Rows are numbered across partitions, so a batch does not depend on how they were dealt out, and one task holds no more than a batch.
+    """
+    if size < 1:
+        raise ValueError("a batch has at least one row")
+    rows = number(df, "_place", *order)
+    grouped = rows.groupBy(F.floor(F.col("_place") / size).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("_place", *df.columns))).alias("_r"))
+    return grouped.select("batch", F.size("_r").alias("rows"), *[F.col(f"_r.{c}").alias(c) for c in df.columns])

@@ -83,6 +83,12 @@ def mlm_mask_deterministic(spark, sf):
     return sequence.mask_tokens(_numbered(spark, sf), vocabulary=100)
 
 
+def collate_batches(spark, sf):
+    """Training batches of 48 rows, the last one shorter."""
+    rows = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x * 100).cast("int")).alias("tokens"), "label")
+    return sequence.batches(rows, 48, "vec_id").select("batch", F.col("rows").cast("long").alias("rows"), F.col("vec_id").alias("ids"), F.col("label").alias("labels"), F.transform("tokens", lambda t: t[0]).alias("firsts"))
+
+
 def collate_classification(spark, sf):
     rows = table(spark, sf, "embeddings").select(
         F.transform("embedding", lambda x: F.floor(x * 100).cast("int")).alias("tokens"), F.array_repeat(F.lit(1), 64).alias("mask"), "label"
@@ -175,6 +181,12 @@ QUERIES = {
             UNION ALL SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 5 AS INTEGER) FROM ({_TRACE_COUNTS}) WHERE kind = 'tokens' AND token <> '[NEXT]'""",
     ),
     "mlm_mask_deterministic": (mlm_mask_deterministic, _MASKED),
+    "collate_batches": (
+        collate_batches,
+        """SELECT n // 48 AS batch, count(*) AS rows, list(vec_id ORDER BY vec_id) AS ids, list(label ORDER BY vec_id) AS labels,
+            list(CAST(floor(embedding[1] * 100) AS INTEGER) ORDER BY vec_id) AS firsts
+            FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS n FROM embeddings) GROUP BY 1""",
+    ),
     "collate_classification": (
         collate_classification,
         "SELECT list_transform(embedding, lambda x: CAST(floor(x * 100) AS INTEGER)) AS tokens, list_transform(range(64), lambda i: 1) AS mask, label FROM embeddings",

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import io
+import json
 import tarfile
+import tempfile
 import zipfile
 
+from pyspark import SparkFiles
 from pyspark.sql import functions as F
 
-from ..operators import frame, native, service
-from ..sources import archives, parquet, striped
+from ..operators import frame, native, report, service
+from ..operators.report import Counts
+from ..sources import archives, local, parquet, striped
 from ..sources import text as files
-from ..sources.shared import new_path
+from ..sources.shared import new_path, staged
 from . import fixtures as fx
 from . import pipelines
 from .fixtures import table
+from .runner import modify
 
 
 def json_samples(spark, sf):
@@ -145,6 +150,46 @@ def sized_files(spark, sf):
     return spark.read.parquet(path).select("doc_id", F.length("text").cast("long").alias("n_chars"), (F.col("_metadata.file_size") <= 256 * 1024).alias("within"))
 
 
+def stage_counts(spark, sf):
+    """Rows of each operation of a run from dataset to dataset, counted by its own job."""
+    counts, out = Counts(), new_path(spark, "counted")
+    modify(spark, f"{sf}/documents.parquet", out, [frame.keep("doc_id", "text", "source"), frame.hash_column("text", "hash"), frame.deduplicate("hash", "source"), frame.deduplicate("hash"), frame.drop("hash")], counts=counts)
+    return counts.table(spark).select("stage", "name", "rows")
+
+
+def dropped_records(spark, sf):
+    """Records that a parser refuses, with the reason, joined to the rows they came from."""
+
+    def parse(row):
+        k = json.loads(row["props"])["k"]
+        if k < 20:
+            raise ValueError(f"k is {k}")
+        yield {"k": k} if k % 10 else {"error": "round number"}
+
+    rows = table(spark, sf, "events").select("event_id", "props")
+    tried = staged(report.attempt(rows, parse, "k long"), "attempts")
+    good, bad = report.divided(tried)
+    users = table(spark, sf, "events").select("event_id", "user_id")
+    return bad.select("event_id", "error", F.lit(None).cast("long").alias("k")).union(good.select("event_id", F.lit(None).cast("string"), "k")).join(users, "event_id")
+
+
+def distributed_file(spark, sf):
+    """Names that tasks look up in a file sent to their executor."""
+    nations = table(spark, sf, "nation").select("n_nationkey", "n_name").collect()  # 25 rows
+    with tempfile.NamedTemporaryFile("w", suffix=".json") as f:
+        json.dump({str(r["n_nationkey"]): r["n_name"] for r in nations}, f)
+        f.flush()
+        name = local.distributed(spark, f.name)
+
+    def look_up(batches):
+        with open(SparkFiles.get(name)) as f:
+            names = json.load(f)
+        for batch in batches:
+            yield batch.assign(nation=batch["s_nationkey"].astype(str).map(names))
+
+    return table(spark, sf, "supplier").select("s_suppkey", "s_nationkey").mapInPandas(look_up, "s_suppkey long, s_nationkey long, nation string").drop("s_nationkey")
+
+
 def footer_count(spark, sf):
     return parquet.footer_count(spark, f"{sf}/lineitem.parquet")
 
@@ -154,6 +199,19 @@ QUERIES = {
     "file_numbers": (file_numbers, "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row FROM orders"),
     "chunk_map": (chunk_map, "SELECT o_orderkey, o_orderpriority AS priority, true AS same_chunk FROM orders WHERE o_orderkey % 3 <> 0"),
     "sized_files": (sized_files, "SELECT doc_id, length(text) AS n_chars, true AS within FROM documents"),
+    "stage_counts": (
+        stage_counts,
+        """SELECT CAST(stage AS INTEGER) AS stage, name, rows FROM (
+            SELECT 0 AS stage, 'input' AS name, count(*) AS rows FROM documents UNION ALL SELECT 1, 'keep', count(*) FROM documents UNION ALL SELECT 2, 'hash_column', count(*) FROM documents
+            UNION ALL SELECT 3, 'deduplicate', count(*) FROM (SELECT DISTINCT text, source FROM documents) UNION ALL SELECT 4, 'deduplicate', count(*) FROM (SELECT DISTINCT text FROM documents)
+            UNION ALL SELECT 5, 'drop', count(*) FROM (SELECT DISTINCT text FROM documents))""",
+    ),
+    "dropped_records": (
+        dropped_records,
+        """SELECT event_id, CASE WHEN k < 20 THEN 'ValueError: k is ' || k WHEN k % 10 = 0 THEN 'round number' END AS error, CASE WHEN k >= 20 AND k % 10 <> 0 THEN k END AS k, user_id
+            FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events)""",
+    ),
+    "distributed_file": (distributed_file, "SELECT s_suppkey, n_name AS nation FROM supplier JOIN nation ON s_nationkey = n_nationkey"),
     "footer_count": (footer_count, "SELECT count(*) AS rows FROM lineitem"),
     "json_samples": (json_samples, "SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand || chr(10) || '{' || p_type || '\"}' AS source, p_name AS summary FROM part"),
     "json_list": (json_list, "SELECT CAST(row_number() OVER (ORDER BY s_name) - 1 AS INTEGER) AS pos, s_suppkey, s_name FROM supplier"),

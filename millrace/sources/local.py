@@ -7,6 +7,7 @@ import hashlib
 import logging
 import os
 import shutil
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -46,6 +47,21 @@ def cached(path: str, folder: str | None = None) -> str:
     return str(target)
 
 
+def distributed(spark: SparkSession, path: str) -> str:
+    """Send a file to every executor, once, and return the name by which tasks find it: ``SparkFiles.get(name)``.
+
+    The name tells folder, size and time of the file, so a changed file is another one, and one that was sent is not sent again.
+    """
+    source = Path(require_path(path))
+    stat = source.stat()
+    name = f"{hashlib.md5(str(source.parent).encode()).hexdigest()[:8]}-{stat.st_size}-{stat.st_mtime_ns}-{source.name}"
+    if not any(p.rstrip("/").endswith(f"/{name}") for p in spark.sparkContext.listFiles):
+        folder = tempfile.mkdtemp(prefix="millrace-")  # the driver serves it from here; executors fetch their own copy
+        shutil.copy2(source, Path(folder, name))
+        spark.sparkContext.addFile(str(Path(folder, name)))
+    return name
+
+
 def log_to(level: str = "INFO", path: str | None = None) -> None:
     """Log to the terminal, and to a file if one is named."""
     handlers: list[logging.Handler] = [logging.StreamHandler()]
