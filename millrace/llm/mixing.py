@@ -2,7 +2,7 @@
 
 Every document gets a 48-bit hash of its id. Tokens are summed by source and hash
 bucket; the bucket in which a source's budget runs out is the only one that is
-refined, by the next digits of the hash, until the threshold lies between two
+refined, by the other digits of the hash, so that the threshold lies between two
 documents. A document is then taken by comparing its hash with its source's
 threshold: nothing is sorted, and what is shuffled are bucket sums.
 
@@ -13,15 +13,13 @@ is left, a few times, so that a source ends within a few short documents of its
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import aside, drop_stage, scratch, small, stage, word_count
+from .common import aside, scratch, small, stage, word_count
 
-#: Hexadecimal digits of the hash that each level of the search looks at: 3 levels of 4.
-LEVELS, DIGITS = 3, 4
+#: Hexadecimal digits of the hash, and those that tell a source's buckets apart: one in 65,536 of its documents is looked at again.
+LENGTH, DIGITS = 12, 4
 #: Sources up to which their table goes to all rows, so that a source of a third of the rows is in no one task.
 MOST_SOURCES = 100_000
 
@@ -57,69 +55,54 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_e
 
 def hash_digits(doc_id: Column, seed: str = "mix") -> Column:
     """Twelve hexadecimal digits that stand for the document in every rerun."""
-    return F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary")), 1, LEVELS * DIGITS)
+    return F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary")), 1, LENGTH)
 
 
-def thresholds(rows: DataFrame, budgets: DataFrame, mark: Callable[[DataFrame], DataFrame] = small) -> DataFrame:
-    """Per source the smallest hash that no longer fits: ``sid, budget, threshold, used``.
+def _first_over(sums: DataFrame) -> DataFrame:
+    """Per source the first bucket of ``sums`` (``sid, rest, used, bucket, n``) at which what is used no longer fits the rest: ``sid, bucket, upto``.
 
-    ``rows`` has ``sid, h, size``; ``budgets`` has ``sid, budget``. Documents with
-    ``h < threshold`` sum to ``used <= budget``. One scan per level; the levels after the
-    first aggregate only the boundary bucket of each source. ``mark`` says whether tables of sources are broadcast.
+    ``upto`` is what is used before it. A source has at most as many buckets as the digits of a level tell apart, so no task cumulates more.
     """
-    found = budgets.select("sid", "budget", F.lit("").alias("threshold"), F.lit(0).cast("long").alias("used"))
-    for n in range(DIGITS, LEVELS * DIGITS + 1, DIGITS):
-        near = rows.join(mark(found.select("sid", "threshold")), "sid").filter(F.substring("h", 1, n - DIGITS) == F.col("threshold"))
-        hist = stage(near.groupBy("sid", F.substring("h", 1, n).alias("bucket")).agg(F.sum("size").alias("n")), "mix-histogram")
-        # summed up by half the digits first, so that no task cumulates more than 256 sums of a source
-        for digits in (n - DIGITS // 2, n):
-            found = stage(_narrowed(hist, found, digits, mark), "mix-level")
-        drop_stage(hist)
-    return found
-
-
-def _narrowed(hist: DataFrame, found: DataFrame, digits: int, mark: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``found`` with thresholds of so many digits: per source the first bucket of ``hist`` (``sid, bucket, n``) that does not fit."""
-    near = hist.join(mark(found), "sid").filter(F.startswith(F.col("bucket"), F.col("threshold")))
-    sums = near.groupBy("sid", "budget", "used", F.substring("bucket", 1, digits).alias("bucket")).agg(F.sum("n").alias("n"))
-    upto = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    fits = F.col("upto") <= F.col("budget")
-    # the first bucket that does not fit, and the sum before it
-    step = (
-        sums.withColumn("upto", F.col("used") + F.sum("n").over(upto))
-        .groupBy("sid")
-        .agg(F.min(F.when(~fits, F.col("bucket"))).alias("bucket"), F.max(F.when(fits, F.col("upto"))).alias("upto"))
-    )
-    return found.join(step, "sid", "left").select(
-        "sid",
-        "budget",
-        # 'g' sorts after every digit: with no bucket over the budget, all documents of the prefix fit
-        F.coalesce("bucket", F.concat("threshold", F.lit("g"))).alias("threshold"),
-        F.coalesce("upto", "used").alias("used"),
-    )
+    upto = F.col("used") + F.sum("n").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    fits = F.col("upto") <= F.col("rest")
+    return sums.withColumn("upto", upto).groupBy("sid").agg(F.min(F.when(~fits, F.col("bucket"))).alias("bucket"), F.max(F.when(fits, F.col("upto"))).alias("upto"))
+
+
+def _taken(rounds: list[int]) -> Column:
+    """Whether one of the rounds took a document."""
+    out = F.lit(False)
+    for k in rounds:
+        out = out | ((F.col("size") <= F.col(f"b{k}")) & (F.col("h") < F.col(f"t{k}")))
+    return out
 
 
 def plan_of(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, budget: float = 1.0, rounds: int = 4) -> DataFrame:
     """One row per source of ``rows`` (``source, size, h``), a staged table: ``source, source_size, target, whole`` and each round's ``b, t``.
 
-    All documents of a source are taken ``whole`` times; one more copy is taken of those that are in a
-    round no larger than its budget ``b`` and below its threshold ``t``.
+    All documents of a source are taken ``whole`` times; one more copy is taken of those that are in a round no larger than its budget ``b`` and below its
+    threshold ``t``, the smallest hash that no longer fits. A round scans the rows twice: for sums by the first digits of the hash, and for sums by
+    all digits in the one bucket of each source where its budget runs out. Both join the plan so far, a row for each source.
     """
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs, budget)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = stage(targets.withColumn("whole", whole).withColumn("budget", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")), "mix-targets")
+    plan = stage(targets.withColumn("whole", whole).withColumn("rest", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")), "mix-targets")
     mark = F.broadcast if plan.count() <= MOST_SOURCES else lambda df: df
-    keyed = mark(plan.select("sid", F.col("source").alias("plan_source")))
-    open_rows = rows.join(keyed, rows["source"].eqNullSafe(keyed["plan_source"])).select("sid", "h", "size").filter("size > 0")
-    left, plan = plan.select("sid", "budget"), plan.drop("budget")
     for k in range(rounds):
-        found = thresholds(open_rows, left, mark)
-        plan = plan.join(mark(found.select("sid", F.col("budget").alias(f"b{k}"), F.col("threshold").alias(f"t{k}"))), "sid")
-        left = found.select("sid", (F.col("budget") - F.col("used")).alias("budget"))
-        # the next round looks at what this one left and its remainder still holds
-        rest = mark(found.select("sid", F.col("threshold").alias("t"), (F.col("budget") - F.col("used")).alias("rest")))
-        open_rows = open_rows.join(rest, "sid").filter((F.col("h") >= F.col("t")) & (F.col("size") <= F.col("rest"))).drop("t", "rest")
-    return stage(plan.drop("sid"), "mix-plan")
+        open_rows = lambda more: rows.join(mark(more), rows["source"].eqNullSafe(more["plan_source"])).filter((F.col("size") > 0) & (F.col("size") <= F.col("rest")) & ~_taken(list(range(k))))  # noqa: E731, B023
+        known = plan.select(F.col("source").alias("plan_source"), "sid", "rest", *[f"{x}{j}" for j in range(k) for x in "bt"])
+        head = F.substring("h", 1, DIGITS)
+        coarse = open_rows(known).groupBy("sid", "rest", F.lit(0).cast("long").alias("used"), head.alias("bucket")).agg(F.sum("size").alias("n"))
+        first = stage(_first_over(coarse).select("sid", F.col("bucket").alias("edge"), F.coalesce("upto", F.lit(0)).alias("used")), "mix-level")
+        edges = known.join(mark(first.filter("edge is not null")), "sid")
+        fine = _first_over(open_rows(edges).filter(head == F.col("edge")).groupBy("sid", "rest", "used", F.col("h").alias("bucket")).agg(F.sum("size").alias("n")))
+        found = first.join(mark(fine.select("sid", "bucket", "upto")), "sid", "left")
+        # 'g' sorts after every digit: where nothing is over the budget, all documents fit
+        found = found.select("sid", F.coalesce("bucket", F.lit("g")).alias(f"t{k}"), F.coalesce("upto", "used").alias("spent"))
+        more = plan.join(mark(found), "sid", "left").select(
+            *[c for c in plan.columns if c != "rest"], F.col("rest").alias(f"b{k}"), F.coalesce(f"t{k}", F.lit("g")).alias(f"t{k}"), (F.col("rest") - F.coalesce("spent", F.lit(0))).alias("rest")
+        )
+        plan = stage(more.drop("sid", "rest") if k == rounds - 1 else more, "mix-plan")
+    return plan
 
 
 def _planned(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -151,8 +134,11 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     equal sizes all are taken or none. Whole texts count, however long. An empty table gives an empty result.
     Extra columns are ignored.
     """
-    rows = stage(_sized(docs, "doc_id"), "mix-sizes")
-    return _planned(rows, plan_of(rows, **options)).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    with scratch(docs.sparkSession) as kept:
+        rows = stage(_sized(docs, "doc_id"), "mix-sizes")
+        plan = plan_of(rows, **options)
+        kept += [rows, plan]
+    return _planned(rows, plan).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
