@@ -104,8 +104,8 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))
 
 
-def binary_search(bounds: Column, key: Column, size: int) -> Column:
-    """Number of entries of the ascending array ``bounds`` that are <= ``key``.
+def binary_search(bounds: Column, key: Column, size: int, strict: bool = False) -> Column:
+    """Number of entries of the ascending array ``bounds`` that are <= ``key``, or < ``key`` if ``strict``.
 
     About log2(size) steps inside one expression, so that ranges can be looked
     up by built-in functions whatever their number.
@@ -114,10 +114,11 @@ def binary_search(bounds: Column, key: Column, size: int) -> Column:
     while s <= size:
         steps.insert(0, s)
         s *= 2
+    before = lambda x: x < key if strict else x <= key
     return F.aggregate(
         F.array(*[F.lit(x) for x in steps]) if steps else F.array().cast("array<int>"),
         F.lit(0),
         lambda at, step: F.when(
-            (at + step <= F.lit(size)) & (F.get(bounds, at + step - 1) <= key), at + step
+            (at + step <= F.lit(size)) & before(F.get(bounds, at + step - 1)), at + step
         ).otherwise(at),
     )

@@ -11,7 +11,9 @@ reach the threshold, and compared where their rarest signatures meet.
 
 from __future__ import annotations
 
+import json
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,35 +78,53 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(both / total)
 
 
-def _splitters(docs: DataFrame, key: Column) -> tuple[Column, int]:
-    """Ascending splitters, each the key of some row and the last the largest key of all."""
+def _backwards(text: Column, size: int = 24) -> Column:
+    """A string that falls as the first bytes of ``text`` rise: their digits complemented, and an end after them that is larger than a digit."""
+    start = F.substring(text.cast("binary"), 1, size)
+    return F.concat(F.translate(F.hex(start), "0123456789ABCDEF", "FEDCBA9876543210"), F.when(F.length(start) < size, "G").otherwise(""))
+
+
+#: In a splitter, instead of a text: behind all texts of its id.
+_LAST = "H"
+
+
+def _splitters(docs: DataFrame, key: Column, tie: Column) -> tuple[Column, int]:
+    """Ascending splitters ``(k, t)``, each the place of some row, and the last behind all rows.
+
+    An id that the sample meets once is a splitter as a whole; one that it meets with several texts has one for each of them.
+    """
     n, top = docs.agg(F.count("*"), F.max(key)).first()
     if not n:
-        return F.array(F.lit(0).cast("long")), 1
+        return F.array(F.struct(F.lit(0).cast("long").alias("k"), F.lit(_LAST).alias("t"))), 1
     share = min(1.0, min(MOST_SPLITTERS, n / ROWS_BETWEEN) / n)
-    picked = docs.select(key.alias("key")).filter(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
-    bounds = sorted({r["key"] for r in picked.distinct().collect()} | {top})
-    return F.from_json(F.lit("[" + ",".join(map(str, bounds)) + "]"), "array<bigint>"), len(bounds)
+    picked = docs.select(key.alias("k"), tie.alias("t")).filter(F.pmod(F.xxhash64("k", "t"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+    found = picked.distinct().collect()
+    often = Counter(r["k"] for r in found)
+    bounds = sorted({(r["k"], r["t"] if often[r["k"]] > 1 else _LAST) for r in found} | {(top, _LAST)})
+    return F.from_json(F.lit(json.dumps([{"k": k, "t": t} for k, t in bounds])), "array<struct<k: bigint, t: string>>"), len(bounds)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Every row's ``doc_id, text, n_chars, sigs`` with the next document's text and signatures.
 
     The order is by descending doc_id, a null one last, ties by text; after the last comes the first.
-    Rows are dealt to ranges of ids between sampled splitters. Every splitter is some document's
-    id and the largest of its range, so that document is also sent to the end of the range above, and
-    each range finds its successors by itself: whole texts are shuffled once, and never all to one task.
+    Rows are dealt to ranges between sampled splitters, which tell the texts of an id apart where it has many, so an id
+    that is null or repeated fills no task; only rows that agree in the id and the first 24 bytes of the text stay together. Every splitter is some row's place
+    and the largest of its range, so that row is also sent to the end of the range above, and
+    each range finds its successors by itself: whole texts are shuffled once.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))
-    bounds, n = _splitters(docs, key)
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), key.alias("key"))
-    rows = with_signatures(rows, "text", "sigs")
-    # number of splitters below the key: ranges are (splitter, splitter]
-    at = binary_search(bounds, F.col("key") - 1, n) if n > 1 else F.lit(0)
-    rows = rows.withColumn("range", F.when(F.col("key") == _LEAST, 0).otherwise(at))
+    text = F.coalesce("text", F.lit(""))
+    bounds, n = _splitters(docs, key, _backwards(text))
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), key.alias("key"))
+    rows = with_signatures(rows, "text", "sigs").withColumn("tie", _backwards(F.col("text")))
+    # number of splitters below the row: ranges are (splitter, splitter]
+    own_place = F.struct(F.col("key").alias("k"), F.col("tie").alias("t"))
+    rows = rows.withColumn("range", binary_search(bounds, own_place, n, strict=True) if n > 1 else F.lit(0)).withColumn("end", F.get(bounds, F.col("range")))
     place = lambda r, extra: F.struct(r.cast("int").alias("range"), F.lit(extra).alias("extra"))
     own, above = place(F.col("range"), 0), place((F.col("range") + 1) % n, 1)
-    rows = rows.withColumn("to", F.explode(F.when(F.col("key") == F.get(bounds, F.col("range")), F.array(own, above)).otherwise(F.array(own))))
+    last = (F.col("key") == F.col("end.k")) & ((F.col("end.t") == _LAST) | (F.col("tie") == F.col("end.t")))
+    rows = rows.withColumn("to", F.explode(F.when(last, F.array(own, above)).otherwise(F.array(own))))
     rows = rows.select("doc_id", "text", "sigs", "key", "to.range", "to.extra")
     order = Window.partitionBy("range").orderBy("extra", F.col("key").desc(), "text")
     found = rows.select("doc_id", "text", "sigs", "extra", F.lead("text").over(order).alias("next_text"), F.lead("sigs").over(order).alias("next_sigs"))
@@ -118,7 +138,8 @@ def edit_report(docs: DataFrame) -> DataFrame:
     the edited text the last third (rounded down) gives way to as much of the next document's beginning.
 
     Null text is empty. Rows that repeat a doc_id follow each other in the order of their
-    texts. With one document, the next is itself; an empty table gives an empty result.
+    texts. With one document, the next is itself; an empty table gives an empty result. Whole texts are edited and signed,
+    however long; extra columns are ignored.
     """
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars") - third), F.substring(F.col("next_text"), F.lit(1), third))

@@ -363,6 +363,25 @@ def test_fingerprints(docs, clashing, rows, monkeypatch, between):
         assert Counter(tuple(r[c] for c in columns) for r in fingerprints.edit_report(df).collect()) == want
 
 
+def test_fingerprints_of_one_id_on_many_rows(spark, monkeypatch):
+    """A third of the rows have no id: they are dealt to many ranges, in the order of their texts, prefixes and ends of texts included."""
+    monkeypatch.setattr(fingerprints, "ROWS_BETWEEN", 40)
+    rng = np.random.default_rng(2)
+    rows = [(k, f"text {k} of an id") for k in range(2000)] + [(None, "".join(chr(97 + c) for c in rng.integers(0, 3, rng.integers(0, 9)))) for _ in range(1000)]
+    rows += [(5, "the same"), (5, "the same long"), (5, ""), (5, None), (5, "ÿ"), (5, "\U0001f600"), (-(2**63), "least")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    order = sorted(((-(2**63) if i is None else i), (t or "").encode(), i) for i, t in rows)
+    order = sorted(order, key=lambda x: (-x[0], x[1]))
+    want = Counter((order[k][1].decode(), order[(k + 1) % len(order)][1].decode()) for k in range(len(order)))
+    found = fingerprints.with_next(df)
+    assert Counter((r.text, r.next_text) for r in found.select("text", "next_text").collect()) == want
+    key = F.coalesce("doc_id", F.lit(-(2**63)))
+    bounds, n = fingerprints._splitters(df, key, fingerprints._backwards(F.coalesce("text", F.lit(""))))
+    place = F.struct(key.alias("k"), fingerprints._backwards(F.coalesce("text", F.lit(""))).alias("t"))
+    sizes = [r["count"] for r in df.filter("doc_id is null").groupBy(binary_search(bounds, place, n, strict=True)).count().collect()]
+    assert n > 40 and len(sizes) > 8 and sum(sizes) == 1000 and max(sizes) < 300
+
+
 def test_near_pairs(docs, rows):
     pairs, members = fingerprints.near_pairs(docs, 0.6)
     sigs = {i: frozenset(brute_signatures(t or "")) for i, t, *_ in rows if i is not None}
