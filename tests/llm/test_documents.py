@@ -375,11 +375,11 @@ def test_fingerprints_of_one_id_on_many_rows(spark, monkeypatch):
     want = Counter((order[k][1].decode(), order[(k + 1) % len(order)][1].decode()) for k in range(len(order)))
     found = fingerprints.with_next(df)
     assert Counter((r.text, r.next_text) for r in found.select("text", "next_text").collect()) == want
-    key = F.coalesce("doc_id", F.lit(-(2**63)))
-    bounds, n = fingerprints._splitters(df, key, fingerprints._backwards(F.coalesce("text", F.lit(""))))
-    place = F.struct(key.alias("k"), fingerprints._backwards(F.coalesce("text", F.lit(""))).alias("t"))
-    sizes = [r["count"] for r in df.filter("doc_id is null").groupBy(binary_search(bounds, place, n, strict=True)).count().collect()]
-    assert n > 40 and len(sizes) > 8 and sum(sizes) == 1000 and max(sizes) < 300
+    hot = spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    key, tie = F.lit(-(2**63)), fingerprints._backwards(F.col("text"))
+    bounds, n = fingerprints._splitters(hot, key, tie)
+    sizes = [r["count"] for r in hot.groupBy(binary_search(bounds, F.struct(key.alias("k"), tie.alias("t")), n, strict=True)).count().collect()]
+    assert n > 10 and len(sizes) > 8 and sum(sizes) == 1000 and max(sizes) < 300
 
 
 def test_near_pairs(docs, rows):
