@@ -36,8 +36,11 @@ LEAST_DEPTH, REGION = 2, 512
 WINDOW = 12
 #: Share of equal minima from which the forest has a pair confirmed: three deviations below 0.75.
 SCREEN = 0.6
-#: Documents whose shingles tell which ones are frequent, and how many of them must hold such a one. This sets only the order.
-SAMPLE, FREQUENT = 20_000, 3
+#: Documents whose shingles tell which ones are frequent: at least so many, and at least this part of all of them. A frequent one is held by
+#: so many of the sample at least, and at most so many are listed, the most frequent. This sets the order, and which way a shingle goes.
+SAMPLE, SHARE, FREQUENT, LISTED = 20_000, 0.02, 3, 500_000
+#: Holders, by the sample, from which a shingle is hot: its holders never meet in one task, they are counted and dealt out in blocks.
+HOT = 2_000
 #: Most bits of the parities that rule a pair out.
 PARITY_BITS = 1 << 17
 #: Holders of one shingle up to which their pairs are found where the shingle is; more are dealt out in blocks of so many.
@@ -126,13 +129,13 @@ def _prefix(s: np.ndarray, frequent: Frequent, hundredths: int) -> np.ndarray:
     return rare[:length] if len(rare) >= length else s[np.argsort(times, kind="stable")[:length]]
 
 
-def sketches(docs: DataFrame, n: int = 5, hundredths: int = 75) -> DataFrame:
+def sketches(docs: DataFrame, n: int, hundredths: int, listed: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """``doc_id, text_key, n_shingles, digest, sig, parity, prefix`` of every row; an empty set has none of the last four.
 
     ``text_key`` is a hash of the text as it stands. Equal sets have equal digests (128 bits of BLAKE2). ``sig`` holds the
-    minima, big-endian, tree after tree, and ``prefix`` the shingles (uint64) that the exact search looks at.
+    minima, big-endian, tree after tree, and ``prefix`` the shingles (uint64) that the exact search looks at, those ``listed`` as frequent last.
     """
-    known = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n))
+    known = docs.sparkSession.sparkContext.broadcast(listed)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = Frequent(*known.value)
@@ -314,9 +317,13 @@ def possible(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "size_b", "parity_a", "parity_b").mapInArrow(check, "a long, b long")
 
 
-def frequent_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles frequent in a sample of fixed size, and their counts; equal texts count once."""
-    share = SAMPLE / max(SAMPLE, docs.count())
+def frequent_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Hashes of the shingles frequent in a sample that grows with the corpus, their counts there, and its share; equal texts count once.
+
+    The sample is counted on the executors, and the driver receives the most frequent ``LISTED`` at most.
+    """
+    rows = docs.count()
+    share = min(1.0, max(SHARE, SAMPLE / max(1, rows)))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -328,8 +335,16 @@ def frequent_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     some = docs.filter(F.pmod(F.xxhash64("text", F.lit("order")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
     some = some.select(F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("raw")).dropDuplicates(["key"])
     counted = some.select("raw").mapInArrow(explode, "token long").groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT)
-    got = counted.toArrow()
-    return got.column("token").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    counted = stage(counted, "near-frequent")
+    # the least count whose shingles, with all more frequent ones, are within the bound
+    sizes = counted.groupBy(F.floor(F.log2("n") * 32).alias("b")).agg(F.min("n").alias("low"), F.count("*").alias("size")).orderBy(F.col("b").desc()).collect()
+    total = np.cumsum([r["size"] for r in sizes])
+    low = [r["low"] for r, t in zip(sizes, total, strict=True) if t <= LISTED]
+    got = counted.filter(F.col("n") >= (low[-1] if low else 1 << 62)).toArrow()
+    drop_stage(counted)
+    token = got.column("token").to_numpy().view(np.uint64)
+    order = np.argsort(token)
+    return token[order], got.column("n").to_numpy()[order], share
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -362,25 +377,78 @@ def _pairs_within(token: np.ndarray, x: dict[str, np.ndarray], hundredths: int)
     return (np.concatenate(left), np.concatenate(right)) if left else (at[:0], at[:0])
 
 
-def shared_shingles(sets: DataFrame, buckets: int, hundredths: int) -> DataFrame:
+def _among(token: np.ndarray, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens are in the sorted array ``listed``, and where."""
+    at = np.minimum(np.searchsorted(listed, token), max(0, len(listed) - 1))
+    return (listed[at] == token) if len(listed) else np.zeros(len(token), dtype=bool), at
+
+
+def hot_holders(sets: DataFrame, hot: np.ndarray) -> DataFrame:
+    """``token, node, comp, size, pos, blocks`` of all holders of those ``hot`` shingles (sorted) that sets of different components have in their prefixes.
+
+    Each task counts the hot shingles of its sets first, a row for each at most, so that what has many holders
+    is known before they meet; ``blocks`` is how many they are to be dealt out to.
+    """
+    sc = sets.sparkSession.sparkContext
+    listed = sc.broadcast(hot)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = listed.value
+        n, lo, hi = np.zeros(len(known), np.int64), np.full(len(known), np.iinfo(np.int64).max), np.full(len(known), np.iinfo(np.int64).min)
+        for batch in batches:
+            for comp, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found, at = _among(np.frombuffer(raw.as_py(), np.uint64), known)
+                at = at[found]
+                n[at] += 1
+                lo[at], hi[at] = np.minimum(lo[at], comp), np.maximum(hi[at], comp)
+        there = np.nonzero(n)[0]
+        yield pa.record_batch([pa.array(known[there].view(np.int64)), *(pa.array(x[there]) for x in (n, lo, hi))], ["token", "n", "lo", "hi"])
+
+    sums = sets.select("comp", "prefix").mapInArrow(count, "token long, n long, lo long, hi long").groupBy("token").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    mixed = sums.filter("lo <> hi").select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).toArrow()  # of the listed ones
+    token, blocks = mixed.column("token").to_numpy().view(np.uint64), mixed.column("blocks").to_numpy()
+    order = np.argsort(token)
+    dealt = sc.broadcast((token[order], blocks[order]))
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, blocks = dealt.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                own = [_among(np.frombuffer(raw.as_py(), np.uint64), known) for raw in part.column(3)]
+                pos = [np.nonzero(found)[0] for found, _ in own]
+                where, row = np.concatenate([i[p] for (_, i), p in zip(own, pos, strict=True)]), np.repeat(np.arange(len(own)), [len(p) for p in pos])
+                columns = [pa.array(known[where].view(np.int64)), *(part.column(k).take(pa.array(row)) for k in range(3)), pa.array(np.concatenate(pos)), pa.array(blocks[where])]
+                yield pa.record_batch(columns, ["token", "node", "comp", "size", "pos", "blocks"])
+
+    return sets.select("node", "comp", F.col("size").cast("long"), "prefix").mapInArrow(give, "token long, node long, comp long, size long, pos long, blocks int")
+
+
+def shared_shingles(sets: DataFrame, buckets: int, hundredths: int, hot: np.ndarray) -> DataFrame:
     """What the prefixes of sets of different components share: ``a, b, token, node, comp, size, pos``.
 
     ``sets`` has ``node, comp, size, prefix``. Shingles go to tasks by their top bits, as arrays: most are of one set only and
     never become rows. Of a shingle of up to ``FEW`` sets, the pairs ``a, b`` that may reach the similarity are given; of
-    others all holders, for :func:`left_apart` to deal out. As frequent shingles stand last, few are in prefixes.
+    others all holders, for :func:`left_apart` to deal out. As frequent shingles stand last, few are in prefixes; those
+    that are ``hot`` go by :func:`hot_holders` and are left out here, so a task gets no more of one shingle than a cold one has holders.
     """
+    listed = sets.sparkSession.sparkContext.broadcast(hot)
     shift = np.uint64(64 - max(1, buckets.bit_length() - 1))
     kinds = ("node", "comp", "size", "pos")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         sets: list[tuple[int, int, int]] = []
-        total = 0
+        total, known = 0, listed.value
 
         def out() -> Iterator[pa.RecordBatch]:
             token, lengths = np.concatenate(held), [len(x) for x in held]
             owner, pos = np.repeat(np.arange(len(held), dtype=np.int32), lengths), np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
             order = np.argsort(token)
+            if len(known):
+                order = order[~_among(token[order], known)[0]]
+            if not len(order):
+                return
             token, owner, pos, of = token[order], owner[order], pos[order], np.array(sets, dtype=np.int64)
             at = token >> shift
             cuts = np.append(np.append(0, np.nonzero(at[1:] != at[:-1])[0] + 1), len(at)).tolist()
@@ -433,18 +501,22 @@ def shared_shingles(sets: DataFrame, buckets: int, hundredths: int) -> DataFrame
     return dealt.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(find, "a long, b long, token long, node long, comp long, size long, pos long")
 
 
-def left_apart(sets: DataFrame, hundredths: int) -> DataFrame:
+def left_apart(sets: DataFrame, hundredths: int, hot: np.ndarray) -> DataFrame:
     """Every pair of different components that may reach the similarity, by shared prefixes: ``a, b``. Nothing is capped.
 
-    ``sets`` has ``node, size, comp, prefix``. A shingle of many documents is dealt out in blocks, each with each other.
+    ``sets`` has ``node, size, comp, prefix``. A shingle of many documents is dealt out in blocks, each with each other; the holders of one
+    of the ``hot`` are dealt out before they meet.
     """
     total = sets.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8
-    found = stage(shared_shingles(sets, max(16, 1 << (total // BUCKET).bit_length()), hundredths), "near-held")
+    found = stage(shared_shingles(sets, max(16, 1 << (total // BUCKET).bit_length()), hundredths, hot), "near-held")
     held = found.filter("token is not null").drop("a", "b")
     blocks = stage(held.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "near-blocks")
+    columns = ["token", "node", "comp", "size", "pos", "blocks"]
+    known = held.join(small(blocks), "token").select(*columns)
+    if len(hot):
+        known = known.union(stage(hot_holders(sets, hot), "near-hot").select(*columns))
     dealt = (
-        held.join(small(blocks), "token")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        known.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "comp", "size", "pos")
     )
@@ -475,7 +547,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, hundredths: int = 75) -> DataFr
 
 def _near_duplicates(docs: DataFrame, n: int, hundredths: int) -> DataFrame:
     least = hundredths / 100
-    rows = stage(sketches(docs, n, hundredths), "near-sketches")
+    token, times, share = frequent_shingles(docs, n)
+    hot = token[times >= HOT * share]
+    rows = stage(sketches(docs, n, hundredths, (token, times)), "near-sketches")
     shared = stage(
         rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"),
         "near-shared",
@@ -525,7 +599,7 @@ def _near_duplicates(docs: DataFrame, n: int, hundredths: int) -> DataFrame:
     more = regions(many, least).select("a", "b").distinct().join(found.select("a", "b"), ["a", "b"], "left_anti")
     comp = merge(comp, links_of(more))
     # What the signatures did not bring together: every pair of what are still different components.
-    comp = merge(comp, links_of(left_apart(_with_comp(reps, comp), hundredths)))
+    comp = merge(comp, links_of(left_apart(_with_comp(reps, comp), hundredths, hot)))
     if several:
         known = known.join(small(nodes), "digest", "left").withColumn("node", F.coalesce("node", "rep"))
         low = _with_comp(reps, comp).groupBy("comp").agg(F.min("rep").alias("component_id"))

@@ -552,6 +552,38 @@ def test_near_duplicates_of_crowded_regions(spark, monkeypatch):
     assert len(set(_same_components(spark, rows).values())) == 400
 
 
+def test_near_duplicates_of_hot_shingles(spark, monkeypatch):
+    """Shingles that half of all documents hold are dealt out before their holders meet, and lose no link: no task gets more of one than a block."""
+    import random
+
+    monkeypatch.setattr(minhash, "WINDOW", 1)
+    monkeypatch.setattr(minhash, "REGION", 4)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "HOT", 40)
+    rng = random.Random(31)
+    passage = [f"p{k}" for k in range(85)]
+    own = [passage + [f"o{rng.randrange(10**9)}" for _ in range(35)] for _ in range(150)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(own + [_replaced(w, 95, 12, rng) for w in own[:70]] + [[f"x{k}-{j}" for j in range(30)] for k in range(100)])]
+    dealt, holders = [], minhash.hot_holders
+
+    def seen(sets, hot):
+        dealt.append(len(hot))
+        return holders(sets, hot)
+
+    monkeypatch.setattr(minhash, "hot_holders", seen)
+    assert len(set(_same_components(spark, rows).values())) == 250
+    assert dealt and dealt[0] >= 70
+
+
+def test_holders_of_hot_shingles(spark):
+    sets = [(k, k % 3, 10, np.array([5, 9, 100 + k] if k % 2 else [9, 7], dtype=np.uint64).tobytes()) for k in range(60)] + [(100, 9, 10, np.array([77], dtype=np.uint64).tobytes())]
+    df = spark.createDataFrame([(a, b, c, bytearray(d)) for a, b, c, d in sets], "node long, comp long, size long, prefix binary").repartition(4)
+    got = minhash.hot_holders(df, np.array([5, 7, 9, 77, 1000], dtype=np.uint64)).collect()
+    want = Counter((int(t), node, comp, pos) for node, comp, _, raw in sets for pos, t in enumerate(np.frombuffer(raw, np.uint64)) if t in (5, 7, 9))
+    assert Counter((r.token, r.node, r.comp, r.pos) for r in got) == want and {r.blocks for r in got} == {1}
+    assert minhash.hot_holders(df, np.array([1000], dtype=np.uint64)).count() == 0
+
+
 def test_near_duplicates_empty(empty):
     assert minhash.near_duplicates(empty).count() == 0
 
