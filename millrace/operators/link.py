@@ -121,7 +121,7 @@ EXCLUDED = ("libpcap", "coreutils", "ffmpeg", "libtiff")
 def binary_files(df: DataFrame, max_bytes: int = 10_000_000, architectures: tuple[str, ...] = ARCHITECTURES, exclude: tuple[str, ...] = ()) -> DataFrame:
     """Files below ``max_bytes`` of an included architecture (second part of the name) and no excluded project."""
     require(df, ("project", "filename", "length"))
-    out = df.filter((F.col("length") < max_bytes) & F.element_at(F.split("filename", "-"), 2).isin(*architectures))
+    out = df.filter((F.col("length") < max_bytes) & F.get(F.split("filename", "-"), 1).isin(*architectures))
     return out.filter(~F.col("project").isin(*exclude)) if exclude else out
 
 

@@ -20,9 +20,14 @@ from ..sources import text as files
 from ..sources.shared import staged
 
 
-def finish(df: DataFrame, size: str = "100MB") -> DataFrame:
-    """One row for each function body, in partitions of about ``size``."""
-    return df.transform(frame.hash_dedup_drop("binary", order="id")).transform(frame.repartition(size=size))
+def finish(df: DataFrame) -> DataFrame:
+    """One row for each function body. The size of files is the sink's: :func:`save`."""
+    return df.transform(frame.hash_dedup_drop("binary", order="id"))
+
+
+def save(df: DataFrame, path: str, size: str = "100MB") -> list[str]:
+    """Write a dataset in files of at most ``size``."""
+    return parquet.write(df, path, size=size)
 
 
 def functions(sources: DataFrame, disassembler: Disassembler, compiler: str = "g++") -> DataFrame:
@@ -54,10 +59,19 @@ def competition(spark: SparkSession, path: str, disassembler: Disassembler) -> D
     return functions(rows, disassembler)
 
 
+def numbered_binaries(rows: DataFrame, most: int = 500_000) -> DataFrame:
+    """``rows`` (``project, version, filename``, one for each file) with ``id``, their place by path.
+
+    Paths alone are sorted and numbered, from the listing: no content is read for it, written or shuffled, as long as the numbers are few enough to be sent along.
+    """
+    path = ["project", "version", "filename"]
+    ids = link.sequential_id(rows.select(*path).withColumn("_order", F.concat_ws("/", *path)), "_order").drop("_order")
+    return rows.join(F.broadcast(ids) if ids.count() <= most else ids, path)
+
+
 def vulnerable_binaries(spark: SparkSession, binaries: str, maps: list[str], disassembler: Disassembler, exclude: tuple[str, ...] = link.EXCLUDED) -> DataFrame:
     """Functions of binaries at ``project/version/name`` with the vulnerabilities known of them."""
-    rows = link.sequential_id(files.binaries(spark, binaries, exclude=exclude).withColumn("_order", F.concat_ws("/", "project", "version", "filename")), "_order").drop("_order")
-    found = disassemble(rows, disassembler)
+    found = disassemble(numbered_binaries(files.binaries(spark, binaries, exclude=exclude)), disassembler)
     return finish(link.link_vulnerabilities(found, files.vulnerabilities(spark, *maps)))
 
 
@@ -70,12 +84,10 @@ def train_tokenizer(df: DataFrame, length: int = 512, size: int = 4096) -> token
     return tokens.train_tokenizer(staged(tokens.preprocess_tokens(df), "token-counts"), length, size)
 
 
-def tokenize(df: DataFrame, tokenizer: tokens.Tokenizer, minimize: bool = False, size: str = "100MB") -> DataFrame:
-    """Token ids and masks; with ``minimize`` only those and the id."""
+def tokenize(df: DataFrame, tokenizer: tokens.Tokenizer, minimize: bool = False) -> DataFrame:
+    """Token ids and masks; with ``minimize`` only those and the id. The size of files is the sink's: :func:`save`."""
     out = tokens.tokenize(validate(df, DisassembledFunctionDataset), tokenizer)
-    if minimize:
-        out = out.transform(frame.keep("id", "tokens", "mask"))
-    return out.transform(frame.repartition(size=size))
+    return out.transform(frame.keep("id", "tokens", "mask")) if minimize else out
 
 
 def example(spark: SparkSession, size: int = 64) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -10,6 +15,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.python.filterPushdown.enabled": "true",
 }
 
 
@@ -24,7 +30,30 @@ def cluster(kind: str = "local", parallelism: int = 1, memory: str = "16g", mast
         builder = builder.master(master or "yarn").config("spark.executor.memory", memory).config("spark.executor.instances", str(parallelism))
     else:
         raise ValueError(f"unknown cluster type {kind!r}")
-    return builder.config(map={**SETTINGS, **settings}).getOrCreate()
+    spark = builder.config(map={**SETTINGS, **settings}).getOrCreate()
+    if kind != "local":
+        ship(spark)
+    return spark
+
+
+def archive() -> bytes:
+    """This package, and the pipeline beside it if it is there, as a zip that Python imports from."""
+    root = Path(__file__).resolve().parent
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted([*root.rglob("*.py"), *root.parent.glob("corpus_pipeline.py")]):
+            z.write(path, path.relative_to(root.parent))
+    return out.getvalue()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to all executors, present and future ones: what runs there imports it by name.
+
+    It is not needed where the package is installed on every machine.
+    """
+    path = Path(tempfile.mkdtemp(prefix="millrace-"), "millrace-package.zip")  # served by the driver from here
+    path.write_bytes(archive())
+    spark.sparkContext.addPyFile(str(path))
 
 
 def flush(spark: SparkSession) -> None:

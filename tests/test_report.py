@@ -118,3 +118,27 @@ def test_a_file_reaches_tasks_and_a_changed_one_is_another(spark, tmp_path):
     os.utime(path, (1, 1))
     second = local.distributed(spark, str(path))
     assert second != first and read(second) == {"two"} and read(first) == {"one"}
+
+
+def test_the_package_is_whole_in_its_archive(tmp_path):
+    import subprocess
+    import sys
+
+    from millrace.session import archive
+
+    (tmp_path / "package.zip").write_bytes(archive())
+    code = "import millrace.catalog, millrace.streaming.queue as q; print(q.__file__, len(millrace.catalog.queries()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path / "package.zip")}, capture_output=True, text=True, check=True)
+    assert "package.zip" in done.stdout
+
+
+def test_binaries_are_numbered_by_path_without_their_contents(spark, tmp_path):
+    from millrace.plans import pipelines
+    from millrace.sources import text
+
+    for k, name in enumerate(("b/1/x-x86_64-1", "a/2/y-x86_64-1", "a/1/z-x86_64-1", "c/1/no")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(bytes([k]))
+    for most in (500_000, 1):
+        found = pipelines.numbered_binaries(text.binaries(spark, str(tmp_path)), most)
+        assert {(r.id, r.project, r.version, bytes(r.binary)) for r in found.collect()} == {("0", "a", "1", b"\x02"), ("1", "a", "2", b"\x01"), ("2", "b", "1", b"\x00")}

@@ -145,11 +145,8 @@ def test_unknown_task_raises(spark):
 def test_file_order_and_chunks(spark, tmp_path):
     parquet.write(spark.range(20).repartition(5), f"{tmp_path}/x")
     before = spark.conf.get("spark.sql.files.openCostInBytes")
-    try:
-        parquet.keep_chunks(spark)
-        assert spark.read.parquet(f"{tmp_path}/x").rdd.getNumPartitions() == 5
-    finally:
-        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert parquet.read_chunks(spark, f"{tmp_path}/x").rdd.getNumPartitions() == 5
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
     files = [r.file for r in parquet.in_file_order(spark.read.parquet(f"{tmp_path}/x")).collect()]
     assert files == sorted(files) and len(set(files)) == 5
     assert parquet.row_count(parquet.read(spark, parquet.files(spark, f"{tmp_path}/x"))).first().rows == 20
