@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .operators import frame, service
 from .operators.split import parse_rename, parse_split, write_splits
 from .plans.runner import modify
-from .session import cluster, flush
+from .session import cluster, flush, slurm_job
 from .sources import parquet
 from .sources.local import shell
 from .sources.tables import Tables
@@ -27,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("input")
         p.add_argument("output")
         p.add_argument("-p", "--parallelism", type=int, default=1)
-        p.add_argument("-c", "--cluster", default="local", choices=("local", "spark", "yarn", "k8s"))
+        p.add_argument("-c", "--cluster", default="local", choices=("local", "spark", "yarn", "k8s", "slurm"))
         p.add_argument("--master")
         p.add_argument("--compression", default="uncompressed")
         return p
@@ -43,6 +43,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("splits", nargs="+", type=parse_split, metavar="name:percent")
     p.add_argument("--seed", type=int, default=42)
     p.add_argument("--key", default="id")
+    p = commands.add_parser("slurm", help="print a batch script that runs a command on a Spark cluster in its allocation")
+    p.add_argument("-p", "--parallelism", type=int, default=1)
+    p.add_argument("--cores", type=int, default=1)
+    p.add_argument("--memory", default="16GB")
+    p.add_argument("--partition")
+    p.add_argument("--logs", default=".")
+    p.add_argument("run", nargs="+", metavar="command")
     served = commands.add_parser("service", help="tables of the inference service").add_subparsers(dest="what", required=True)
 
     def table(name: str, text: str) -> argparse.ArgumentParser:
@@ -113,6 +120,9 @@ def run_service(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
+    if args.command == "slurm":
+        print(slurm_job(args.run, args.parallelism, args.cores, args.memory, args.partition, args.logs), end="")
+        return 0
     if args.command == "service":
         spark = cluster("local", args.parallelism)
         try:

@@ -14,6 +14,10 @@ from .frame import number
 
 #: Fixed value: the label that a loss ignores.
 IGNORE = -100
+#: Sizes of the encoder that datasets are made for, by name.
+ENCODERS = {
+    "medium": {"sequence_length": 512, "depth": 12, "heads": 12, "hidden_dimensions": 768, "intermediate_dimensions": 3072, "dropout": 0.1, "eps": 1e-12},
+}
 
 
 def _ends(tokens: Column, next_id: int | str) -> Column:

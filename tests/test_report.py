@@ -142,3 +142,36 @@ def test_binaries_are_numbered_by_path_without_their_contents(spark, tmp_path):
     for most in (500_000, 1):
         found = pipelines.numbered_binaries(text.binaries(spark, str(tmp_path)), most)
         assert {(r.id, r.project, r.version, bytes(r.binary)) for r in found.collect()} == {("0", "a", "1", b"\x02"), ("1", "a", "2", b"\x01"), ("2", "b", "1", b"\x00")}
+
+
+def test_a_slurm_job_runs_its_command_on_a_cluster(tmp_path):
+    """The script as it is, with a stand-in for the scheduler's launcher: the package reaches the executors by itself."""
+    import socket
+    import subprocess
+    import sys
+
+    from millrace.session import slurm_job
+
+    with socket.socket() as s:
+        s.bind(("", 0))
+        port = s.getsockname()[1]
+    srun = tmp_path / "bin" / "srun"
+    srun.parent.mkdir()
+    srun.write_text('#!/bin/bash\nshift\nexec "$@"\n')
+    srun.chmod(0o755)
+    job = tmp_path / "job.py"
+    job.write_text(
+        f"import sys\nsys.path.insert(0, {os.getcwd()!r})\n"
+        "from millrace.session import cluster\nfrom millrace.operators import report\n"
+        "def double(row):\n    yield {'k': 2 * row['id']}\n"
+        "spark = cluster('slurm', memory='600m', **{'spark.ui.enabled': 'false', 'spark.sql.shuffle.partitions': '2', 'spark.driver.host': '127.0.0.1'})\n"
+        "assert spark.sparkContext.master.startswith('spark://')\n"
+        "print('sum', report.attempt(spark.range(10), double, 'k long').agg({'k': 'sum'}).first()[0])\nspark.stop()\n"
+    )
+    script = slurm_job([sys.executable, str(job)], cores=1, memory="1GB", port=port)
+    assert "#SBATCH --ntasks=1" in script and "#SBATCH --mem-per-cpu=1000M" in script
+    env = {**os.environ, "PATH": f"{srun.parent}:{os.path.dirname(sys.executable)}:{os.environ['PATH']}", "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_LOG_DIR": str(tmp_path), "SPARK_WORKER_DIR": str(tmp_path / "work"), "PYSPARK_PYTHON": sys.executable}
+    env.pop("PYTHONPATH", None)
+    done = subprocess.run(["bash", "-c", script.replace("$(hostname)", "127.0.0.1")], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "sum 90" in done.stdout, done.stderr[-3000:]
+    assert done.returncode == 0
