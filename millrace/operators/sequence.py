@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import MASK, NEXT, PAD
 from ..schema import require
@@ -53,6 +54,24 @@ def with_positions(df: DataFrame, column: str = "tokens", next_id: int | str = N
     )
 
 
+def model_input(df: DataFrame, length: int = 512, vocabulary: int | None = None, next_id: int = NEXT, column: str = "tokens") -> DataFrame:
+    """:func:`with_positions` of rows that a model of a fixed length takes.
+
+    A column that is no array of whole numbers raises ``ValueError`` as the plan is made. A row of another length, with a null, or with an id
+    outside the ``vocabulary`` raises when it is computed, naming what it has.
+    """
+    require(df, (column,))
+    kind = df.schema[column].dataType
+    if not isinstance(kind, T.ArrayType) or not isinstance(kind.elementType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise ValueError(f"expected rows of token ids but {column!r} is {kind.simpleString()}")
+    t = F.col(column)
+    wrong = lambda text, x: F.raise_error(F.concat(F.lit(text), x.cast("string"))).cast(kind)
+    checked = F.when(F.coalesce(F.size(t), F.lit(-1)) != length, wrong(f"expected {length} tokens, not ", F.coalesce(F.size(t), F.lit(-1))))
+    inside = lambda x: F.coalesce((x >= 0) & (x < (vocabulary if vocabulary is not None else 1 << 62)), F.lit(False))
+    checked = checked.when(~F.forall(t, inside), wrong("expected ids of the vocabulary, not ", F.to_json(F.filter(t, lambda x: ~inside(x)))))
+    return with_positions(df.withColumn(column, checked.otherwise(t)), column, next_id)
+
+
 def fixed_length(tokens: Column, length: int = 512, pad: int | str = PAD) -> Column:
     """Cut or pad on the right to ``length``."""
     return F.slice(F.concat(tokens, F.array_repeat(F.lit(pad), length)), 1, length)

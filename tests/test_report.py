@@ -175,3 +175,15 @@ def test_a_slurm_job_runs_its_command_on_a_cluster(tmp_path):
     done = subprocess.run(["bash", "-c", script.replace("$(hostname)", "127.0.0.1")], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert "sum 90" in done.stdout, done.stderr[-3000:]
     assert done.returncode == 0
+
+
+def test_model_input_has_its_shape(spark):
+    good = spark.createDataFrame([([7, 8, 5, 9],)], "tokens array<int>")
+    row = sequence.model_input(good, 4, 10).first()
+    assert (row.tokens, row.instruction, row.argument, row.position) == ([7, 8, 5, 9], [0, 0, 0, 1], [0, 1, 2, 0], [0, 1, 2, 3])
+    for tokens, told in (([7], "not 1"), (None, "not -1"), ([1, 2, None, 4], "ids of the vocabulary"), ([1, 2, 3, 10], "10"), ([-1, 0, 0, 0], "-1")):
+        with pytest.raises(Exception, match=told):
+            sequence.model_input(spark.createDataFrame([(tokens,)], "tokens array<int>"), 4, 10).collect()
+    for kind in ("string", "array<array<int>>", "array<double>"):
+        with pytest.raises(ValueError):
+            sequence.model_input(spark.createDataFrame([], f"tokens {kind}"), 4)
