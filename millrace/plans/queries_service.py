@@ -151,6 +151,18 @@ def table_join(spark, sf):
     return service.with_users(tables.table("completion"), tables.table("user")).select("id", "username", "state", "timestamp")
 
 
+def queue_served(spark, sf):
+    """Requests claimed by three workers, answered by the stream, and completed by their answers."""
+    folder = new_path(spark, "served")
+    asked = fx.queue(spark, sf).filter("state = 0")
+    asked.select("id", "input").write.parquet(f"{folder}/requests")
+    event = lambda action, second, worker: F.struct(F.expr(f"cast(timestamp as timestamp) + interval {second} second").alias("at"), F.lit(action).alias("action"), worker.alias("worker"))
+    submit, claim = event("submit", 0, F.lit(None).cast("string")), event("claim", 1, F.concat(F.lit("w"), F.col("id") % 3))
+    events = asked.select("id", F.col("id").alias("seq"), F.explode(F.array(submit, claim)).alias("e")).select("id", "e.at", "seq", "e.action", "e.worker")
+    events.write.parquet(f"{folder}/events")
+    return queue.drain(spark, folder, 10**8).select("id", "state", "output")
+
+
 #: Hours that a claimed row may run before it is queued again.
 RUN_HOURS = 12
 
@@ -198,6 +210,11 @@ QUERIES = {
         table_join,
         f"""SELECT c.id, u.username, CASE WHEN c.state = 1 THEN 0 ELSE c.state END AS state, c.timestamp FROM ({fx.COMPLETIONS}) c JOIN ({fx.USERS}) u ON c.user_id = u.id""",
     ),
+    "queue_served": (
+        queue_served,
+        rf"""SELECT id, 2 AS state, regexp_replace(lower(regexp_replace(regexp_replace(input, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')), '^\s+|\s+$', '', 'g') AS output
+            FROM ({fx.QUEUE}) WHERE state = 0""",
+    ),
     "queue_states": (
         queue_states,
         f"""{OUTCOMES_SQL} SELECT id, state, CASE WHEN state = 1 THEN worker END AS worker

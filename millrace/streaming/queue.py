@@ -10,15 +10,17 @@ An event is ``id, at, seq, action, worker``: ``submit`` queues a new or complete
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.service import COMPLETE, QUEUED, RUNNING
+from ..sources.shared import settings
+from .worker import answer
 
 EVENTS = "id long, at timestamp, seq long, action string, worker string"
 #: Times are microseconds inside, so that no time zone lies between events, timers and the watermark.
@@ -26,6 +28,9 @@ INSIDE = "id long, us long, seq long, action string, worker string, outcome stri
 #: The provider that states with timers need.
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
+#: Sequence number of an answer: it comes after all else of its moment.
+LAST = (1 << 63) - 1
+
 State = tuple[int, str, int]
 Row = tuple[int, int | None, str, str, str, int]
 
@@ -125,16 +130,59 @@ def run(spark: SparkSession, source: str, output: str, checkpoint: str, limit_se
 
     The file sink commits a batch's files by its log, and state by the same batch number: what a stopped run has not committed is done again.
     """
-    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(source)
-    before = {k: spark.conf.get(k) for k in STORE}
-    for k, v in STORE.items():
-        spark.conf.set(k, v)
-    try:  # a query keeps the settings that it started with
-        writer = outcomes(stream, limit_seconds, late).writeStream.format("parquet").outputMode("append").option("path", output).option("checkpointLocation", checkpoint)
+    sink = outcomes(_events(spark, source, files), limit_seconds, late).writeStream.format("parquet").outputMode("append").option("path", output)
+    return _started(spark, sink, checkpoint, once)
+
+
+def _events(spark: SparkSession, source: str, files: int) -> DataFrame:
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(source)
+
+
+def _started(spark: SparkSession, sink: DataStreamWriter, checkpoint: str, once: bool) -> StreamingQuery:
+    with settings(spark, STORE):  # a query keeps the settings that it started with
+        writer = sink.option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+
+
+def serve(spark: SparkSession, folder: str, limit_seconds: int, infer: Callable[[pd.Series], pd.Series] | None = None, late: str = "1 hour", files: int = 1000, once: bool = True) -> StreamingQuery:
+    """The worker's whole round: a claim that wins is answered, and the answer is an event that completes its row.
+
+    ``folder`` has ``events`` (``EVENTS``) and ``requests`` (``id, input``). Outcomes and answers of a micro-batch are folders named by its number, written
+    over if it is done again; its answers go to ``events`` as ``finish`` at the newest time of the batch, so they are never late, and are read with
+    the next batch. An answer to a row that was purged meanwhile is refused like any other. ``once`` follows what is there; :func:`drain` goes on until all is answered.
+    """
+    stream = outcomes(_events(spark, f"{folder}/events", files), limit_seconds, late)
+
+    def store(batch: DataFrame, number: int) -> None:
+        done = f"{folder}/outcomes/batch={number}"
+        batch.write.mode("overwrite").parquet(done)  # state moves once: what follows reads what was written
+        found = spark.read.schema(batch.schema).parquet(done)
+        newest = found.filter("action <> 'purge'").agg(F.max("at")).first()[0]
+        # a run that a later event of this batch ended is not answered
+        held = found.filter("outcome not in ('known', 'lost', 'refused')")
+        last = held.groupBy("id").agg(F.max_by(F.struct("outcome", "worker", "at"), F.struct("at", F.coalesce("seq", F.lit(-(1 << 63))))).alias("l"))
+        won = last.filter("l.outcome = 'won'").select("id", "l.worker", F.col("l.at").alias("since"))
+        rows = spark.read.parquet(f"{folder}/requests").join(won, "id").withColumn("state", F.lit(QUEUED))
+        answer(rows, infer).select("id", "worker", "since", "output").write.mode("overwrite").parquet(f"{folder}/answers/batch={number}")
+        answers = spark.read.parquet(f"{folder}/answers/batch={number}")
+        events = answers.select("id", F.lit(newest).cast("timestamp").alias("at"), F.lit(LAST).alias("seq"), F.lit("finish").alias("action"), "worker")
+        events.write.mode("overwrite").parquet(f"{folder}/events/answers-{number}")
+
+    return _started(spark, stream.writeStream.foreachBatch(store).outputMode("append"), f"{folder}/checkpoint", once)
+
+
+def drain(spark: SparkSession, folder: str, limit_seconds: int, infer: Callable[[pd.Series], pd.Series] | None = None, **options: str | int) -> DataFrame:
+    """Serve until no answer is left to bring back: ``id, state, worker, output`` of all rows."""
+    while True:
+        query = serve(spark, folder, limit_seconds, infer, **options)
+        query.awaitTermination()
+        if not any(p["numInputRows"] for p in query.recentProgress):
+            break
+    # an answer counts if the row is complete: of several the one by the worker that completed it
+    found = spark.read.option("basePath", f"{folder}/outcomes").parquet(f"{folder}/outcomes").drop("batch")
+    finished = found.filter("outcome = 'complete'").groupBy("id").agg(F.max_by("worker", "at").alias("by"))
+    answers = spark.read.parquet(f"{folder}/answers").groupBy("id", F.col("worker").alias("by")).agg(F.max_by("output", "since").alias("output"))
+    return states(found).join(finished.join(answers, ["id", "by"]).drop("by"), "id", "left").select("id", "state", "worker", F.when(F.col("state") == COMPLETE, F.col("output")).alias("output"))
 
 
 def states(outcome: DataFrame) -> DataFrame:

@@ -105,3 +105,26 @@ def test_time_zones_do_not_matter(spark, tmp_path, zone):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert collected(spark, f"{tmp_path}/out") == replayed(some, 5 * HOUR, some[-1][1] - timedelta(hours=1))
+
+
+def test_answers_come_back_to_the_queue(spark, tmp_path):
+    """Requests are claimed, answered and completed in one flow, failures of the model included; another run changes nothing."""
+    import pandas as pd
+
+    t = lambda m: START + timedelta(minutes=m)
+    spark.createDataFrame([(k, f" Ask  {k} ") for k in range(12)], "id long, input string").write.parquet(f"{tmp_path}/requests")
+    some = [(k, t(k), k, "submit", None) for k in range(12)] + [(k, t(20 + k), 100 + k, "claim", f"w{k % 2}") for k in range(10)]
+    put(spark, f"{tmp_path}/events", some + [(1, t(40), 300, "claim", "w9")])
+
+    def infer(values):
+        if values.str.contains("7").any():
+            raise ValueError("seven")
+        return pd.Series("re: " + values)
+
+    want = {k: (2, f"re: ask {k}" if k != 7 else "ValueError: seven") for k in range(10)} | {k: (0, None) for k in (10, 11)}
+    for _ in range(2):
+        found = {r.id: (r.state, r.output) for r in queue.drain(spark, f"file://{tmp_path}", 3600, infer).collect()}
+        assert found == want
+    put(spark, f"{tmp_path}/events", [(10, t(50), 400, "claim", "w1"), (0, t(51), 401, "submit", None), (0, t(52), 402, "claim", "w1")])
+    found = {r.id: (r.state, r.output) for r in queue.drain(spark, f"file://{tmp_path}", 3600, infer).collect()}
+    assert found == want | {10: (2, "re: ask 10")}
