@@ -80,6 +80,11 @@ def write_by_project(df: DataFrame, path: str) -> list[str]:
     return parquet.write(df.hint("rebalance", "project"), path, partition_by=("project",))
 
 
+def build_vulnerable(spark: SparkSession, binaries: str, maps: list[str], disassembler: Disassembler, output: str, exclude: tuple[str, ...] = link.EXCLUDED) -> list[str]:
+    """:func:`vulnerable_binaries` from files to files, a folder for each project."""
+    return write_by_project(vulnerable_binaries(spark, binaries, maps, disassembler, exclude), output)
+
+
 def train_tokenizer(df: DataFrame, length: int = 512, size: int = 4096) -> tokens.Tokenizer:
     return tokens.train_tokenizer(staged(tokens.preprocess_tokens(df), "token-counts"), length, size)
 

@@ -187,3 +187,38 @@ def test_model_input_has_its_shape(spark):
     for kind in ("string", "array<array<int>>", "array<double>"):
         with pytest.raises(ValueError):
             sequence.model_input(spark.createDataFrame([], f"tokens {kind}"), 4)
+
+
+def test_vulnerable_binaries_from_files_to_project_folders(spark, tmp_path):
+    import json
+
+    from millrace.plans import pipelines
+
+    for k, name in enumerate(("alpha/1.0/alpha-x86_64-a", "alpha/2.0/alpha-x86_64-b", "beta/1.0/beta-i686-c", "beta/1.0/beta-arm-d", "ffmpeg/1.0/ff-x86_64-e")):
+        (tmp_path / "bin" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "bin" / name).write_bytes(bytes([65 + k]))
+    record = {"repo": "alpha", "cve_name": "CVE-1", "function_names": "f", "binary_version": "2.0"}
+    (tmp_path / "map.json").write_text(json.dumps({"x": [record]}))
+
+    def disassembler(binary):
+        yield "f", binary + b"f", ["ret"]
+
+    pipelines.build_vulnerable(spark, str(tmp_path / "bin"), [str(tmp_path / "map.json")], disassembler, str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").glob("project=*")) == ["project=alpha", "project=beta"]
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {(r.project, bytes(r.binary)) for r in rows} == {("alpha", b"Af"), ("alpha", b"Bf"), ("beta", b"Cf")}
+    found = {bytes(r.binary): r.vulnerability for r in rows}
+    assert found[b"Bf"] == "CVE-1" and found[b"Af"] != "CVE-1"
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_random_split_is_a_split(spark, parts):
+    """Whatever the partitions: every row in one part, shares near the percentages, the same again with the same seed."""
+    from millrace.operators import split
+
+    df = spark.range(0, 4000, 1, parts)
+    found = split.random_split(df, {"train": 80, "valid": 15, "test": 5}, seed=3)
+    ids = {k: sorted(r.id for r in v.collect()) for k, v in found.items()}
+    assert sorted(sum(ids.values(), [])) == list(range(4000))
+    assert all(abs(len(ids[k]) / 40 - p) < 4 for k, p in (("train", 80), ("valid", 15), ("test", 5)))
+    assert {k: sorted(r.id for r in v.collect()) for k, v in split.random_split(df, {"train": 80, "valid": 15, "test": 5}, seed=3).items()} == ids
