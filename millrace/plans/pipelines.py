@@ -17,7 +17,7 @@ from ..operators.split import generate_numbers, reciprocal
 from ..schema import DisassembledFunctionDataset, validate
 from ..sources import parquet
 from ..sources import text as files
-from ..sources.shared import staged
+from ..sources.shared import scratch, staged
 
 
 def finish(df: DataFrame) -> DataFrame:
@@ -82,11 +82,13 @@ def write_by_project(df: DataFrame, path: str) -> list[str]:
 
 def build_vulnerable(spark: SparkSession, binaries: str, maps: list[str], disassembler: Disassembler, output: str, exclude: tuple[str, ...] = link.EXCLUDED) -> list[str]:
     """:func:`vulnerable_binaries` from files to files, a folder for each project."""
-    return write_by_project(vulnerable_binaries(spark, binaries, maps, disassembler, exclude), output)
+    with scratch(spark):
+        return write_by_project(vulnerable_binaries(spark, binaries, maps, disassembler, exclude), output)
 
 
 def train_tokenizer(df: DataFrame, length: int = 512, size: int = 4096) -> tokens.Tokenizer:
-    return tokens.train_tokenizer(staged(tokens.preprocess_tokens(df), "token-counts"), length, size)
+    with scratch(df.sparkSession):
+        return tokens.train_tokenizer(staged(tokens.preprocess_tokens(df), "token-counts"), length, size)
 
 
 def tokenize(df: DataFrame, tokenizer: tokens.Tokenizer, minimize: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import SparkSession
 from ..operators.frame import Operation, compose
 from ..operators.report import Counts
 from ..sources import parquet
+from ..sources.shared import scratch
 
 
 def modify(spark: SparkSession, source: str | list[str], output: str, operations: list[Operation], compression: str = "uncompressed", chunks: int | None = None, size: int | str | None = None, counts: Counts | None = None) -> list[str]:
@@ -21,7 +22,8 @@ def modify(spark: SparkSession, source: str | list[str], output: str, operations
     df = parquet.read(spark, source)
     if parquet.complete(spark, output):
         return parquet.files(spark, output)
-    df = compose(*(operations if counts is None else counts.around(operations)))(df)
-    if chunks is not None:
-        df = df.repartition(chunks)
-    return parquet.write(df, output, compression, files_exactly=chunks, size=size)
+    with scratch(spark):
+        df = compose(*(operations if counts is None else counts.around(operations)))(df)
+        if chunks is not None:
+            df = df.repartition(chunks)
+        return parquet.write(df, output, compression, files_exactly=chunks, size=size)

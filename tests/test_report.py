@@ -222,3 +222,17 @@ def test_random_split_is_a_split(spark, parts):
     assert sorted(sum(ids.values(), [])) == list(range(4000))
     assert all(abs(len(ids[k]) / 40 - p) < 4 for k, p in (("train", 80), ("valid", 15), ("test", 5)))
     assert {k: sorted(r.id for r in v.collect()) for k, v in split.random_split(df, {"train": 80, "valid": 15, "test": 5}, seed=3).items()} == ids
+
+
+def test_runs_leave_no_staged_tables(spark, tmp_path):
+    from millrace.plans import pipelines
+    from millrace.sources.shared import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    spark.range(40).selectExpr("cast(id as string) as id", "id % 7 as v").write.parquet(f"{tmp_path}/in")
+    modify(spark, f"{tmp_path}/in", f"{tmp_path}/out", [lambda df: frame.number(df, "place", "v"), frame.repartition(size="100B")])
+    assert spark.read.parquet(f"{tmp_path}/out").agg(F.max("place")).first()[0] == 39
+    traces = spark.createDataFrame([("1", "f", "mov eax 123456 [NEXT] ret")] * 3, "id string, name string, disassembly string")
+    assert pipelines.train_tokenizer(traces, 16, 60) is not None
+    assert set(os.listdir(folder)) == before
