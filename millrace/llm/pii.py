@@ -24,7 +24,7 @@ from .words import release, text_blocks
 #: Kinds in the order of their spans; the first four have base rules.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "address", "account")
-#: Anchors. Each is also found capitalised and in capitals.
+#: Anchors. Each is also found capitalised and in capitals, but for those of ``KEYS``.
 AT_SIGNS = ("(at)", "[at]", "{at}", "＠")
 SCHEMES = ("mailto:", "tel:", "sip:", "sips:", "xmpp:", "http://", "https://", "ftp://", "sftp://", "ssh://", "ldap://", "postgres://", "postgresql://", "mysql://", "mongodb://", "redis://", "amqp://", "smb://")
 CUES = (
@@ -32,6 +32,12 @@ CUES = (
     "iban", "account", "acct", "konto", "cuenta", "compte", "ssn", "social security", "passport", "license", "licence", "tax id", "customer id", "user id", "patient id", "member id",
 )
 
+#: Beginnings of keys that public services issue, and what follows them. They are written in this case alone.
+KEYS = {
+    "AKIA": r"[A-Z0-9]{16}", "ASIA": r"[A-Z0-9]{16}", "ghp_": r"[A-Za-z0-9]{36}", "github_pat_": r"[A-Za-z0-9_]{22,82}", "xoxb-": r"[0-9A-Za-z-]{20,80}", "xoxp-": r"[0-9A-Za-z-]{20,80}",
+    "sk_live_": r"[0-9A-Za-z]{16,99}", "AIza": r"[0-9A-Za-z_-]{35}",
+}
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)++")
 _WIDE_DOMAIN = re.compile(r"[\w-]++(?:\.[\w-]+)++")
@@ -48,6 +54,7 @@ _NUMBER = re.compile(r"\+?[0-9(][ ().0-9-]{5,24}[0-9](?![0-9])")
 #: What may stand between a cue and its value, and the values.
 _AFTER_CUE = re.compile(r"(?: ?(?:number|no|nr|num|code|key|id)\b\.?)?[ \t]{0,4}(?:[:=#]|is\b)[ \t]{0,4}[\"']?", re.IGNORECASE)
 _VALUE = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9+/_.=-]|(?<=[0-9])[ ](?=[0-9])){4,127}")
+_KEYS = {x: re.compile(rest + r"(?![A-Za-z0-9])") for x, rest in KEYS.items()}
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 
 
@@ -59,6 +66,8 @@ def anchors() -> ahocorasick.Automaton:
         for x in some:
             for form in (x, x.capitalize(), x.upper()):
                 found.add_word(form, (part, len(form)))
+    for x in KEYS:
+        found.add_word(x, ("key", len(x)))
     found.make_automaton()
     return found
 
@@ -90,7 +99,7 @@ class Finder:
         self.base: dict[str, list[tuple[int, int]]] = {k: [] for k in BASE}
         self.more: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
         self.after = dict.fromkeys(("email", "wide", "ip", "card", "phone", "address", "account"), 0)
-        parts = {"@": self._at, "at": self._spelt, "0": self._digit, "+": self._plus, "scheme": self._scheme, "cue": self._cue}
+        parts = {"@": self._at, "at": self._spelt, "0": self._digit, "+": self._plus, "scheme": self._scheme, "cue": self._cue, "key": self._key}
         for end, (part, length) in anchors().iter(text):
             parts[part](end + 1 - length, end + 1)
 
@@ -201,6 +210,13 @@ class Finder:
             self.more["account"].append((m.start(), m.start() + len(value)))
             self.after["account"] = m.end()
 
+    def _key(self, at: int, end: int) -> None:
+        """A key that tells by its beginning what it is."""
+        m = _KEYS[self.text[at:end]].match(self.text, end)
+        if m and at >= self.after["account"] and not (at and self.text[at - 1].isalnum()):
+            self.more["account"].append((at, m.end()))
+            self.after["account"] = m.end()
+
     def all(self) -> dict[str, list[tuple[int, int]]]:
         """All spans by kind, in the order of their starts, each once."""
         return {k: sorted({*self.base.get(k, ()), *self.more[k]}) for k in KINDS}
