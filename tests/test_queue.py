@@ -107,6 +107,17 @@ def test_time_zones_do_not_matter(spark, tmp_path, zone):
     assert collected(spark, f"{tmp_path}/out") == replayed(some, 5 * HOUR, some[-1][1] - timedelta(hours=1))
 
 
+def test_rows_share_the_keys_of_the_state(spark, tmp_path):
+    """A batch of many rows costs a call for each bucket, and rows of one bucket do not see each other; some events have no number."""
+    some = events(12000, rows=9000, seed=7)
+    some = [(key, at, None if key % 3 == 0 else queue.LAST - k, action, worker) for key, at, k, action, worker in some]
+    put(spark, f"{tmp_path}/in", some)
+    query = queue.run(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/checkpoint", 5 * 3600)
+    query.awaitTermination()
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= queue.BUCKETS < len({r[0] for r in some if r[3] != "drop"})
+    assert collected(spark, f"{tmp_path}/out") == replayed(some, 5 * HOUR, some[-1][1] - timedelta(hours=1))
+
+
 def test_answers_come_back_to_the_queue(spark, tmp_path):
     """Requests are claimed, answered and completed in one flow, failures of the model included; another run changes nothing."""
     import pandas as pd
