@@ -83,15 +83,20 @@ def mlm_mask_deterministic(spark, sf):
     return sequence.mask_tokens(_numbered(spark, sf), vocabulary=100)
 
 
+def _hundredths(values):
+    """Whole hundredths of single-precision numbers, multiplied as such: in double precision some products fall to the other side of a whole number."""
+    return F.transform(values, lambda x: F.floor(x * F.lit(100).cast("float")).cast("int"))
+
+
 def collate_batches(spark, sf):
     """Training batches of 48 rows, the last one shorter."""
-    rows = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x * 100).cast("int")).alias("tokens"), "label")
+    rows = table(spark, sf, "embeddings").select("vec_id", _hundredths(F.col("embedding")).alias("tokens"), "label")
     return sequence.batches(rows, 48, "vec_id").select("batch", F.col("rows").cast("long").alias("rows"), F.col("vec_id").alias("ids"), F.col("label").alias("labels"), F.transform("tokens", lambda t: t[0]).alias("firsts"))
 
 
 def collate_classification(spark, sf):
     rows = table(spark, sf, "embeddings").select(
-        F.transform("embedding", lambda x: F.floor(x * 100).cast("int")).alias("tokens"), F.array_repeat(F.lit(1), 64).alias("mask"), "label"
+        _hundredths(F.col("embedding")).alias("tokens"), F.array_repeat(F.lit(1), 64).alias("mask"), "label"
     )
     return sequence.collate(rows)
 

@@ -47,6 +47,13 @@ def test_masking_does_not_depend_on_partitions(batch):
     assert f(batch) == f(batch.repartition(3))
 
 
+def test_masking_draws_once_a_place(batch):
+    """However few columns are wanted, no draw is made for all places at each place: no line of the plan walks along a row within a walk along it."""
+    for columns in (["tokens"], ["labels"], ["tokens", "labels"]):
+        plan = sequence.mask_tokens(batch, 100).select("id", *columns)._jdf.queryExecution().optimizedPlan().toString()
+        assert "sha2(" in plan and all(line.count("transform(") <= 1 for line in plan.splitlines())
+
+
 def test_counts(spark):
     df = spark.createDataFrame([("1", "f", "xor eax eax [NEXT] add eax ebx [NEXT] sub eax 42")], "id string, name string, disassembly string")
     got = {(r.kind, r.token): r.n for r in tokens.preprocess_tokens(df).collect()}
@@ -99,6 +106,24 @@ def test_merges_like_the_public_library():
     assert set(ids) == set(public.get_vocab())
 
 
+def test_collated_tokens_of_single_precision(spark, sf, tmp_path):
+    """Products that single precision rounds to a whole number and double precision does not."""
+    import numpy as np
+
+    from millrace.plans import queries_model
+
+    from .oracle import spark_rows, sql_rows
+
+    x = [float(v) for v in (np.arange(-100, 100) / np.float32(100)).astype(np.float32)]
+    assert any(np.floor(np.float32(v) * np.float32(100)) != np.floor(v * 100) for v in x)
+    rows = [(k, (x[k:] + x[:k])[:64], k % 3) for k in range(0, 200, 8)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    file = next((tmp_path / "embeddings.parquet").glob("part-*"))
+    for name in ("collate_classification", "collate_batches"):
+        run, sql = queries_model.QUERIES[name]
+        assert spark_rows(run(spark, str(tmp_path))) == sql_rows(sql.replace("FROM embeddings", f"FROM read_parquet('{file}')"), sf)
+
+
 def test_pool_argmax_f1(spark):
     df = spark.createDataFrame([([1.0, 2.0, 9.0], [1, 1, 0]), ([1.0, 2.0, 3.0], [0, 0, 0])], "v array<double>, m array<int>")
     rows = df.select(sequence.masked_mean(F.col("v"), F.col("m")).alias("p"), sequence.masked_mean(F.col("v")).alias("q"), sequence.argmax(F.col("v")).alias("a")).collect()
