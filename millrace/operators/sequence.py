@@ -98,22 +98,18 @@ def mask_tokens(df: DataFrame, vocabulary: int, probability: float = 0.15, seed:
     """
     require(df, (key, "tokens", "mask"))
     draw = lambda kind, i: uniform(F.lit(seed), F.col(key), i, F.lit(kind))
-    chosen = F.transform(F.col("mask"), lambda m, i: (m == 1) & (draw("pick", i) < F.lit(probability)))
-    original = F.col("_tokens")
 
-    def replaced(t: Column, i: Column) -> Column:
-        way = draw("way", i)
+    def drawn(x: Column, i: Column) -> Column:
+        t, way = x["t"], draw("way", i)
         other = F.floor(draw("id", i) * vocabulary).cast("int")
         new = F.when(way < 0.8, F.lit(mask_id)).when(way < 0.9, other).otherwise(t)
-        return F.when(F.get(F.col("_chosen"), i), new).otherwise(t)
+        chosen = (x["m"] == 1) & (draw("pick", i) < F.lit(probability))
+        return F.when(chosen, F.struct(new.alias("token"), t.alias("label"))).otherwise(F.struct(t.alias("token"), F.lit(IGNORE).alias("label")))
 
-    return (
-        df.withColumn("_chosen", chosen)
-        .withColumnRenamed("tokens", "_tokens")
-        .withColumn("tokens", F.transform(original, replaced))
-        .withColumn("labels", F.transform(original, lambda t, i: F.when(F.get(F.col("_chosen"), i), t).otherwise(F.lit(IGNORE))))
-        .select(*df.columns, "labels")
-    )
+    # tokens and masks walk together, each draw is made once: a column that is looked up by place in a lambda may be computed anew for every place
+    pairs = F.arrays_zip(F.col("tokens").alias("t"), F.coalesce("mask", F.array()).alias("m"))
+    out = df.withColumn("_drawn", F.transform(F.slice(pairs, 1, F.size("tokens")), drawn))
+    return out.withColumn("tokens", F.col("_drawn.token")).withColumn("labels", F.col("_drawn.label")).select(*df.columns, "labels")
 
 
 def fill_masked(tokens: Column, predicted: Column, mask_id: int = MASK) -> Column:
