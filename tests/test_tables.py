@@ -61,6 +61,20 @@ def test_names_are_names(spark, url):
             jdbc.read_table(spark, url, "things", bad or "?")
 
 
+def test_a_cluster_without_a_database(spark, sf, monkeypatch):
+    """The query needs no database where none is named; the operator says what is missing."""
+    from millrace.plans import queries_service
+
+    from .oracle import spark_rows, sql_rows
+
+    monkeypatch.setattr(spark.sparkContext, "master", "local-cluster[2,1,1024]")
+    monkeypatch.setattr(jdbc, "write_table", None)
+    with pytest.raises(ValueError):
+        jdbc.database(spark, "none")
+    run, sql = queries_service.QUERIES["service_tables"]
+    assert spark_rows(run(spark, sf)) == sql_rows(sql, sf)
+
+
 # --- bucketed tables
 
 
