@@ -13,8 +13,9 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,6 +107,63 @@ class Tokenizer:
             self._seen[word] = [self.ids.get(p, text.UNK) for p in parts]
         return self._seen[word]
 
+    def pieces_of(self, words: list[str]) -> list[list[int]]:
+        """:meth:`pieces` of many words: in each round every word merges its first pair by rank, all of them at once in arrays."""
+        names = {p: k for k, p in enumerate({p for pair in self.merges for p in (*pair, pair[0] + pair[1].removeprefix(PREFIX))})}
+        for w in words:
+            for k, c in enumerate(w):
+                names.setdefault(c if k == 0 else PREFIX + c, len(names))
+        order = sorted((names[x] << 32 | names[y], rank, names[x + y.removeprefix(PREFIX)]) for (x, y), rank in self._ranks.items())
+        keys, ranks, made = (np.array(v, np.int64) for v in zip(*order, strict=True)) if order else (np.zeros(0, np.int64),) * 3
+        flat = np.array([names[c if k == 0 else PREFIX + c] for w in words for k, c in enumerate(w)], np.int64)
+        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        none = np.int64(len(self._ranks))
+        while len(keys) and len(flat) > 1:
+            pair = flat[:-1] << 32 | flat[1:]
+            found = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+            rank = np.where((keys[found] == pair) & (word[:-1] == word[1:]), ranks[found], none)
+            least = np.full(len(words), none)
+            np.minimum.at(least, word[:-1], rank)
+            at = np.flatnonzero((rank < none) & (rank == least[word[:-1]]))
+            if not len(at):
+                break
+            first = np.r_[True, np.diff(at) != 1]  # of pairs that overlap every second
+            start = np.flatnonzero(first)
+            at = at[(np.arange(len(at)) - start[np.cumsum(first) - 1]) % 2 == 0]
+            flat[at] = made[found[at]]
+            flat, word = np.delete(flat, at + 1), np.delete(word, at + 1)
+        known = np.array([self.ids.get(p, text.UNK) for p in names], np.int64)
+        out, ends = known[flat].tolist() if len(flat) else [], np.searchsorted(word, np.arange(len(words) + 1)).tolist()
+        return [out[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def encode_batch(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`encode` of a column: ids and masks, a row of the fixed length for each value; null is empty.
+
+        Neither whole tokens nor words hold white space, so what lies between it is encoded by itself, each distinct one once.
+        """
+        parts = pc.split_pattern_regex(pc.fill_null(values.cast(pa.large_string()), ""), r"[ \t\n\r\f\v]+")
+        row = np.repeat(np.arange(len(parts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+        distinct = parts.flatten().dictionary_encode()
+        chunks, code = distinct.dictionary.to_pylist(), distinct.indices.to_numpy(zero_copy_only=False)
+        unseen = list(dict.fromkeys(w for c in chunks if not self._added.fullmatch(c) for w in re.findall(r"\w+|[^\w\s]+", self._added.sub(" ", c)) if w not in self._seen))
+        if len(self._seen) + len(unseen) > 100_000:
+            self._seen.clear()
+            unseen = list(dict.fromkeys(w for c in chunks for w in re.findall(r"\w+|[^\w\s]+", self._added.sub(" ", c))))
+        self._seen.update(zip(unseen, self.pieces_of(unseen), strict=True))
+        coded = [self.encode_all(c) for c in chunks]
+        size = np.array([len(c) for c in coded], np.int64)
+        start, pool = np.cumsum(size) - size, np.array([i for c in coded for i in c], np.int32)
+        n = size[code]
+        before = np.cumsum(n) - n  # ids before each part, in the column and then in its row
+        first = np.searchsorted(row, np.arange(len(parts)))
+        in_row = before - (before[first[row]] if len(row) else 0)
+        at = np.repeat(in_row - before, n) + np.arange(n.sum())
+        kept = at < self.length
+        ids, mask = np.full((len(parts), self.length), text.PAD, np.int32), np.zeros((len(parts), self.length), np.int32)
+        place = (np.repeat(row, n)[kept], at[kept])
+        ids[place], mask[place] = pool[(np.repeat(start[code] - before, n) + np.arange(n.sum()))[kept]], 1
+        return ids, mask
+
     def encode_all(self, value: str) -> list[int]:
         """Ids without padding. Whole tokens match first, wherever they stand; the rest is words and runs of symbols."""
         out, at = [], 0
@@ -196,16 +254,18 @@ def learn_merges(words: dict[str, int], ids: dict[str, int], size: int) -> list[
     return merges
 
 
-def _merge(parts: list[str], pair: tuple[str, str]) -> list[str]:
-    merged, at = [], 0
-    while at < len(parts):
-        if at + 1 < len(parts) and (parts[at], parts[at + 1]) == pair:
-            merged.append(parts[at] + parts[at + 1].removeprefix(PREFIX))
-            at += 2
-        else:
-            merged.append(parts[at])
-            at += 1
-    return merged
+def _merged(flat: np.ndarray, word: np.ndarray, x: int, y: int, new: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words one after another, and the word of each, with ``x, y`` within a word made ``new``, from left to right."""
+    at = np.flatnonzero((flat[:-1] == x) & (flat[1:] == y) & (word[:-1] == word[1:]))
+    if x == y and len(at):  # of a run of equal ids every second pair
+        first = np.r_[True, np.diff(at) != 1]
+        start = np.flatnonzero(first)
+        at = at[(np.arange(len(at)) - start[np.cumsum(first) - 1]) % 2 == 0]
+    if not len(at):
+        return flat, word
+    flat = flat.copy()
+    flat[at] = new
+    return np.delete(flat, at + 1), np.delete(word, at + 1)
 
 
 def learn_merges_spread(words: DataFrame, ids: dict[str, int], size: int, kept: int = 16) -> list[tuple[str, str]]:
@@ -222,45 +282,56 @@ def learn_merges_spread(words: DataFrame, ids: dict[str, int], size: int, kept:
     for r in first:
         ids.setdefault(r["piece"], len(ids))
 
-    def spelled(late: list[tuple[str, str]]):
-        def spell(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    def spelled(batch: pa.RecordBatch, late: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        parts = batch.column(0)
+        flat, word = parts.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(parts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+        for x, y, new in late:
+            flat, word = _merged(flat, word, x, y, new)
+        return flat, word
+
+    def rewritten(late: list[tuple[int, int, int]]):
+        def rewrite(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
             for batch in batches:
-                rows = batch.column(0).to_pylist()
-                for pair in late:
-                    rows = [_merge(parts, pair) if pair[0] in parts else parts for parts in rows]
-                yield pa.record_batch([pa.array(rows, pa.list_(pa.string())), batch.column(1)], ["parts", "n"])
+                flat, word = spelled(batch, late)
+                ends = np.searchsorted(word, np.arange(batch.num_rows + 1))
+                yield pa.record_batch([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())), batch.column(1)], ["parts", "n"]).filter(pa.array(np.diff(ends) > 1))  # one piece has no pair
 
-        return spell
+        return rewrite
 
-    def counted(known: dict[str, int]):
+    def counted(late: list[tuple[int, int, int]]):
         def count(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
             pairs: Counter = Counter()
             for batch in batches:
-                for parts, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    for x, y in zip(parts, parts[1:], strict=False):
-                        pairs[known[x], known[y]] += n
-            yield pa.record_batch([pa.array([k[0] for k in pairs], pa.int32()), pa.array([k[1] for k in pairs], pa.int32()), pa.array(list(pairs.values()), pa.int64())], ["x", "y", "n"])
+                flat, word = spelled(batch, late)
+                inside = np.flatnonzero(word[:-1] == word[1:])
+                keys, place = np.unique(flat[inside].astype(np.int64) << 32 | flat[inside + 1], return_inverse=True)
+                sums = np.zeros(len(keys), np.int64)
+                np.add.at(sums, place, batch.column(1).to_numpy()[word[inside]])
+                for key, n in zip(keys.tolist(), sums.tolist(), strict=True):
+                    pairs[key] += n
+            yield pa.record_batch([pa.array([k >> 32 for k in pairs], pa.int32()), pa.array([k & 0xFFFFFFFF for k in pairs], pa.int32()), pa.array(list(pairs.values()), pa.int64())], ["x", "y", "n"])
 
         return count
 
-    pieces = F.transform(F.filter(F.split("token", ""), lambda c: c != ""), lambda c, k: F.when(k == 0, c).otherwise(F.concat(F.lit(PREFIX), c)))
+    named = F.create_map(*[F.lit(v) for r in first for v in (r["piece"], ids[r["piece"]])]) if first else F.lit(None).cast("map<string,int>")
+    pieces = F.transform(F.filter(F.split("token", ""), lambda c: c != ""), lambda c, k: F.element_at(named, F.when(k == 0, c).otherwise(F.concat(F.lit(PREFIX), c))))
     state = staged(words.select(pieces.alias("parts"), F.col("n").cast("long").alias("n")), "merges")
     merges: list[tuple[str, str]] = []
-    late: list[tuple[str, str]] = []
+    late: list[tuple[int, int, int]] = []
+    names = {v: k for k, v in ids.items()}
     while len(ids) < size:
-        now = state.mapInArrow(spelled(late), "parts array<string>, n long") if late else state
         if len(late) == kept:
-            now = state = staged(now, "merges")
+            state = staged(state.mapInArrow(rewritten(late), "parts array<int>, n long"), "merges")
             late = []
-        pairs = now.mapInArrow(counted(dict(ids)), "x int, y int, n long").groupBy("x", "y").agg(F.sum("n").alias("n"))
+        pairs = state.mapInArrow(counted(late), "x int, y int, n long").groupBy("x", "y").agg(F.sum("n").alias("n"))
         best = pairs.agg(F.min(F.struct((-F.col("n")).alias("n"), "x", "y")).alias("best")).first()["best"]
         if best is None or best["n"] >= 0:
             break
-        names = {v: k for k, v in ids.items()}
         pair = (names[best["x"]], names[best["y"]])
-        ids.setdefault(pair[0] + pair[1].removeprefix(PREFIX), len(ids))
+        new = ids.setdefault(pair[0] + pair[1].removeprefix(PREFIX), len(ids))
+        names[new] = pair[0] + pair[1].removeprefix(PREFIX)
         merges.append(pair)
-        late = [*late, pair]
+        late = [*late, (best["x"], best["y"], new)]
     return merges
 
 
@@ -287,9 +358,10 @@ def tokenize(df: DataFrame, tokenizer: Tokenizer, column: str = "disassembly") -
     """Add ``tokens`` and ``mask`` of the tokenizer's length; Arrow batches, the tokenizer sent once per executor."""
     shared = df.sparkSession.sparkContext.broadcast(tokenizer)
 
-    @F.pandas_udf("tokens array<int>, mask array<int>")
-    def encode(values: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.encode(v or "") for v in values], columns=["tokens", "mask"])
+    @F.arrow_udf("tokens array<int>, mask array<int>")
+    def encode(values: pa.Array) -> pa.Array:
+        ends = pa.array(np.arange(len(values) + 1) * shared.value.length, pa.int32())
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in shared.value.encode_batch(values)], ["tokens", "mask"])
 
     out = validate(df, DisassembledFunctionDataset).withColumn("_encoded", encode(F.col(column)))
     return out.withColumn("tokens", F.col("_encoded.tokens")).withColumn("mask", F.col("_encoded.mask")).drop("_encoded")
@@ -299,8 +371,13 @@ def detokenize(df: DataFrame, tokenizer: Tokenizer, column: str = "tokens", targ
     """Add the text of ids, special tokens included."""
     shared = df.sparkSession.sparkContext.broadcast(tokenizer)
 
-    @F.pandas_udf("string")
-    def decode(values: pd.Series) -> pd.Series:
-        return values.map(shared.value.decode)
+    @F.arrow_udf("string")
+    def decode(values: pa.Array) -> pa.Array:
+        names = shared.value._names
+        known = pa.array([*names.values(), text.SPECIAL_TOKENS[text.UNK]])
+        flat = pc.fill_null(pc.index_in(values.flatten(), pa.array(list(names), pa.int32())), len(names))
+        n = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)
+        ends = pa.array(np.r_[0, np.cumsum(n)], pa.int32(), mask=np.r_[values.is_null().to_numpy(zero_copy_only=False), False])
+        return pc.binary_join(pa.ListArray.from_arrays(ends, known.take(flat)), " ")
 
     return df.withColumn(target, decode(F.col(column)))

@@ -94,6 +94,26 @@ def test_tokenizer_learns_from_all_counts(spark):
     assert got.save() == want.save()
 
 
+def test_columns_are_encoded_like_values():
+    """Arrays give what one value after another gives: runs of equal pieces, unknown pieces, symbols, whole tokens inside words, long rows, nulls."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    words = {"".join(rng.choice("1123") for _ in range(rng.randint(1, 9))): rng.randint(1, 5) for _ in range(200)}
+    ids = {t: k for k, t in enumerate(tokens.text.SPECIAL_TOKENS)}
+    merges = tokens.learn_merges(words, ids, 60)
+    ids |= {w: len(ids) + k for k, w in enumerate(["xor", "r1", "opA", "a\u00a0b"])}
+    make = lambda: tokens.Tokenizer(ids, merges, ["xor", "r1", "opA", "a\u00a0b"], 12)
+    parts = [*words, "1111111", "4", "+12_1", "xor", "r1", "opA", "12r13", "xor11", "[NEXT]", "é1", "a\u00a0b", "\u00a0", "--"]
+    values = [rng.choice([" ", "\t", "  "]).join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(400)] + ["", " ", " 11 ", None]
+    got, one = make().encode_batch(pa.array(values)), make()
+    want = [one.encode(v or "") for v in values]
+    assert (got[0].tolist(), got[1].tolist()) == ([w[0] for w in want], [w[1] for w in want])
+    assert [len(x) for x in make().encode_batch(pa.array([], pa.string()))] == [0, 0]
+
+
 def test_merges_like_the_public_library():
     from tokenizers import Tokenizer, models, pre_tokenizers, trainers
 
