@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..schema import require
-from .frame import number
+from ..sources.shared import staged
+from .frame import number, row_bytes
 
 #: Fixed value: a vulnerability of all versions.
 ANY_VERSION = "-"
 #: Rows of a lookup table that may be broadcast.
 BROADCAST_ROWS = 500_000
+#: Bytes that they may have.
+BROADCAST_BYTES = 64 << 20
 
 
 def flatten_vulnerabilities(records: DataFrame) -> DataFrame:
@@ -44,17 +47,24 @@ def link_vulnerabilities(functions: DataFrame, vulnerabilities: DataFrame, key:
     name, with the version as a residual condition. No match gives an empty string.
 
     Names are gathered over distinct (project, name, version) triples, not over functions, so that a
-    function's bytes never pass through an aggregate.
+    function's bytes never pass through an aggregate. As many functions may share few triples, they are not dealt out by them either:
+    the gathered names are staged, and sent along while they are few. Vulnerabilities are reduced to the first of each
+    name before they meet a triple, and dealt out before that, as this sorts what a task holds.
     """
     require(functions, ("project", "name", "version"))
     require(vulnerabilities, ("project", "fname", "cve_name", "version", "ord"))
     f = functions.withColumn("_fname", text.normalized(F.col("name")))
     wanted = f.select(F.col("project").alias("p"), F.col("_fname").alias("n"), F.col("version").alias("v")).distinct()
     c = vulnerabilities.select(F.col("project").alias("cp"), F.col("fname").alias("cn"), F.col("version").alias("cv"), "cve_name", "ord")
+    spread = c.repartition(int(c.sparkSession.conf.get("spark.sql.shuffle.partitions")), *c.columns)
+    c = spread.groupBy("cp", "cn", "cv", "cve_name").agg(F.min("ord").alias("ord"))
     met = wanted.join(c, (F.col("p") == F.col("cp")) & (F.col("n") == F.col("cn")) & ((F.col("v") == F.col("cv")) | (F.col("cv") == ANY_VERSION)))
     first = met.groupBy("p", "n", "v", "cve_name").agg(F.min("ord").alias("ord"))
     names = F.transform(F.array_sort(F.collect_list(F.struct("ord", "cve_name"))), lambda x: x["cve_name"])
-    found = first.groupBy("p", "n", "v").agg(F.array_join(names, "-").alias("_vulnerability"))
+    found = staged(first.groupBy("p", "n", "v").agg(F.array_join(names, "-").alias("_vulnerability")), "vulnerabilities")
+    n, size = found.agg(F.count("*"), F.coalesce(F.sum(row_bytes(found)), F.lit(0))).first()
+    if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
+        found = F.broadcast(found)
     same = (F.col("project") == F.col("p")) & (F.col("_fname") == F.col("n")) & (F.col("version") == F.col("v"))
     return f.join(found, same, "left").withColumn("vulnerability", F.coalesce("_vulnerability", F.lit(""))).drop("p", "n", "v", "_fname", "_vulnerability")
 

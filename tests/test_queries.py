@@ -25,6 +25,23 @@ def test_query_without_sql_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+@pytest.mark.parametrize("most", [None, 0])
+def test_functions_are_not_dealt_out_by_few_names(spark, sf, monkeypatch, most):
+    """Functions that share few names stay where they are; with too many names to send along the rows are the same."""
+    from millrace.operators import link
+
+    if most is not None:
+        monkeypatch.setattr(link, "BROADCAST_ROWS", most)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = QUERIES["wildcard_link"](spark, sf)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert ("hashpartitioning(project" in plan) == (most == 0)
+        assert spark_rows(df) == sql_rows(SQL["wildcard_link"], sf)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
