@@ -182,3 +182,13 @@ def test_count_from_footers(spark, folder):
     assert found.first().rows == 130 and "PushedAggregation: [COUNT(*)]" in plan and "ReadSchema: struct<count(*):bigint>" in plan
     assert parquet.row_count(spark.read.parquet(folder)).first().rows == 130
     assert "parquet" in spark.conf.get("spark.sql.sources.useV1SourceList")
+
+
+def test_sized_files_of_a_table_are_written_once(spark, tmp_path, monkeypatch):
+    """Rows are dealt to as many partitions as the table has files: none is too large at first and dealt again."""
+    noise = F.concat(*[F.unhex(F.sha2(F.concat("id", F.lit(f"-{k}")), 256)) for k in range(20)])  # as long in a shuffle as in a file
+    spark.range(20_000).select("id", noise.alias("text")).repartition(2).write.parquet(f"{tmp_path}/in")
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda *a, **k: pytest.fail("dealt again"))
+    parquet.write(spark.read.parquet(f"{tmp_path}/in"), f"{tmp_path}/out", size="256KB")
+    sizes = [p.stat().st_size for p in (tmp_path / "out").glob("part-*")]
+    assert max(sizes) <= 256_000 and spark.read.parquet(f"{tmp_path}/out").distinct().count() == 20_000
